@@ -2,5 +2,412 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomvec.functions import text as names
+from loomvec.functions import vectors as v
+from loomvec.operators import adapter, dedup, evaluate
+from loomvec.plans import fixtures as fx
+from loomvec.plans import ledger, migrate, providers
+from loomvec.plans.embed import batch_metrics
+from loomvec.plans.session import materialised
+from loomvec.sources import changefeed as cdf
+from loomvec.sources.keyed import insert_ignore, merge_replace
+from loomvec.streaming.watch_stream import stream_counts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SINK, MODEL = "file:///sink_1", fx.MODELS["view"]
+
+
+def query(sql: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def at(c: str = "timestamp"):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias("at")
+
+
+AT = "strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS at"
+
+# Scans, projections and content addresses
+
+
+@query("SELECT doc_id, text FROM documents")
+def scan_project(spark, d):
+    return fx.documents(spark, d).select("doc_id", "text")
+
+
+@query("SELECT doc_id, md5(text) AS source_hash FROM documents")
+def text_hash(spark, d):
+    return fx.documents(spark, d).select("doc_id", names.text_hash("text").alias("source_hash"))
+
+
+@query(f"SELECT doc_id, {fx.pid('md5(text)')} AS point_id FROM documents")
+def point_id(spark, d):
+    return fx.documents(spark, d).select("doc_id", names.point_id(names.text_hash("text")).alias("point_id"))
+
+
+@query(f"SELECT {fx.pid('h')} AS point_id, h AS source_hash, text AS source_text, 'run' AS embed_run_id FROM (SELECT DISTINCT md5(text) AS h, text FROM documents)")
+def point_build(spark, d):
+    return dedup.one_per_text(dedup.addressed(fx.documents(spark, d), "text")).withColumn("embed_run_id", F.lit("run"))
+
+
+@query("SELECT DISTINCT md5(text) AS source_hash, text AS source_text FROM documents WHERE text IS NOT NULL AND text <> ''")
+def collection_scan_texts(spark, d):
+    points = dedup.one_per_text(dedup.addressed(fx.documents(spark, d), "text"))
+    return migrate.with_text(points).select("source_hash", "source_text")
+
+
+# Deduplication
+
+
+@query(f"WITH {fx.KNOWN}, t AS (SELECT source, md5(text) AS h, count(*) AS n FROM documents GROUP BY 1, 2) SELECT t.source, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_texts, CAST(count(*) FILTER (WHERE k.source_hash IS NULL) AS BIGINT) AS n_new FROM t LEFT JOIN known k ON k.source_hash = t.h GROUP BY 1")
+def dedup_anti(spark, d):
+    texts = dedup.addressed(fx.documents(spark, d), "text").groupBy("source", "source_hash").agg(F.count("*").alias("n"))
+    new = dedup.unseen(texts, fx.known_hashes(spark, d)).groupBy("source").agg(F.count("*").alias("n_new"))
+    return texts.groupBy("source").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_texts")).join(new, "source", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
+
+
+@query(f"WITH {fx.KNOWN} SELECT source, count(*) AS n_deduped FROM documents WHERE md5(text) IN (SELECT source_hash FROM known) GROUP BY 1")
+def dedup_semi_count(spark, d):
+    return dedup.seen(dedup.addressed(fx.documents(spark, d), "text"), fx.known_hashes(spark, d)).groupBy("source").agg(F.count("*").alias("n_deduped"))
+
+
+@query(f"WITH {fx.KNOWN}, t AS (SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_null, CAST(sum(CASE WHEN k.source_hash IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS n_deduped, CAST(sum(CASE WHEN k.source_hash IS NULL THEN n - 1 ELSE 0 END) AS BIGINT) AS n_in_batch_dupes FROM t LEFT JOIN known k ON k.source_hash = t.h")
+def embed_run_metrics(spark, d):
+    return batch_metrics(fx.documents(spark, d), "text", fx.known_hashes(spark, d))
+
+
+@query(f"WITH {fx.KNOWN} SELECT {fx.pid('h')} AS point_id, 1536 AS dim, 1.0::DOUBLE AS norm FROM (SELECT DISTINCT md5(text) AS h FROM documents) WHERE h NOT IN (SELECT source_hash FROM known)")
+def embed_shadow_flow(spark, d):
+    new = dedup.unseen(dedup.one_per_text(dedup.addressed(fx.documents(spark, d), "text")), fx.known_hashes(spark, d)).select("point_id", "source_hash")
+    made = providers.shadow(new, names.parse_model(MODEL), 128)
+    return made.select("point_id", F.size("vector").alias("dim"), F.round(v.norm("vector"), 4).alias("norm"))
+
+
+@query("SELECT doc_id, 1536 AS dim, 1.0::DOUBLE AS norm FROM documents")
+def shadow_vectors(spark, d):
+    rows = fx.documents(spark, d).select("doc_id", names.text_hash("text").alias("source_hash"))
+    return v.with_shadow_vectors(rows).select("doc_id", F.size("vector").alias("dim"), F.round(v.norm("vector"), 4).alias("norm"))
+
+
+# Names, prices and costs
+
+
+@query(f"WITH {fx.RUNS} SELECT DISTINCT model, split_part(model, '/', 1) AS provider, substr(model, instr(model, '/') + 1) AS name FROM runs")
+def parse_model(spark, d):
+    provider, name = names.model_columns("model")
+    return fx.runs(spark, d).select("model").distinct().select("model", provider.alias("provider"), name.alias("name"))
+
+
+@query("SELECT DISTINCT 'qdrant://host' || CAST(user_id % 7 AS VARCHAR) || ':70' || CAST(10 + user_id % 7 AS VARCHAR) || '/docs' AS sink, 'qdrant' AS scheme, 'host' || CAST(user_id % 7 AS VARCHAR) AS host, CAST(7010 + user_id % 7 AS INTEGER) AS port, 'docs' AS collection FROM events")
+def parse_sink(spark, d):
+    n = F.col("user_id") % 7
+    sinks = fx.table(spark, d, "events").select(F.concat(F.lit("qdrant://host"), n.cast("string"), F.lit(":70"), (n + 10).cast("string"), F.lit("/docs")).alias("sink")).distinct()
+    scheme, host, port, collection = names.sink_columns("sink")
+    return sinks.select("sink", scheme.alias("scheme"), host.alias("host"), port.alias("port"), collection.alias("collection"))
+
+
+@query(f"WITH {fx.RUNS} SELECT DISTINCT sink, sink || '_v2' AS sink_v2 FROM runs")
+def sink_v2_uri(spark, d):
+    return fx.runs(spark, d).select("sink").distinct().select("sink", names.v2_column("sink").alias("sink_v2"))
+
+
+_PRICE = "CASE " + " ".join(f"WHEN model = 'openai/{m}' THEN {p!r}" for m, p in providers.PRICES.items()) + f" ELSE {providers.DEFAULT_PRICE!r} END"
+
+
+@query(f"WITH {fx.RUNS}, t AS (SELECT model, CAST(sum(n_rows) AS BIGINT) AS n_tokens FROM runs GROUP BY 1) SELECT model, n_tokens, round(n_tokens * CAST({_PRICE} AS DOUBLE) * 1e6, 3) AS micro_usd FROM t")
+def embed_cost(spark, d):
+    tokens = fx.runs(spark, d).groupBy("model").agg(F.sum("n_rows").alias("n_tokens"))
+    priced = tokens.withColumn("name", names.model_columns("model")[1]).join(F.broadcast(providers.price_table(spark)), "name", "left")  # a row for each known model
+    return priced.select("model", "n_tokens", F.round(F.col("n_tokens") * F.coalesce("usd_per_token", F.lit(providers.DEFAULT_PRICE)) * 1e6, 3).alias("micro_usd"))
+
+
+# Ledger
+
+
+@query(f"WITH {fx.RUNS}, {fx.PROVENANCE} SELECT DISTINCT source_hash FROM prov JOIN runs USING (run_id) WHERE model = '{MODEL}' AND sink = '{SINK}'")
+def ledger_known_hashes(spark, d):
+    return ledger.known_hashes(fx.provenance(spark, d), fx.runs(spark, d), MODEL, SINK)
+
+
+@query(f"WITH {fx.RUNS}, {fx.PROVENANCE} SELECT embedding_id, embedding_id AS source_pk, source_hash, prov.run_id, model, sink, {AT} FROM prov JOIN runs USING (run_id)")
+def ledger_provenance(spark, d):
+    return ledger.lineage(fx.provenance(spark, d), fx.runs(spark, d)).select("embedding_id", "source_pk", "source_hash", "run_id", "model", "sink", at())
+
+
+@query(f"WITH {fx.RUNS} SELECT model, CAST(sum(CAST(cost_usd AS DECIMAL(18,6))) AS DOUBLE) AS cost_usd FROM runs GROUP BY 1")
+def ledger_cost_by_model(spark, d):
+    return ledger.cost_by_model(fx.runs(spark, d)).select("model", F.col("cost_usd").cast("double").alias("cost_usd"))
+
+
+@query(f"WITH {fx.RUNS} SELECT run_id, {AT}, model, sink, n_rows FROM runs WHERE sink = '{SINK}' ORDER BY timestamp DESC, run_id LIMIT 5")
+def ledger_recent_runs(spark, d):
+    return ledger.recent_runs(fx.runs(spark, d), SINK).select("run_id", at(), "model", "sink", "n_rows")
+
+
+@query(f"WITH {fx.RUNS} SELECT run_id, CASE WHEN event_type = 'view' THEN n_rows + 1 ELSE n_rows END AS n_rows FROM runs")
+def ledger_run_replace(spark, d):
+    runs = fx.runs(spark, d)
+    again = runs.where("event_type = 'view'").withColumn("n_rows", F.col("n_rows") + 1)
+    return merge_replace(runs, again, ["run_id"]).select("run_id", "n_rows")
+
+
+@query(f"WITH {fx.KNOWN} SELECT h AS source_hash, CASE WHEN h IN (SELECT source_hash FROM known) THEN 'first' ELSE 'second' END AS run_id FROM (SELECT DISTINCT md5(text) AS h FROM documents)")
+def ledger_prov_ignore(spark, d):
+    old = fx.known_hashes(spark, d).withColumn("run_id", F.lit("first"))
+    new = dedup.one_per_text(dedup.addressed(fx.documents(spark, d), "text")).select("source_hash", F.lit("second").alias("run_id"))
+    return insert_ignore(old, new, ["source_hash"])
+
+
+@query(f"WITH {fx.RUNS} SELECT run_id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS at, model, n_rows, printf('%.4f', cost_usd) AS cost_usd FROM runs ORDER BY timestamp DESC, run_id LIMIT 5")
+def status_report(spark, d):
+    return ledger.status(fx.runs(spark, d))
+
+
+@query(f"WITH {fx.RUNS}, {fx.WATCH_RUNS} SELECT source_table, sink, arg_max(to_version, timestamp) AS to_version FROM watch_runs GROUP BY 1, 2")
+def watch_last_version(spark, d):
+    return ledger.last_versions(fx.watch_runs(spark, d))
+
+
+@query(f"WITH {fx.RUNS}, {fx.WATCH_RUNS}, w AS (SELECT *, to_version + CASE WHEN to_version % 2 = 0 THEN 1000 ELSE 0 END AS v FROM watch_runs) SELECT source_table, sink, arg_max(v, timestamp) AS to_version FROM w GROUP BY 1, 2")
+def watch_checkpoint(spark, d):
+    old = fx.watch_runs(spark, d)
+    return ledger.last_versions(merge_replace(old, old.where("to_version % 2 = 0").withColumn("to_version", F.col("to_version") + 1000), ["run_id"]))
+
+
+# Change feed
+
+_ROWS = "doc_id, md5(text) AS source_hash, _change_type, _commit_version"
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", names.text_hash("text").alias("source_hash"), "_change_type", "_commit_version")
+
+
+@query(f"WITH {fx.FEED} SELECT {_ROWS} FROM feed WHERE _commit_version BETWEEN 1 AND 2")
+def cdf_window(spark, d):
+    return _rows(cdf.window(fx.feed(spark, d), 1, 2))
+
+
+@query(f"WITH {fx.FEED} SELECT {_ROWS} FROM feed WHERE _change_type IN ('insert', 'update_postimage')")
+def cdf_upserts(spark, d):
+    return _rows(cdf.upserts(fx.feed(spark, d)))
+
+
+@query(f"WITH {fx.FEED} SELECT {_ROWS} FROM feed WHERE _change_type = 'delete'")
+def cdf_deletes(spark, d):
+    return _rows(cdf.deletes(fx.feed(spark, d)))
+
+
+_COUNTS = "CAST(count(*) FILTER (WHERE _change_type = 'insert') AS BIGINT) AS n_inserted, CAST(count(*) FILTER (WHERE _change_type = 'update_postimage') AS BIGINT) AS n_updated, CAST(count(*) FILTER (WHERE _change_type = 'delete') AS BIGINT) AS n_deleted"
+
+
+@query(f"WITH {fx.FEED} SELECT {_COUNTS}, max(_commit_version) AS to_version FROM feed WHERE _commit_version >= 1")
+def cdf_counts(spark, d):
+    return cdf.metrics(cdf.window(fx.feed(spark, d), 1))
+
+
+@query("SELECT CAST(9 AS BIGINT) AS to_version")
+def cdf_high_watermark(spark, d):
+    """Of a window with nothing in it: the version to start from stays."""
+    return cdf.metrics(cdf.window(fx.feed(spark, d), 9), 9).select("to_version")
+
+
+_NET = "net AS (SELECT doc_id, arg_max(text, _commit_version) AS text, arg_max(_change_type, _commit_version) <> 'delete' AS live FROM feed WHERE _change_type <> 'update_preimage' GROUP BY 1)"
+
+
+@query(f"WITH {fx.FEED}, {_NET} SELECT DISTINCT md5(text) AS source_hash FROM feed WHERE _change_type IN ('delete', 'update_preimage') AND text NOT IN (SELECT text FROM net WHERE live)")
+def cdf_orphans(spark, d):
+    return cdf.orphans(fx.feed(spark, d), "doc_id", "text").select(names.text_hash("text").alias("source_hash"))
+
+
+@query(f"WITH {fx.FEED}, {_NET} SELECT DISTINCT md5(text) AS source_hash, {fx.pid('md5(text)')} AS point_id FROM feed WHERE text NOT IN (SELECT text FROM feed WHERE _change_type IN ('delete', 'update_preimage') AND text NOT IN (SELECT text FROM net WHERE live))")
+def cdf_delete_apply(spark, d):
+    feed = fx.feed(spark, d)
+    points = dedup.one_per_text(dedup.addressed(cdf.upserts(feed), "text")).select("source_hash", "point_id")
+    gone = dedup.addressed(cdf.orphans(feed, "doc_id", "text"), "text").select("point_id")
+    return points.join(gone, "point_id", "left_anti").select("source_hash", "point_id")
+
+
+@query(f"WITH {fx.FEED}, {_NET} SELECT DISTINCT {fx.pid('md5(text)')} AS point_id FROM net WHERE live")
+def watch_apply(spark, d):
+    """The collection after the whole feed: a point for each text that some row has."""
+    return dedup.one_per_text(dedup.addressed(cdf.net_changes(fx.feed(spark, d), "doc_id", "text").where("live"), "text")).select("point_id")
+
+
+@query(f"WITH {fx.FEED} SELECT _change_type, _commit_version, count(*) AS n FROM feed GROUP BY 1, 2")
+def watch_stream(spark, d):
+    docs = fx.documents(spark, d)
+    full = fx.table(spark, d, "documents").schema
+    stream = spark.readStream.schema(full).option("pathGlobFilter", "documents.parquet").parquet(d).select(*docs.columns)
+    name = f"watch_stream_{uuid.uuid4().hex}"
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    started = stream_counts(fx.feed_of(stream), name, f"{shared}/{name}")
+    started.awaitTermination()
+    return spark.table(name)
+
+
+# Keyed merges of collections
+
+
+@query("SELECT doc_id, md5(CASE WHEN doc_id % 10 = 0 THEN text || ' [rev1]' ELSE text END) AS source_hash FROM documents")
+def sink_upsert_merge(spark, d):
+    docs = fx.documents(spark, d).select("doc_id", "text")
+    merged = merge_replace(docs, docs.where("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" [rev1]"))), ["doc_id"])
+    return merged.select("doc_id", names.text_hash("text").alias("source_hash"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN doc_id % 10 < 8 THEN text ELSE text || ' [new]' END) AS source_hash FROM documents")
+def sink_insert_if_absent(spark, d):
+    docs = fx.documents(spark, d).select("doc_id", "text")
+    merged = insert_ignore(docs.where("doc_id % 10 < 8"), docs.withColumn("text", F.concat("text", F.lit(" [new]"))), ["doc_id"])
+    return merged.select("doc_id", names.text_hash("text").alias("source_hash"))
+
+
+# Samples and folds
+
+_TEXTS = "t AS (SELECT DISTINCT md5(text) AS source_hash FROM documents)"
+
+
+@query(f"WITH {_TEXTS} SELECT source_hash FROM t ORDER BY md5('0:' || source_hash), source_hash LIMIT 200")
+def sample_pairs(spark, d):
+    texts = dedup.one_per_text(dedup.addressed(fx.documents(spark, d), "text")).select("source_hash")
+    return adapter.sample_pairs(texts, 200, "source_hash")
+
+
+@query(f"WITH {_TEXTS} SELECT source_hash, CASE WHEN row_number() OVER (ORDER BY md5(source_hash), source_hash) <= floor((SELECT count(*) FROM t) * 0.9) THEN 'fit' ELSE 'validate' END AS fold FROM t")
+def train_val_split(spark, d):
+    return migrate.split(dedup.one_per_text(dedup.addressed(fx.documents(spark, d), "text")).select("source_hash"), "source_hash")
+
+
+# Vectors, adapters and recall
+
+
+@query(f"WITH {fx.VECTORS} SELECT a.id AS vec_id, round(list_inner_product(a.v, b.v), 6) + 0.0 AS cosine FROM e a JOIN e b ON b.id = a.id + 1")
+def pair_cosine(spark, d):
+    e = fx.vectors(spark, d)
+    after = e.select((F.col("id") - 1).alias("id"), F.col("vector").alias("next"))
+    return e.join(after, "id").select(F.col("id").alias("vec_id"), (F.round(v.dot("vector", "next"), 6) + 0.0).alias("cosine"))
+
+
+@query(f"WITH {fx.VECTORS} SELECT id AS vec_id, round(sqrt(list_inner_product(v, v)), 5) AS norm FROM e")
+def vector_norms(spark, d):
+    return fx.vectors(spark, d).select(F.col("id").alias("vec_id"), F.round(v.norm("vector"), 5).alias("norm"))
+
+
+def _knn(name: str, queries: str, k: int, extra: str = "") -> str:
+    return f"{name} AS (SELECT query_id, id, rank FROM (SELECT a.id AS query_id, b.id AS id, row_number() OVER (PARTITION BY a.id ORDER BY list_inner_product(a.v, b.v) DESC, b.id) AS rank FROM {queries} a JOIN e b ON {extra or 'a.id <> b.id'}) WHERE rank <= {k})"
+
+
+@query(f"WITH {fx.VECTORS}, {_knn('k', 'e', 10)} SELECT query_id, CAST(rank AS INTEGER) AS rank, id FROM k")
+def knn_cosine(spark, d):
+    e = fx.vectors(spark, d)
+    return v.nearest(e, e, 10).select("query_id", "rank", "id")
+
+
+@query(f"WITH {fx.VECTORS} SELECT e.id, round(e.v[1], 6) + 0.0 AS old_first, round(s.v[64], 6) + 0.0 AS new_last FROM e JOIN s USING (id)")
+def paired_vectors(spark, d):
+    e = fx.vectors(spark, d)
+    return adapter.paired(e, fx.shifted(e), "id").select("id", (F.round(F.element_at("old", 1), 6) + 0.0).alias("old_first"), (F.round(F.element_at("new", 64), 6) + 0.0).alias("new_last"))
+
+
+@query(f"WITH {fx.VECTORS}, a AS (SELECT e.id, unnest(range(64)) AS i, unnest(e.v) AS x FROM e), b AS (SELECT s.id, unnest(range(64)) AS j, unnest(s.v) AS y FROM s) SELECT i, j, round(sum(x * y), 4) + 0.0 AS v FROM a JOIN b USING (id) GROUP BY 1, 2")
+def adapter_cross_cov(spark, d):
+    e = fx.vectors(spark, d)
+    return adapter.cross_covariance(adapter.paired(e, fx.shifted(e), "id")).select("i", "j", (F.round("v", 4) + 0.0).alias("v"))
+
+
+def _fitted(spark, d) -> tuple[DataFrame, DataFrame, adapter.Adapter]:
+    e = fx.vectors(spark, d)
+    new = fx.shifted(e)
+    return e, new, adapter.fit(adapter.paired(e, new, "id"))
+
+
+@query("SELECT i, (i + 63) % 64 AS j, 1.0::DOUBLE AS r FROM (SELECT unnest(range(64)) AS i)")
+def adapter_fit(spark, d):
+    """The cells of the fitted matrix that aren't zero."""
+    r = _fitted(spark, d)[2].r
+    return spark.createDataFrame([(i, j, round(float(r[i, j]), 4)) for i in range(len(r)) for j in range(len(r)) if abs(r[i, j]) > 1e-4], "i long, j long, r double")
+
+
+@query(f"WITH {fx.VECTORS} SELECT id, 0.0::DOUBLE AS distance FROM e")
+def adapter_predict(spark, d):
+    e, new, fitted = _fitted(spark, d)
+    both = adapter.predict(new, fitted.r).select("id", "adapted").join(e, "id")
+    gap = F.zip_with("adapted", "vector", lambda a, b: F.abs(a - b))
+    return both.select("id", (F.round(F.array_max(gap), 4) + 0.0).alias("distance"))
+
+
+def _arr(spark, d, r) -> DataFrame:
+    e = fx.vectors(spark, d)
+    adapted = adapter.predict(fx.shifted(e), r).select("id", F.col("adapted").alias("vector"))
+    return evaluate.adapted_recall(e, adapted, 10).select(F.round("arr", 6).alias("arr"))
+
+
+@query("SELECT 1.0::DOUBLE AS arr")
+def arr_perfect(spark, d):
+    return _arr(spark, d, _fitted(spark, d)[2].r)
+
+
+_ARR = f"{fx.VECTORS}, {_knn('o', 'e', 10)}, {_knn('n', 's', 10)}"
+
+
+@query(f"WITH {_ARR} SELECT round(count(n.id) / (10.0 * (SELECT count(*) FROM e)), 6) AS arr FROM o LEFT JOIN n ON n.query_id = o.query_id AND n.id = o.id")
+def arr_degraded(spark, d):
+    """With the identity for an adapter."""
+    import numpy as np
+
+    return _arr(spark, d, np.eye(64))
+
+
+@query(f"SELECT DISTINCT {fx.pid('md5(text)')} AS point_id, md5(text) AS source_hash FROM documents WHERE text <> ''")
+def migrate_dual_write(spark, d):
+    """Points of the rewritten collection; the vectors come from the second model."""
+    collection = dedup.one_per_text(dedup.addressed(fx.documents(spark, d), "text"))
+    again = dedup.one_per_text(dedup.addressed(migrate.with_text(collection).select("source_text"), "source_text"))
+    made = providers.shadow(again.select("point_id", "source_hash"), names.parse_model(fx.OTHER_MODEL), 128, dim=64, salt=1)
+    return made.where(F.size("vector") == 64).select("point_id", "source_hash")
+
+
+@query(f"WITH {fx.VECTORS} SELECT count(*) AS n_pairs, 64 AS rank, 1.0::DOUBLE AS arr FROM e")
+def migrate_adapter(spark, d):
+    e, new, fitted = _fitted(spark, d)
+    adapted = materialised(adapter.predict(new, fitted.r).select("id", F.col("adapted").alias("vector")))
+    arr = evaluate.check(e, adapted, 10, 0.97)
+    return e.agg(F.count("*").alias("n_pairs")).select("n_pairs", F.lit(fitted.rank).alias("rank"), F.lit(round(arr, 6)).alias("arr"))
+
+
+@query(f"WITH {fx.VECTORS}, q AS (SELECT * FROM e WHERE id % 100 = 0), {_knn('k', 'q', 3, '1 = 1')} SELECT query_id, CAST(rank AS INTEGER) AS rank, id FROM k")
+def search_adapted(spark, d):
+    """New-model queries turned by the adapter and searched in the old collection."""
+    e, new, fitted = _fitted(spark, d)
+    asked = adapter.predict(new.where("id % 100 = 0"), fitted.r).select("id", F.col("adapted").alias("vector"))
+    return v.nearest(asked, e, 3, exclude_same_id=False).select("query_id", "rank", "id")
+
+
+@query(f"WITH {fx.VECTORS}, q AS (SELECT * FROM e WHERE id % 100 = 0), {_knn('k', 'q', 3, '1 = 1')} SELECT query_id, CAST(rank AS INTEGER) AS rank, id FROM k")
+def search_v2(spark, d):
+    """New-model queries searched in the rewritten collection: the turn keeps all inner products."""
+    new = fx.shifted(fx.vectors(spark, d))
+    return v.nearest(new.where("id % 100 = 0"), new, 3, exclude_same_id=False).select("query_id", "rank", "id")
+
+
+@query(f"WITH {_ARR}, r AS (SELECT round(count(n.id) / (10.0 * (SELECT count(*) FROM e)), 6) AS x FROM o LEFT JOIN n ON n.query_id = o.query_id AND n.id = o.id) SELECT 1.0::DOUBLE AS recall_old, x AS recall_new, round(x - 1.0, 6) AS delta FROM r")
+def shadow_eval_delta(spark, d):
+    """Recall of two collections for the same queries against the old model's truth; the second is searched without an adapter."""
+    e = fx.vectors(spark, d)
+    truth = materialised(v.nearest(e, e, 10))
+    found = v.nearest(fx.shifted(e), e, 10)
+    return evaluate.recall_delta(truth, truth, found, 10).select("recall_old", F.round("recall_new", 6).alias("recall_new"), F.round("delta", 6).alias("delta"))
