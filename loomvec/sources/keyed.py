@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomvec.sources.schemas import CHANGE_LOG
+
 COMPACT_AFTER = 16
 
 
@@ -50,7 +52,7 @@ class KeyedTable:
 
     def _log(self) -> DataFrame | None:
         names = self._commits()
-        return self.spark.read.schema(StructType([*self.schema.fields, *StructType.fromDDL("__seq long, __gone boolean").fields])).parquet(*[f"{self.path}/{n}" for n in names]) if names else None
+        return self.spark.read.schema(StructType([*self.schema.fields, *CHANGE_LOG.fields])).parquet(*[f"{self.path}/{n}" for n in names]) if names else None
 
     def read(self) -> DataFrame:
         log = self._log()
