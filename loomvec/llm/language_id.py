@@ -160,9 +160,12 @@ def fit(docs: DataFrame, sample: int = 4000) -> ByteConvNet | None:
     return train(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 
 
-def identify(docs: DataFrame, model: ByteConvNet | None, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: all) of every document, with ``lang_pred`` and ``score``; the text alone decides."""
-    keep = docs.columns if keep is None else keep
+def identify(docs: DataFrame, model: ByteConvNet | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns (default: all) of every document, with its language and score; the text alone decides.
+
+    Columns that have the ``names`` of the results already are replaced.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     inner = docs.select("text", F.struct(F.lit(1).alias("one"), *[F.col(f"`{c}`") for c in keep if c != "text"]).alias("row"))
     text_out = "text" in keep
 
@@ -171,12 +174,12 @@ def identify(docs: DataFrame, model: ByteConvNet | None, keep: list[str] | None
         for batch in batches:
             for b in blocks(batch, "text"):
                 langs, scores = predict(model, tables, b.column("text").to_pylist())
-                cols = {"row": b.column("row"), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
+                cols = {"row": b.column("row"), names[0]: pa.array(langs, pa.string()), names[1]: pa.array(scores, pa.float64())}
                 yield pa.RecordBatch.from_pydict(({"text": b.column("text")} if text_out else {}) | cols)
 
     fields = inner.schema.fields if text_out else [inner.schema["row"]]
-    out = inner.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in keep], "lang_pred", "score")
+    out = inner.mapInArrow(run, T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in keep], *names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -188,5 +191,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Documents whose language is recognised with a score of at least ``least``; the rest go."""
-    marked = identify(docs.select(*docs.columns), fit(docs))
-    return marked.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+    marked = identify(docs, fit(docs), names=("__language", "__sureness"))
+    return marked.where((F.col("__language") != UNDETERMINED) & (F.col("__sureness") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

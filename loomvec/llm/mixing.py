@@ -144,9 +144,9 @@ def plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = 8.0, least: float = 0.0) -> DataFrame:
     """``docs``, each row as often as its copies say."""
-    chosen = plan(docs, labels, targets, most, least).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "copies")
+    chosen = plan(docs, labels, targets, most, least).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("copies").alias("__copies"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns]).join(chosen, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns]).join(chosen, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__id", "__key", "__copies", "__copy")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -158,4 +158,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as their rates say. Rates are at least 1 here, as the filters have spoken: no document goes."""
-    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), STAGE_TARGETS, least=1.0).select(*docs.columns)
+    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), STAGE_TARGETS, least=1.0)

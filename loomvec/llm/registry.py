@@ -1,4 +1,7 @@
-"""Queries of the training-data operators, by name. None of them can be put in portable SQL (tokenizers, trained models, XXH64 votes), but where one can, ORACLE_SQL has it."""
+"""Queries of the training-data operators, by name, and SQL for those that SQL can express.
+
+Trained models, tokenizers, XXH64 and seeded draws have no SQL; those operators are tested against brute force.
+"""
 
 from loomvec.llm import chat, cross_polytope, language_id, mixing, packing, sharding, simhash, token_counts, toxicity, winnowing
 
@@ -15,4 +18,18 @@ QUERIES = {
     "op10_cross_polytope": cross_polytope.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPED = r"length(replace(replace({0}, '\', '\\'), '<|', '<\|'))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_chat": rf"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{chat.PROBE_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{chat.PROBE_TEXT}'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat.START) + len(chat.END) + 2} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
+}
