@@ -14,7 +14,7 @@ A cell hands on a spanning forest of its links, never all pairs.
 
 ``deduplicate`` looks for a similarity of 0.8 over five-word shingles instead, which moves about 10 bits of 64. It
 votes on LANES x 64 bits, meets pairs in cells of sampled bits (enough of them that a pair at 0.8 meets with a
-probability of 0.97), discards by pivots in the first lane, and links pairs within WIDE_LIMIT of all bits.
+probability of 0.99), discards by pivots in the first lane, and links pairs within WIDE_LIMIT of all bits.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; fewer words
 than a shingle make one shingle; a component's id is the smallest non-null doc_id in it (null if there is none).
@@ -45,7 +45,7 @@ TILE = 4096
 N_PIVOTS = 32
 #: 64-bit lanes of the wide fingerprint, and the differing bits of all at which it still links. A similarity
 #: of 0.8 moves 39 of 256 bits on average, with a deviation of 6; of 0.6, 59.
-LANES, WIDE_LIMIT = 4, 46
+LANES, WIDE_LIMIT = 4, 48
 
 
 def shingles(text: bytes, width: int) -> Iterator[list[bytes]]:
@@ -255,16 +255,16 @@ def components(docs: DataFrame, width: int = 4, distance: int = 4, segments: int
     return grouped(checkpointed(fingerprint_table(docs, width)), segment_masks(distance, segments), distance, distance)
 
 
-def deduplicate(docs: DataFrame, width: int = 5, limit: int = WIDE_LIMIT, bits: int = 13, tables: int = 28) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5, limit: int = WIDE_LIMIT, bits: int = 13, tables: int = 36) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id (of repeated rows, one)."""
     thin = checkpointed(fingerprint_table(docs, width, LANES))
     thin = grouped(thin, sampled_masks(LANES, bits, tables), limit, 24)
     # a group's keeper: smallest id, then smallest text hash; the aggregate combines before it is shuffled
     best = thin.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("b"), F.count("*").alias("n"))
-    best = checkpointed(best.select(F.col("b.doc_id").alias("keep_id"), F.col("b.text_key").alias("keep_key"), "n"))
-    same = lambda: F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
-    kept = docs.withColumn("__key", F.xxhash64("text")).join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__key") == F.col("keep_key")), "left_semi").drop("__key")
-    repeated = thin.join(best.where("n > 1"), same(), "left_semi").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    best = checkpointed(best.select(F.col("b.doc_id").alias("__keep_id"), F.col("b.text_key").alias("__keep_key"), F.col("n").alias("__n")))
+    keeper = lambda key: F.col("doc_id").cast("long").eqNullSafe(F.col("__keep_id")) & (F.col(key) == F.col("__keep_key"))
+    kept = docs.withColumn("__key", F.xxhash64("text")).join(best, keeper("__key"), "left_semi").drop("__key")
+    repeated = thin.join(best.where("__n > 1"), keeper("text_key"), "left_semi").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
@@ -276,4 +276,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays."""
-    return deduplicate(docs).select(*docs.columns)
+    return deduplicate(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
