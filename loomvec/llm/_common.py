@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch on its way from Spark to Python.
+BATCH_ROWS = 1000
 #: Rows that a Python operator holds at once, whatever the size of Spark's batches.
 BLOCK_ROWS = 256
 #: Bytes of text that a Python operator holds at once (a longer text makes a block of its own).
@@ -34,6 +36,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` unchanged, with the session told to hand texts to Python in batches of at most BATCH_ROWS rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > BATCH_ROWS or int(conf.get(key)) <= 0:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def crc_remainder(col: str | Column, m: int) -> Column:
     """crc32 of the value as text, modulo ``m``; null stays null."""
     return F.crc32((F.col(col) if isinstance(col, str) else col).cast("string").cast("binary")) % m

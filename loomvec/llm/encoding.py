@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 from array import array
 from functools import cached_property
 
@@ -20,7 +22,7 @@ LETTERS = "a-zªµºß-öø-ÿ"
 NUMBERS = "0-9²³¹¼½¾"
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 #: Pieces that a worker remembers, and the longest piece it does.
-CACHE_PIECES, CACHE_LENGTH = 500_000, 64
+CACHE_PIECES, CACHE_LENGTH = 250_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -100,3 +102,13 @@ class WordEncoder:
         for i, ids in zip(rest, self.whole([texts[i] for i in rest]) if rest else [], strict=True):
             out[i] = ids
         return out
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder that this Python worker keeps from task to task: loaded once, with one bounded cache."""
+    state = sys.modules.setdefault("_loomvec_worker", types.ModuleType("_loomvec_worker"))
+    encoders = state.__dict__.setdefault("encoders", {})
+    if path not in encoders:
+        encoders.clear()
+        encoders[path] = WordEncoder(path)
+    return encoders[path]

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomvec.llm._common import blocks
-from loomvec.llm.encoding import WordEncoder, default_path
+from loomvec.llm._common import blocks, small_batches
+from loomvec.llm.encoding import default_path, worker_encoder
 
 
 def lengths(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -25,13 +25,13 @@ def lengths(docs: DataFrame, path: str | None = None, text: str = "text") -> Dat
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = worker_encoder(path)
         for batch in batches:
             for b in blocks(batch, "text"):
                 n = [len(i) // 4 for i in encoder.encode([t or "" for t in b.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def histogram(counted: DataFrame) -> DataFrame:
