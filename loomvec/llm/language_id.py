@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomvec.llm._common import blocks, crc_remainder, hash_fraction
+from loomvec.llm._common import blocks, crc_remainder, hash_fraction, small_batches
 
 UNDETERMINED = "und"
 WINDOW = 256
@@ -132,11 +132,11 @@ def predict(model: ByteConvNet | None, tables: dict, texts: list[str | None]) ->
     size = np.zeros(len(rows))
     all_windows = np.concatenate([windows_of(t) for t in raw]) if rows else np.zeros((0, WINDOW), np.uint8)
     owner = np.repeat(np.arange(len(rows)), counts)
-    for at in range(0, len(all_windows), 512):
-        w = all_windows[at : at + 512]
+    for at in range(0, len(all_windows), 256):
+        w = all_windows[at : at + 256]
         real = (w != 0).sum(axis=1)
-        np.add.at(total, owner[at : at + 512], model.log_probabilities(w, tables) * real[:, None])
-        np.add.at(size, owner[at : at + 512], real)
+        np.add.at(total, owner[at : at + 256], model.log_probabilities(w, tables) * real[:, None])
+        np.add.at(size, owner[at : at + 256], real)
     mean = total / np.maximum(size, 1)[:, None]
     q = np.exp(mean - mean.max(axis=1, keepdims=True)) if rows else mean
     best = mean.argmax(axis=1) if rows else []
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: ByteConvNet | None, keep: list[str] | None
     Columns that have the ``names`` of the results already are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    inner = docs.select("text", F.struct(F.lit(1).alias("one"), *[F.col(f"`{c}`") for c in keep if c != "text"]).alias("row"))
+    inner = small_batches(docs).select("text", F.struct(F.lit(1).alias("one"), *[F.col(f"`{c}`") for c in keep if c != "text"]).alias("row"))
     text_out = "text" in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvec.llm._common import blocks, checkpointed
+from loomvec.llm._common import blocks, checkpointed, small_batches
 from loomvec.llm.components import connected_components
 
 SEED = 42
@@ -114,7 +114,7 @@ def fingerprint_table(docs: DataFrame, width: int = 4, lanes: int = 1) -> DataFr
                 fp = fingerprints(b.column("text").to_pylist(), width, lanes).view(np.int64)
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key")} | {n: pa.array(np.ascontiguousarray(fp[:, k])) for k, n in enumerate(names)})
 
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    raw = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     return raw.mapInArrow(run, "doc_id long, text_key long, " + ", ".join(f"{n} long" for n in names))
 
 

@@ -18,7 +18,8 @@ occurs more than once for a document counts as its largest value.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomvec.llm._common import blocks, crc_remainder, hash_fraction
+from loomvec.llm._common import blocks, crc_remainder, hash_fraction, small_batches
 
 BITS = 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 #: Groups of interchangeable identity terms, for counterfactual swaps.
@@ -77,7 +78,7 @@ def swapped(words: set[str], rng: np.random.Generator) -> set[str] | None:
     return (words - set(own)) | {str(rng.choice([t for t in IDENTITY_TERMS[KIND[w]] if t != w])) for w in own}
 
 
-def train(texts: list[str | None], labels: list[int], counterfactual: float = 1.0, l1: float = 1e-4, steps: int = 120, seed: int = 11) -> ToxicityModel | None:
+def train(texts: Iterable[str | None], labels: list[int], counterfactual: float = 1.0, l1: float = 1e-4, steps: int = 120, seed: int = 11) -> ToxicityModel | None:
     """Minimise logistic loss + ``counterfactual`` x mean squared logit change over swap pairs + ``l1`` |weights|."""
     if len(set(labels)) < 2:
         return None
@@ -101,10 +102,14 @@ def train(texts: list[str | None], labels: list[int], counterfactual: float = 1.
     prow = np.repeat(np.arange(len(pairs), dtype=np.int32), [len(a) + len(b) for a, b in pairs])
     pcol = np.array([w for a, b in pairs for w in (*a, *b)], np.int32)
     psign = np.array([s for a, b in pairs for s in (*[-1.0] * len(a), *[1.0] * len(b))])
-    lists = [features(w) for w in vocabulary]
-    fword = np.repeat(np.arange(len(lists), dtype=np.int32), [len(f) for f in lists])
-    used, fcol = np.unique(np.array([f for fs in lists for f in fs], np.int64), return_inverse=True)
-    del lists
+    flat, each = array("I"), array("B")
+    for w in vocabulary:
+        own = features(w)
+        flat.extend(own)
+        each.append(len(own))
+    fword = np.repeat(np.arange(len(vocabulary), dtype=np.int32), np.frombuffer(each, np.uint8))
+    used, fcol = np.unique(np.frombuffer(flat, np.uint32), return_inverse=True)
+    fcol = fcol.astype(np.int32)
     # how far each feature's odds are from even, in standard errors; rare and even features get no say
     seen = np.bincount(fcol, np.bincount(col, minlength=len(vocabulary))[fword].astype(float), len(used))
     toxic = np.bincount(fcol, np.bincount(col, y[row], len(vocabulary))[fword], len(used))
@@ -116,8 +121,8 @@ def train(texts: list[str | None], labels: list[int], counterfactual: float = 1.
             own = fcol[fword == vocabulary[t]]
             scale[own] = np.maximum(scale[own], 0.1)
     some = np.flatnonzero(scale)
-    place = np.full(len(used), -1)
-    place[some] = np.arange(len(some))
+    place = np.full(len(used), -1, np.int32)
+    place[some] = np.arange(len(some), dtype=np.int32)
     held = scale[fcol] > 0
     fword, fcol, scale, used = fword[held], place[fcol[held]], scale[some], used[some]
     balance = np.where(y > 0, 0.25 / max(mean, 1e-9), 0.25 / max(1 - mean, 1e-9)) / n + 0.5 / n
@@ -143,7 +148,7 @@ def train(texts: list[str | None], labels: list[int], counterfactual: float = 1.
     return ToxicityModel(weights, b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> ToxicityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000) -> ToxicityModel | None:
     """Learn from at most about ``sample`` labelled documents outside the held-out fold (crc32 of the id modulo 5 is 0)."""
     usable = labels.where((crc_remainder("doc_id", 5) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = usable.count()
@@ -153,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> ToxicityMod
         usable = usable.where(hash_fraction("doc_id", sample / n, "toxicity")).limit(2 * sample)
     # the label side is bounded by the sample, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("y")).limit(4 * sample).toArrow()
-    return train(rows.column("text").to_pylist(), rows.column("y").to_pylist())
+    return train((t.as_py() for t in rows.column("text")), rows.column("y").to_pylist())
 
 
 def score_texts(model: ToxicityModel | None, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
@@ -178,10 +183,10 @@ def score_texts(model: ToxicityModel | None, texts: list[str | None], cache: dic
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def score(docs: DataFrame, model: ToxicityModel | None, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: all) of every document, with ``tox_score``."""
-    keep = docs.columns if keep is None else keep
-    inner = docs.select("text", F.struct(F.lit(1).alias("one"), *[F.col(f"`{c}`") for c in keep if c != "text"]).alias("row"))
+def score(docs: DataFrame, model: ToxicityModel | None, keep: list[str] | None = None, name: str = "tox_score") -> DataFrame:
+    """``keep`` columns (default: all) of every document, with its score; a column of that ``name`` is replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
+    inner = small_batches(docs).select("text", F.struct(F.lit(1).alias("one"), *[F.col(f"`{c}`") for c in keep if c != "text"]).alias("row"))
     text_out = "text" in keep
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias) if model else None)  # 4 MB, whatever the input
 
@@ -190,12 +195,12 @@ def score(docs: DataFrame, model: ToxicityModel | None, keep: list[str] | None =
         cache: dict[str, float] = {}
         for batch in batches:
             for b in blocks(batch, "text"):
-                cols = {"row": b.column("row"), "tox_score": pa.array(score_texts(m, b.column("text").to_pylist(), cache), pa.float64())}
+                cols = {"row": b.column("row"), name: pa.array(score_texts(m, b.column("text").to_pylist(), cache), pa.float64())}
                 yield pa.RecordBatch.from_pydict(({"text": b.column("text")} if text_out else {}) | cols)
 
     fields = inner.schema.fields if text_out else [inner.schema["row"]]
-    out = inner.mapInArrow(run, T.StructType([*fields, T.StructField("tox_score", T.DoubleType())]))
-    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in keep], "tox_score")
+    out = inner.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in keep], name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -209,4 +214,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str, limit: float = 0.5) -> DataFrame:
     """Documents that score below ``limit``; toxic ones go."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).where(F.col("tox_score") < limit).select(*docs.columns)
+    return score(docs, model, name="__toxicity").where(F.col("__toxicity") < limit).select(*[F.col(f"`{c}`") for c in docs.columns])
