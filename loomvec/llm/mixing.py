@@ -26,9 +26,11 @@ from loomvec.llm._common import checkpointed, hash_fraction
 DOMAINS = ("high", "low", "toxic")
 #: Target tokens, as shares of all tokens.
 TARGETS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
-#: Of the pipeline's stage: a tenth more of the high domain, as little as there is of the others.
-STAGE_TARGETS = {"high": 1.10, "low": 0.01, "toxic": 0.01}
+#: Of the pipeline's stage, as multiples of what each domain has: a tenth more of the high one.
+STAGE_TARGETS = {"high": 1.1, "low": 1.0, "toxic": 1.0}
 FEATURES = 1 << 15
+#: Labelled documents inside and outside a domain below which it gets no weights: a few prove nothing.
+LEAST_LABELS = 8
 
 
 def with_words(df: DataFrame, text: str = "text") -> DataFrame:
@@ -68,6 +70,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
     seen = sum((F.col(d) for d in DOMAINS), F.lit(0))
 
     def weight(d: str) -> Column:
+        if min(total[d], everything - total[d]) < LEAST_LABELS:
+            return F.lit(0.0).alias(f"w_{d}")
         inside, outside, ni, no = F.col(d), seen - F.col(d), total[d], everything - total[d]
         share = seen / max(everything, 1)
         spread = F.sqrt(F.greatest(ni * share * (1 - share) * (no / max(everything, 1)), F.lit(1e-9)))
@@ -135,16 +139,21 @@ def copies(rate_: Column, key: Column) -> Column:
     return F.floor(rate_ + u).cast("int")
 
 
-def plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = 8.0, least: float = 0.0) -> DataFrame:
-    """``members`` with ``rate`` (from ``least`` to ``most``) and ``copies``; ``targets``: each domain's wanted tokens, as shares of all tokens there are."""
+def plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = 8.0, least: float = 0.0, multiples: bool = False) -> DataFrame:
+    """``members`` with ``rate`` (from ``least`` to ``most``) and ``copies``; ``targets``: each domain's wanted tokens, as shares of all tokens there are (``multiples``: of its own)"""
     table = checkpointed(members(docs, fit(docs, labels)))
-    steps = fit_rates(table, [targets[d] for d in DOMAINS], most, least)
+    wanted = [targets[d] for d in DOMAINS]
+    if multiples:
+        tokens = F.col("n_tokens") * F.col("n_rows")
+        now = table.agg(*[(F.sum(tokens * F.col(f"p_{d}")) / F.sum(tokens)).alias(d) for d in DOMAINS]).first()
+        wanted = [w * (now[d] or 0.0) for w, d in zip(wanted, DOMAINS, strict=True)]
+    steps = fit_rates(table, wanted, most, least)
     return table.withColumn("rate", rate(steps, most, least)).withColumn("copies", copies(F.col("rate"), F.struct("doc_id", "text_key")))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = 8.0, least: float = 0.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = 8.0, least: float = 0.0, multiples: bool = False) -> DataFrame:
     """``docs``, each row as often as its copies say."""
-    chosen = plan(docs, labels, targets, most, least).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("copies").alias("__copies"))
+    chosen = plan(docs, labels, targets, most, least, multiples).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("copies").alias("__copies"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns]).join(chosen, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__id", "__key", "__copies", "__copy")
 
@@ -158,4 +167,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as their rates say. Rates are at least 1 here, as the filters have spoken: no document goes."""
-    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), STAGE_TARGETS, least=1.0)
+    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), STAGE_TARGETS, least=1.0, multiples=True)
