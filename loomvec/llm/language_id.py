@@ -157,6 +157,7 @@ def fit(docs: DataFrame, sample: int = 4000) -> ByteConvNet | None:
     rows = usable.where(hash_fraction("doc_id", sample / n, "language")).select("text", "lang").limit(2 * sample).toArrow()
     if not rows.num_rows:
         rows = usable.select("text", "lang").limit(sample).toArrow()
+    rows = rows.sort_by([("text", "ascending"), ("lang", "ascending")])  # rows arrive in any order; the model must not depend on it
     return train(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 
 

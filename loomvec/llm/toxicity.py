@@ -158,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000) -> ToxicityMode
         usable = usable.where(hash_fraction("doc_id", sample / n, "toxicity")).limit(2 * sample)
     # the label side is bounded by the sample, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("y")).limit(4 * sample).toArrow()
+    rows = rows.sort_by([("text", "ascending"), ("y", "ascending")])  # rows arrive in any order; the model must not depend on it
     return train((t.as_py() for t in rows.column("text")), rows.column("y").to_pylist())
 
 
