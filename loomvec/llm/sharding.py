@@ -7,7 +7,7 @@ permuted locally and cut by its row of the matrix, rows are exchanged, and each
 is ``rows``: shard sizes differ by at most one, and where a row goes depends on nothing in it.
 
 Everything on the executors is DataFrame operations. Permutations are orders by seeded hashes, so a lost
-task is redone identically. Neither ranking puts a shard into one task: parts hold about ``part_rows`` rows, and the final
+task is redone identically. Neither ranking puts a shard into one task: there is a part for every ``part_rows`` rows, up to ``most_parts``, and the final
 order of a shard is counted within slices of its hash range.
 
 Defined results: null texts count as empty; repeated rows are separate rows (hash ties are only between
@@ -80,14 +80,14 @@ def literal_table(df: DataFrame, rows: list, schema: str) -> DataFrame:
     return one.select("r.*")
 
 
-def shard(df: DataFrame, identity: list[Column], shards: int = 24, seed: int = 17, part_rows: int = 20_000, slices: int = 16) -> DataFrame:
+def shard(df: DataFrame, identity: list[Column], shards: int = 24, seed: int = 17, part_rows: int = 20_000, most_parts: int = 16_384, slices: int = 16) -> DataFrame:
     """``df`` with ``shard`` and ``slot`` (gapless from 0 in each shard); ``identity`` tells rows apart as far as they differ."""
     key = df.withColumn("__h", F.xxhash64(F.lit(seed), *identity))
     n = key.count()
-    n_parts = max(1, -(-n // part_rows))
+    n_parts = max(1, min(most_parts, -(-n // part_rows)))  # so the matrix is bounded; larger parts are sorted on disk
     part = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__h")), F.lit(n_parts)).cast("int")
     key = key.withColumn("__part", part)
-    sizes = {r["__part"]: r["n"] for r in key.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row for each part_rows rows
+    sizes = {r["__part"]: r["n"] for r in key.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # at most most_parts rows
     order = sorted(sizes)
     matrix = communication_matrix([sizes[p] for p in order], even_sizes(n, shards), seed)
     ends = [{"__part": p, "__ends": [sum(row[: s + 1]) for s in range(shards)]} for p, row in zip(order, matrix, strict=True)]
