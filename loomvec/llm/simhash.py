@@ -14,7 +14,11 @@ A cell hands on a spanning forest of its links, never all pairs.
 
 ``deduplicate`` looks for a similarity of 0.8 over five-word shingles instead, which moves about 10 bits of 64. It
 votes on LANES x 64 bits, meets pairs in cells of sampled bits (enough of them that a pair at 0.8 meets with a
-probability of 0.99), discards by pivots in the first lane, and links pairs within WIDE_LIMIT of all bits.
+probability of 0.99), discards by pivots in the first lane, and takes pairs within WIDE_LIMIT of all bits for
+candidates. A cell hands on a minimum spanning forest by differing bits, in which every text is tied to its nearest, so
+that the shingles' own similarity can then be asked of each tie without losing a group's other ties. Ties within
+SURE_LIMIT stand by themselves; the others must have LEAST_SIMILARITY in the smallest SKETCH distinct shingle
+hashes of their union, which is exact for two texts that have no more than SKETCH of them together.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; fewer words
 than a shingle make one shingle; a component's id is the smallest non-null doc_id in it (null if there is none).
@@ -43,9 +47,11 @@ VOTES = 1 << 17
 TILE = 4096
 #: Reference fingerprints of the pivot table.
 N_PIVOTS = 32
-#: 64-bit lanes of the wide fingerprint, and the differing bits of all at which it still links. A similarity
-#: of 0.8 moves 39 of 256 bits on average, with a deviation of 6; of 0.6, 59.
-LANES, WIDE_LIMIT = 4, 48
+#: 64-bit lanes of the wide fingerprint, the differing bits of all up to which a pair is a candidate, and up to which it
+#: needs no further look. A similarity of 0.8 moves 39 of 256 bits on average, with a deviation of 6; of 0.75, 44.
+LANES, WIDE_LIMIT, SURE_LIMIT = 4, 54, 22
+#: Shingle hashes (32 bits each) that a text's sketch keeps, and the similarity that a pair of sketches must show.
+SKETCH, LEAST_SIMILARITY = 256, 0.8
 
 
 def shingles(text: bytes, width: int) -> Iterator[list[bytes]]:
@@ -75,8 +81,19 @@ def lane_hashes(h: np.ndarray, lane: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(texts: list[bytes | None], width: int = 4, lanes: int = 1) -> np.ndarray:
-    """(texts, lanes) uint64 fingerprints."""
+def smallest(hashes: np.ndarray) -> np.ndarray:
+    """The SKETCH smallest distinct values, in order."""
+    return np.unique(hashes)[:SKETCH]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity as two sketches show it: the share of the smallest values of the union that both hold."""
+    union = smallest(np.concatenate([a, b]))
+    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union) if len(union) else 1.0
+
+
+def fingerprints(texts: list[bytes | None], width: int = 4, lanes: int = 1, sketches: list[np.ndarray] | None = None) -> np.ndarray:
+    """(texts, lanes) uint64 fingerprints; a list given as ``sketches`` gets each text's sketch."""
     ones, total = np.zeros((len(texts), lanes, 64), np.int64), np.zeros(len(texts), np.int64)
     hashes: list[int] = []
     owners: list[tuple[int, int]] = []
@@ -86,6 +103,11 @@ def fingerprints(texts: list[bytes | None], width: int = 4, lanes: int = 1) -> n
             counts = np.array([n for _, n in owners])
             who, at = np.array([i for i, _ in owners]), np.concatenate([[0], np.cumsum(counts)[:-1]])
             h = np.array(hashes, np.uint64)
+            if sketches is not None:
+                short = (h >> np.uint64(32)).astype(np.uint32)
+                for i, a, n in zip(who.tolist(), at.tolist(), counts.tolist(), strict=True):
+                    own = short[a : a + n]
+                    sketches[i] = smallest(np.concatenate([sketches[i], own]) if len(sketches[i]) else own)
             for lane in range(lanes):
                 bits = np.unpackbits(lane_hashes(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 np.add.at(ones[:, lane], who, np.add.reduceat(bits, at, axis=0, dtype=np.int64))
@@ -93,6 +115,8 @@ def fingerprints(texts: list[bytes | None], width: int = 4, lanes: int = 1) -> n
             hashes.clear()
             owners.clear()
 
+    if sketches is not None:
+        sketches[:] = [np.zeros(0, np.uint32)] * len(texts)
     digest = xxhash.xxh64_intdigest
     for i, text in enumerate(texts):
         for part in shingles(text or b"", width):
@@ -104,18 +128,20 @@ def fingerprints(texts: list[bytes | None], width: int = 4, lanes: int = 1) -> n
     return np.packbits(2 * ones > total[:, None, None], axis=2, bitorder="little").view(np.uint64).reshape(len(texts), lanes)
 
 
-def fingerprint_table(docs: DataFrame, width: int = 4, lanes: int = 1) -> DataFrame:
-    """(doc_id, text_key, fp[, l1, ...]) of every row: ``text_key`` is a hash of its text, ``fp`` the fingerprint as a signed long."""
+def fingerprint_table(docs: DataFrame, width: int = 4, lanes: int = 1, sketch: bool = False) -> DataFrame:
+    """(doc_id, text_key, fp[, l1, ...][, sketch]) of every row: ``text_key`` is a hash of its text, ``fp`` the fingerprint as a signed long."""
     names = ["fp", *(f"l{i}" for i in range(1, lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch, "text"):
-                fp = fingerprints(b.column("text").to_pylist(), width, lanes).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key")} | {n: pa.array(np.ascontiguousarray(fp[:, k])) for k, n in enumerate(names)})
+                sketches = [] if sketch else None
+                fp = fingerprints(b.column("text").to_pylist(), width, lanes, sketches).view(np.int64)
+                cols = {"doc_id": b.column("doc_id"), "text_key": b.column("text_key")} | {n: pa.array(np.ascontiguousarray(fp[:, k])) for k, n in enumerate(names)}
+                yield pa.RecordBatch.from_pydict(cols | ({"sketch": pa.array([x.tobytes() for x in sketches], pa.binary())} if sketch else {}))
 
     raw = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return raw.mapInArrow(run, "doc_id long, text_key long, " + ", ".join(f"{n} long" for n in names))
+    return raw.mapInArrow(run, "doc_id long, text_key long, " + ", ".join(f"{n} long" for n in names) + ", sketch binary" * sketch)
 
 
 def segment_masks(distance: int, segments: int) -> list[tuple[int]]:
@@ -142,8 +168,8 @@ def pivots(n: int = N_PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"pivot {i}".encode(), SEED) for i in range(n)], np.uint64)
 
 
-def close_pairs(fp: np.ndarray, run: np.ndarray, side: np.ndarray, limit: int, pivot_limit: int, reference: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one run (``run`` is sorted) whose (n, lanes) fingerprints differ in at most ``limit`` bits.
+def close_pairs(fp: np.ndarray, run: np.ndarray, side: np.ndarray, limit: int, pivot_limit: int, reference: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of one run (``run`` is sorted) whose (n, lanes) fingerprints differ in at most ``limit`` bits, and those bits' number.
 
     ``side``: 0 compares with every row of the run; 1 and 2 compare only with each other. Pairs whose distances to
     a reference fingerprint differ by more than ``pivot_limit`` are discarded unseen.
@@ -168,38 +194,56 @@ def close_pairs(fp: np.ndarray, run: np.ndarray, side: np.ndarray, limit: int, p
             ok = (np.abs(pivot_table[i, at : at + 4] - pivot_table[j, at : at + 4]) <= pivot_limit).all(axis=1)
             i, j = i[ok], j[ok]
         if len(i):
-            ok = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= limit
+            bits = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int32)
+            ok = bits <= limit
             if ok.any():
-                yield i[ok], j[ok]
-
-
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 18) -> np.ndarray:
-    """Smallest index that each of ``n`` nodes reaches through the pairs."""
-    label = np.arange(n)
-
-    def settle(a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = label[a], label[b]
-            if (x == y).all():
-                return
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while not (label[label] == label).all():
-                label[:] = label[label]
-
-    held, size = [], 0
-    for i, j in pairs:
-        held.append((i, j))
-        size += len(i)
+                yield i[ok], j[ok], bits[ok]
+
+
+def settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Lower the labels until both ends of every pair have the same one."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not (label[label] == label).all():
+            label[:] = label[label]
+
+
+def nearest_forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the pairs (i, j, bits) between ``n`` nodes, holding about ``most`` of them at once."""
+
+    def reduced(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(bits, kind="stable")
+        i, j, bits = i[order], j[order], bits[order]
+        label, chosen, alive = np.arange(n), np.zeros(len(i), bool), np.arange(len(i))
+        while True:  # every tree takes its first pair that leads out of it; the order has no ties, so that closes no circle
+            a, b = label[i[alive]], label[j[alive]]
+            out = a != b
+            a, b, alive = a[out], b[out], alive[out]
+            if not len(alive):
+                return i[chosen], j[chosen], bits[chosen]
+            first = np.full(n, len(i))
+            np.minimum.at(first, a, alive)
+            np.minimum.at(first, b, alive)
+            taken = np.unique(first[first < len(i)])
+            chosen[taken] = True
+            settle(label, i[taken], j[taken])
+
+    none = np.zeros(0, np.int64)
+    held, size = [(none, none, none)], 0
+    for pair in pairs:
+        held.append(pair)
+        size += len(pair[0])
         if size >= most:
-            settle(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))
-            held, size = [], 0
-    if held:
-        settle(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))
-    return label
+            held, size = [reduced(held)], 0
+    return reduced(held)
 
 
 def links(fps: DataFrame, masks: list[tuple[int, ...]], limit: int, pivot_limit: int, n_pivots: int = N_PIVOTS) -> DataFrame:
-    """Links (u, v) between distinct ``fp`` within ``limit`` bits that share a cell: of every cell, a spanning forest."""
+    """Links (u, v, bits) between distinct ``fp`` within ``limit`` bits that share a cell: of every cell, a minimum spanning forest."""
     lanes = ["fp", "l1", "l2", "l3"][: len(masks[0])]
     signed = lambda m: F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long")
     keys = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(signed(m)) for c, m in zip(lanes, mask, strict=True) if m]) for t, mask in enumerate(masks)]
@@ -217,11 +261,10 @@ def links(fps: DataFrame, masks: list[tuple[int, ...]], limit: int, pivot_limit:
 
         def find(cell: np.ndarray, fp: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(cell) > 1:
-                root = forest(len(fp), close_pairs(fp, cell, side, limit, pivot_limit, reference))
-                linked = np.flatnonzero(root != np.arange(len(fp)))
-                if len(linked):
+                i, j, bits = nearest_forest(len(fp), close_pairs(fp, cell, side, limit, pivot_limit, reference))
+                if len(i):
                     s = np.ascontiguousarray(fp[:, 0]).view(np.int64)
-                    yield pa.RecordBatch.from_pydict({"u": pa.array(s[linked]), "v": pa.array(s[root[linked]])})
+                    yield pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(s[i], s[j])), "v": pa.array(np.minimum(s[i], s[j])), "bits": pa.array(bits.astype(np.int32))})
 
         for b in batches:
             of = lambda c: b.column(c).to_numpy(zero_copy_only=False)
@@ -234,16 +277,28 @@ def links(fps: DataFrame, masks: list[tuple[int, ...]], limit: int, pivot_limit:
             held = (cell[whole:], fp[whole:], side[whole:])
         yield from find(*held)
 
-    return ordered.mapInArrow(run, "u long, v long")
+    return ordered.mapInArrow(run, "u long, v long, bits int")
+
 
+def confirmed(found: DataFrame, fps: DataFrame, sure: int = SURE_LIMIT, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """The links (u, v) of ``found`` within ``sure`` bits, and those whose sketches (of ``fps``) are alike enough."""
 
-def grouped(thin: DataFrame, masks: list[tuple[int, ...]], limit: int, pivot_limit: int) -> DataFrame:
-    """``thin`` (a fingerprint table) with ``component``, which stands for the group even without ids, and ``component_id``."""
-    lanes = ["l1", "l2", "l3"][: len(masks[0]) - 1]
-    fps = thin.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *[F.min(c).alias(c) for c in lanes])
-    if lanes:
-        fps = checkpointed(fps)
-    member = connected_components(links(fps.select("fp", *lanes), masks, limit, pivot_limit))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = ([np.frombuffer(x, np.uint32) for x in b.column(k).to_pylist()] for k in ("a", "b"))
+            yield b.select(["u", "v"]).filter(pa.array([similarity(x, y) >= least for x, y in zip(a, c, strict=True)], pa.bool_()))
+
+    end = lambda fp, sketch: fps.select(F.col("fp").alias(fp), F.col("sketch").alias(sketch))
+    open_ = small_batches(found.where(F.col("bits") > sure).select("u", "v").join(end("u", "a"), "u").join(end("v", "b"), "v"))
+    return found.where(F.col("bits") <= sure).select("u", "v").union(open_.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+
+
+def grouped(thin: DataFrame, fps: DataFrame, linked: DataFrame) -> DataFrame:
+    """``thin`` (a fingerprint table) with ``component``, which stands for the group even without ids, and ``component_id``.
+
+    ``fps``: its distinct ``fp`` with their smallest ids; ``linked``: links (u, v) between those.
+    """
+    member = connected_components(linked)
     named = fps.select("fp", "first_id").join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "component").select("fp", "component", "component_id")
@@ -252,13 +307,23 @@ def grouped(thin: DataFrame, masks: list[tuple[int, ...]], limit: int, pivot_lim
 
 def components(docs: DataFrame, width: int = 4, distance: int = 4, segments: int = 6) -> DataFrame:
     """(doc_id, text_key, fp, component, component_id) of every row, linking exactly the fingerprints within ``distance`` bits."""
-    return grouped(checkpointed(fingerprint_table(docs, width)), segment_masks(distance, segments), distance, distance)
+    thin = checkpointed(fingerprint_table(docs, width))
+    fps = thin.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    return grouped(thin, fps, links(fps.select("fp"), segment_masks(distance, segments), distance, distance))
+
+
+def near_groups(docs: DataFrame, width: int = 5, limit: int = WIDE_LIMIT, bits: int = 13, tables: int = 36) -> DataFrame:
+    """(doc_id, text_key, fp, component, component_id) of every row, linking texts of similarity 0.8 or more."""
+    thin = checkpointed(fingerprint_table(docs, width, LANES, sketch=True))
+    lanes = [f"l{k}" for k in range(1, LANES)]
+    fps = checkpointed(thin.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *[F.min(c).alias(c) for c in lanes], F.min("sketch").alias("sketch")))
+    found = checkpointed(links(fps.select("fp", *lanes), sampled_masks(LANES, bits, tables), limit, 24).distinct())
+    return grouped(thin, fps, confirmed(found, fps))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, limit: int = WIDE_LIMIT, bits: int = 13, tables: int = 36) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id (of repeated rows, one)."""
-    thin = checkpointed(fingerprint_table(docs, width, LANES))
-    thin = grouped(thin, sampled_masks(LANES, bits, tables), limit, 24)
+    thin = near_groups(docs, width, limit, bits, tables)
     # a group's keeper: smallest id, then smallest text hash; the aggregate combines before it is shuffled
     best = thin.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("b"), F.count("*").alias("n"))
     best = checkpointed(best.select(F.col("b.doc_id").alias("__keep_id"), F.col("b.text_key").alias("__keep_key"), F.col("n").alias("__n")))

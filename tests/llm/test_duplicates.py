@@ -89,6 +89,55 @@ def test_deduplicate_keeps_one_of_each_group(spark, odd_docs):
     assert sorted(odd.doc_id.dropna()) == [1, 2, 5, 7, 8, 9, 10, 11, 11] and odd.doc_id.isna().sum() == 1
 
 
+def five_word_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_groups_hold_the_pairs_at_four_fifths(spark, sf_dir, docs):
+    """Over all pairs of the table; a band of 0.02 about the limit is left to the sketches of long texts."""
+    got = simhash.near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).toPandas()
+    group = dict(zip(got.doc_id, got.component))
+    sets = {d: five_word_shingles(t) for d, t in zip(docs.doc_id, docs.text)}
+    holders, best, apart = {}, dict.fromkeys(sets, 0.0), []
+    for d, own in sets.items():
+        for e in {e for s in own for e in holders.get(s, ())}:
+            both = len(own & sets[e])
+            alike = both / (len(own) + len(sets[e]) - both)
+            if group[d] == group[e]:
+                best[d], best[e] = max(best[d], alike), max(best[e], alike)
+            elif alike >= 0.82:
+                apart.append((d, e))
+        for s in own:
+            holders.setdefault(s, []).append(d)
+    assert not apart
+    shared = got.component.duplicated(keep=False)
+    assert shared.any() and all(best[d] >= 0.78 for d in got.doc_id[shared])
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.integers(0, 400), max_size=128), st.sets(st.integers(0, 400), max_size=128))
+def test_similarity_of_small_sketches_is_exact(a, b):
+    got = simhash.similarity(*(simhash.smallest(np.array(sorted(x), np.uint32)) for x in (a, b)))
+    assert got == (len(a & b) / len(a | b) if a | b else 1.0)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.integers(0, 5)).filter(lambda p: p[0] != p[1]), max_size=40), st.integers(1, 50))
+def test_nearest_forest_joins_what_each_limit_joins(pairs, most):
+    def joined(edges):
+        label = list(range(10))
+        for i, j in edges:
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+        return label
+
+    given_ = [(np.array([i]), np.array([j]), np.array([n])) for i, j, n in pairs]
+    found = list(zip(*(x.tolist() for x in simhash.nearest_forest(10, iter(given_), most)), strict=True))
+    for limit in range(6):
+        assert joined((i, j) for i, j, n in found if n <= limit) == joined((i, j) for i, j, n in pairs if n <= limit)
+    assert len(found) < 10
+
+
 def plain_selection(spark, text):
     row = winnowing.select(spark.createDataFrame([(text,)], "text string"), "text", "s").select("s", F.regexp_extract_all(F.lower("text"), F.lit(winnowing.TOKEN), 0).alias("t")).first()
     return row["s"], row["t"]
