@@ -253,7 +253,8 @@ def links(fps: DataFrame, masks: list[tuple[int, ...]], limit: int, pivot_limit:
     tiles = cells.withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("slices")).cast("int")).select(
         *lanes, "key", "mine", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")
     ).select(*lanes, F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"))
-    ordered = tiles.repartition("cell").sortWithinPartitions("cell")
+    # of equally near pairs the first ones are taken, so the order inside a cell must not depend on how rows arrive
+    ordered = tiles.repartition("cell").sortWithinPartitions("cell", *lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference = pivots(n_pivots)

@@ -115,6 +115,22 @@ def test_near_groups_hold_the_pairs_at_four_fifths(spark, sf_dir, docs):
     assert shared.any() and all(best[d] >= 0.78 for d in got.doc_id[shared])
 
 
+def test_near_groups_do_not_depend_on_the_order_of_rows(spark, docs):
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = [(int(d), t) for d, t in zip(docs.doc_id, docs.text)]
+    for k in range(120):  # many ties among near copies, about the limit
+        own = list(base)
+        for i in rng.choice(300, int(rng.integers(0, 9)), replace=False):
+            own[i] = f"x{k}"
+        rows.append((10_000 + k, " ".join(own)))
+    one, other = (
+        {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(x, "doc_id long, text string").repartition(n)).collect()}
+        for x, n in ((rows, 3), (rows[::-1], 7))
+    )
+    assert one == other
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.sets(st.integers(0, 400), max_size=128), st.sets(st.integers(0, 400), max_size=128))
 def test_similarity_of_small_sketches_is_exact(a, b):
