@@ -12,13 +12,13 @@ table, its distances to many reference fingerprints: a pair whose rows differ by
 any coordinate can't be close (triangle inequality) and is discarded; only survivors are compared bit by bit.
 A cell hands on a spanning forest of its links, never all pairs.
 
-``deduplicate`` looks for a similarity of 0.8 over five-word shingles instead, which moves about 10 bits of 64. It
-votes on LANES x 64 bits, meets pairs in cells of sampled bits (enough of them that a pair at 0.8 meets with a
-probability of 0.99), discards by pivots in the first lane, and takes pairs within WIDE_LIMIT of all bits for
-candidates. A cell hands on a minimum spanning forest by differing bits, in which every text is tied to its nearest, so
-that the shingles' own similarity can then be asked of each tie without losing a group's other ties. Ties within
-SURE_LIMIT stand by themselves; the others must have LEAST_SIMILARITY in the smallest SKETCH distinct shingle
-hashes of their union, which is exact for two texts that have no more than SKETCH of them together.
+``deduplicate`` joins texts whose sets of five-word shingles have a Jaccard similarity of LEAST, 0.8, or more: exactly, over all
+pairs, so without fingerprints, whose bits only estimate it. In any one order of all shingles, two such sets have a shingle in
+common among the first fifth of each (prefix filter), and the first one in common has enough shingles after it in both
+(position filter). Shingles that are frequent in a sample come last in the order; the sample decides how much work there
+is, never the result. A shingle's cell hands on only which texts have to be looked at together; each such block then compares the
+whole sets of shingle hashes (64 bits), every pair that its own, exact shingle counts don't rule out and that isn't joined already,
+and hands on the pairs that hold. Blocks and cells too large for a task are dealt out as tiles.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; fewer words
 than a shingle make one shingle; a component's id is the smallest non-null doc_id in it (null if there is none).
@@ -28,6 +28,7 @@ kept by ``deduplicate``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvec.llm._common import blocks, checkpointed, small_batches
+from loomvec.llm._common import blocks, checkpointed, hash_fraction, small_batches
 from loomvec.llm.components import connected_components
 
 SEED = 42
@@ -47,11 +48,12 @@ VOTES = 1 << 17
 TILE = 4096
 #: Reference fingerprints of the pivot table.
 N_PIVOTS = 32
-#: 64-bit lanes of the wide fingerprint, the differing bits of all up to which a pair is a candidate, and up to which it
-#: needs no further look. A similarity of 0.8 moves 39 of 256 bits on average, with a deviation of 6; of 0.75, 44.
-LANES, WIDE_LIMIT, SURE_LIMIT = 4, 54, 22
-#: Shingle hashes (32 bits each) that a text's sketch keeps, and the similarity that a pair of sketches must show.
-SKETCH, LEAST_SIMILARITY = 256, 0.8
+#: The similarity from which texts are near copies, as a fraction.
+LEAST = (4, 5)
+#: Texts (about) in which frequent shingles are counted, and how many of those are kept.
+SAMPLE, FREQUENT = 4000, 1 << 16
+#: Shingle hashes of a block above which it is dealt out as tiles, and those that are compared at once.
+BLOCK_HASHES, AT_ONCE = 1 << 21, 1 << 21
 
 
 def shingles(text: bytes, width: int) -> Iterator[list[bytes]]:
@@ -70,31 +72,37 @@ def shingles(text: bytes, width: int) -> Iterator[list[bytes]]:
         yield [flat[a:b] for a, b in zip(starts[at : at + VOTES].tolist(), ends[at : at + VOTES].tolist(), strict=True)]
 
 
-def lane_hashes(h: np.ndarray, lane: int) -> np.ndarray:
-    """The hashes themselves for lane 0, an independent mix of them for the others."""
-    if not lane:
-        return h
-    with np.errstate(over="ignore"):
-        x = h ^ (np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def smallest(hashes: np.ndarray) -> np.ndarray:
-    """The SKETCH smallest distinct values, in order."""
-    return np.unique(hashes)[:SKETCH]
+    """The distinct values, in order."""
+    return np.unique(hashes)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity as two sketches show it: the share of the smallest values of the union that both hold."""
-    union = smallest(np.concatenate([a, b]))
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union) if len(union) else 1.0
+    """Jaccard similarity of two sets, each given as distinct values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The text's distinct shingle hashes, in order."""
+    return smallest(np.array([xxhash.xxh64_intdigest(s, SEED) for part in shingles(text or b"", width) for s in part], np.uint64))
+
+
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    """How many first shingles of a set of ``n`` have one in common with those of any set that is alike enough."""
+    a, b = LEAST
+    return n - (a * n + b - 1) // b + 1
+
+
+def common_least(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The shingles that sets of ``n`` and ``m`` must have in common to be alike enough."""
+    a, b = LEAST
+    return (a * (n + m) + a + b - 1) // (a + b)
 
 
-def fingerprints(texts: list[bytes | None], width: int = 4, lanes: int = 1, sketches: list[np.ndarray] | None = None) -> np.ndarray:
-    """(texts, lanes) uint64 fingerprints; a list given as ``sketches`` gets each text's sketch."""
-    ones, total = np.zeros((len(texts), lanes, 64), np.int64), np.zeros(len(texts), np.int64)
+def fingerprints(texts: list[bytes | None], width: int = 4) -> np.ndarray:
+    """(texts, 1) uint64 fingerprints."""
+    ones, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     hashes: list[int] = []
     owners: list[tuple[int, int]] = []
 
@@ -103,20 +111,12 @@ def fingerprints(texts: list[bytes | None], width: int = 4, lanes: int = 1, sket
             counts = np.array([n for _, n in owners])
             who, at = np.array([i for i, _ in owners]), np.concatenate([[0], np.cumsum(counts)[:-1]])
             h = np.array(hashes, np.uint64)
-            if sketches is not None:
-                short = (h >> np.uint64(32)).astype(np.uint32)
-                for i, a, n in zip(who.tolist(), at.tolist(), counts.tolist(), strict=True):
-                    own = short[a : a + n]
-                    sketches[i] = smallest(np.concatenate([sketches[i], own]) if len(sketches[i]) else own)
-            for lane in range(lanes):
-                bits = np.unpackbits(lane_hashes(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                np.add.at(ones[:, lane], who, np.add.reduceat(bits, at, axis=0, dtype=np.int64))
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            np.add.at(ones, who, np.add.reduceat(bits, at, axis=0, dtype=np.int64))
             np.add.at(total, who, counts)
             hashes.clear()
             owners.clear()
 
-    if sketches is not None:
-        sketches[:] = [np.zeros(0, np.uint32)] * len(texts)
     digest = xxhash.xxh64_intdigest
     for i, text in enumerate(texts):
         for part in shingles(text or b"", width):
@@ -125,23 +125,20 @@ def fingerprints(texts: list[bytes | None], width: int = 4, lanes: int = 1, sket
             if len(hashes) >= VOTES:
                 vote()
     vote()
-    return np.packbits(2 * ones > total[:, None, None], axis=2, bitorder="little").view(np.uint64).reshape(len(texts), lanes)
+    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64).reshape(len(texts), 1)
 
 
-def fingerprint_table(docs: DataFrame, width: int = 4, lanes: int = 1, sketch: bool = False) -> DataFrame:
-    """(doc_id, text_key, fp[, l1, ...][, sketch]) of every row: ``text_key`` is a hash of its text, ``fp`` the fingerprint as a signed long."""
-    names = ["fp", *(f"l{i}" for i in range(1, lanes))]
+def fingerprint_table(docs: DataFrame, width: int = 4) -> DataFrame:
+    """(doc_id, text_key, fp) of every row: ``text_key`` is a hash of its text, ``fp`` the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch, "text"):
-                sketches = [] if sketch else None
-                fp = fingerprints(b.column("text").to_pylist(), width, lanes, sketches).view(np.int64)
-                cols = {"doc_id": b.column("doc_id"), "text_key": b.column("text_key")} | {n: pa.array(np.ascontiguousarray(fp[:, k])) for k, n in enumerate(names)}
-                yield pa.RecordBatch.from_pydict(cols | ({"sketch": pa.array([x.tobytes() for x in sketches], pa.binary())} if sketch else {}))
+                fp = fingerprints(b.column("text").to_pylist(), width).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "fp": pa.array(np.ascontiguousarray(fp[:, 0]))})
 
     raw = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return raw.mapInArrow(run, "doc_id long, text_key long, " + ", ".join(f"{n} long" for n in names) + ", sketch binary" * sketch)
+    return raw.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def segment_masks(distance: int, segments: int) -> list[tuple[int]]:
@@ -151,18 +148,6 @@ def segment_masks(distance: int, segments: int) -> list[tuple[int]]:
     return [(sum(c),) for c in combinations(parts, segments - distance)]
 
 
-def sampled_masks(lanes: int, bits: int, tables: int, seed: int = 5) -> list[tuple[int, ...]]:
-    """``tables`` masks of ``bits`` random bits each."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(tables):
-        mask = [0] * lanes
-        for b in rng.choice(64 * lanes, bits, replace=False).tolist():
-            mask[b // 64] |= 1 << (b % 64)
-        out.append(tuple(mask))
-    return out
-
-
 def pivots(n: int = N_PIVOTS) -> np.ndarray:
     """The reference fingerprints: fixed pseudo-random values."""
     return np.array([xxhash.xxh64_intdigest(f"pivot {i}".encode(), SEED) for i in range(n)], np.uint64)
@@ -281,17 +266,194 @@ def links(fps: DataFrame, masks: list[tuple[int, ...]], limit: int, pivot_limit:
     return ordered.mapInArrow(run, "u long, v long, bits int")
 
 
-def confirmed(found: DataFrame, fps: DataFrame, sure: int = SURE_LIMIT, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """The links (u, v) of ``found`` within ``sure`` bits, and those whose sketches (of ``fps``) are alike enough."""
+def frequent(raw: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (in order) of the shingles most frequent in a sample of the texts, and their counts: FREQUENT at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch, "text"):
+                for t in b.column("text").to_pylist():
+                    yield pa.RecordBatch.from_pydict({"h": pa.array(shingle_set(t, width).view(np.int64))})
+
+    n = raw.count()
+    some = raw.where(hash_fraction("text_key", SAMPLE / max(n, 1), "frequent")).select("text")
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    h, n = np.array([r["h"] for r in counts], np.int64).view(np.uint64), np.array([r["n"] for r in counts], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix_table(raw: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_key, fp, n, bits, prefix) of every row: ``fp`` stands for its set of shingles, ``n`` is their number, ``bits`` has
+    the parity of each 64th of them, ``prefix`` has the first ones."""
+    known, counts = frequent(raw, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch, "text"):
+                sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
+                first = []
+                for h in sets:
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
+                    first.append(h[: prefix_length(len(h))].view(np.int64))
+                ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first)))
+                fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+                bits = np.array([np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63))) for h in sets], np.uint64).view(np.int64)
+                sizes = pa.array([len(h) for h in sets], pa.int32())
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "fp": pa.array(fp), "n": sizes, "bits": pa.array(bits), "prefix": prefix})
+
+    return raw.mapInArrow(run, "doc_id long, text_key long, fp long, n int, bits long, prefix array<long>")
+
+
+def dealt(cells: DataFrame, by: str) -> DataFrame:
+    """``cells`` (``by``, fp, slices, ...) with ``cell`` and ``side``: ``slices`` slices each, every pair of them a cell."""
+    mine = cells.withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("byte")
+    return mine.withColumn("cell", F.xxhash64(by, F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("side", side).drop(by, "slices", "mine", "other")
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``cell``, cut anew so that no cell goes on in the next one."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        cell = b.column("cell").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+        if held and held[-1].column("cell")[-1].as_py() != cell[0] if len(cell) else False:
+            yield pa.concat_batches(held)
+            held = []
+        if len(cuts):
+            yield pa.concat_batches([*held, b.slice(0, int(cuts[-1]))])
+            held, b = [], b.slice(int(cuts[-1]))
+        if len(b):
+            held.append(b)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def cross(side: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+    return (side[i] != side[j]) | (side[i] == 0)
+
+
+def candidate_forest(cell: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) that join the rows of a cell just as those do that sizes ``n`` (rising in a cell), positions ``at`` of its shingle and ``bits`` allow.
+
+    Shingles that only one of two sets has are at least as many as the bits in which the two differ.
+    """
+    label, last = np.arange(len(cell)), np.searchsorted(cell, cell, side="right")
+    active, k, a, b = np.arange(len(cell)), 0, LEAST[0], LEAST[1]
+    while True:
+        k += 1
+        active = active[active + k < last[active]]
+        active = active[b * n[active] >= a * n[active + k]]  # the next ones are larger still
+        if not len(active):
+            break
+        i, j = active, active + k
+        least = common_least(n[i], n[j])
+        ok = (np.minimum(n[i] - at[i], n[j] - at[j]) >= least) & (label[i] != label[j]) & cross(side, i, j)
+        ok &= np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * least
+        if ok.any():
+            settle(label, i[ok], j[ok])
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return moved, label[moved]
+
+
+def candidates(fps: DataFrame) -> DataFrame:
+    """Links (u, v) between distinct ``fp`` whose components hold every pair that is alike enough (and others)."""
+    cells = fps.select("fp", "n", "bits", F.posexplode("prefix").alias("at", "key"))
+    crowded = cells.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > TILE).select("key", F.ceil(F.col("rows") / TILE).cast("int").alias("slices"))
+    # at most one row for every TILE of cells, so it may be broadcast
+    cells = dealt(cells.join(F.broadcast(crowded), "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1))), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_cells(batches):
+            cell, n, at, bits, side, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "n", "at", "bits", "side", "fp"))
+            i, j = candidate_forest(cell, n.astype(np.int64), at, bits.view(np.uint64), side)
+            if len(i):
+                yield pa.RecordBatch.from_pydict({"u": pa.array(fp[i]), "v": pa.array(fp[j])})
+
+    return cells.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(run, "u long, v long")
+
+
+def alike(sets: list[np.ndarray], side: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) alike enough, which join the sets (not both of one side 1 or 2) just as all such pairs do."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    side, n = side[order], np.array([len(sets[k]) for k in order])
+    own, starts = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    _, flat, counts = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))  # rare ones first
+    flat = rank[flat]
+    flat = flat[np.lexsort((flat, own))]
+    at = np.arange(len(flat)) - starts[own]
+    first = np.flatnonzero(at < prefix_length(n)[own])
+    first = first[np.argsort(flat[first], kind="stable")]  # of each shingle, its sets from small to large
+    node, place, last = own[first], at[first], np.searchsorted(flat[first], flat[first], side="right")
+    useful = np.flatnonzero(last > np.arange(len(first)) + 1)
+    useful = useful[np.argsort(node[useful], kind="stable")]
+    bounds = np.searchsorted(node[useful], np.arange(len(n) + 1))
+    label, mark = np.arange(len(n)), np.zeros(len(counts), bool)
+    spread = lambda start, size: np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    for i in np.flatnonzero(np.diff(bounds)).tolist():
+        e = useful[bounds[i] : bounds[i + 1]]
+        size = last[e] - e - 1
+        found = spread(e + 1, size)
+        j = node[found]
+        ok = (np.minimum(n[i] - np.repeat(place[e], size), n[j] - place[found]) >= common_least(n[i], n[j])) & (label[j] != label[i])
+        j = np.unique(j[ok])
+        j = j[(LEAST[1] * n[i] >= LEAST[0] * n[j]) & cross(side, i, j)]
+        if not len(j):
+            continue
+        mine = flat[starts[i] : starts[i] + n[i]]
+        mark[mine] = True
+        part = np.cumsum(n[j]) // AT_ONCE
+        for k in np.unique(part):
+            js = j[part == k]
+            both = np.add.reduceat(mark[flat[spread(starts[js], n[js])]], np.cumsum(n[js]) - n[js], dtype=np.int64)
+            js = js[both >= common_least(n[i], n[js])]
+            if len(js):
+                yield from ((int(order[i]), int(order[x])) for x in js.tolist())
+                settle(label, np.full(len(js), i), js)
+        mark[mine] = False
+
+
+def confirmed(found: DataFrame, fps: DataFrame, raw: DataFrame, width: int) -> DataFrame:
+    """Links (u, v) that join just as all pairs alike enough do, inside the components of ``found``."""
+    member = connected_components(found).join(fps.select(F.col("fp").alias("node"), "n", "first_id", "text_key"), "node")
+    member = checkpointed(member.select(F.col("node").alias("fp"), "component", "n", "first_id", "text_key"))
+    # components and blocks of many hashes are few, at most one for every BLOCK_HASHES of all, so those may be broadcast
+    big = member.groupBy("component").agg(F.sum("n").alias("all")).where(F.col("all") > BLOCK_HASHES).select("component", F.lit(True).alias("big"))
+    # a big component is cut by size: sets alike enough differ by a factor of 1.25 at most, so by one level
+    level = F.floor(F.log(F.col("n")) / math.log(1.26)).cast("int")
+    member = member.join(F.broadcast(big), "component", "left").withColumn("level", F.explode(F.when(F.col("big"), F.array(level - 1, level)).otherwise(F.array(F.lit(-9)))))
+    member = member.withColumn("block", F.xxhash64("component", "level"))
+    crowded = member.groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_HASHES).select("block", F.ceil(F.col("n") / BLOCK_HASHES).cast("int").alias("slices"))
+    member = member.join(F.broadcast(crowded), "block", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).select("fp", "first_id", "text_key", "block", "slices")
+    # one row of each set; rows with the same id and text come more than once, which does no harm
+    texts = raw.join(member, (F.col("doc_id").eqNullSafe(F.col("first_id"))) & (raw["text_key"] == member["text_key"])).select("fp", "block", "slices", "text")
+    tiles = dealt(texts, "block").repartition("cell").sortWithinPartitions("cell", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def find(fp: list[int], side: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            pairs = list(alike(sets, np.array(side))) if len(fp) > 1 else []
+            if pairs:
+                yield pa.RecordBatch.from_pydict({"u": pa.array([fp[i] for i, _ in pairs], pa.int64()), "v": pa.array([fp[j] for _, j in pairs], pa.int64())})
+
+        now, fp, side, sets = None, [], [], []
         for b in batches:
-            a, c = ([np.frombuffer(x, np.uint32) for x in b.column(k).to_pylist()] for k in ("a", "b"))
-            yield b.select(["u", "v"]).filter(pa.array([similarity(x, y) >= least for x, y in zip(a, c, strict=True)], pa.bool_()))
+            for cell, one, where, text in zip(*(b.column(c) for c in ("cell", "fp", "side", "text")), strict=True):
+                if cell.as_py() != now:
+                    yield from find(fp, side, sets)
+                    now, fp, side, sets = cell.as_py(), [], [], []
+                if not fp or fp[-1] != one.as_py():
+                    fp.append(one.as_py())
+                    side.append(where.as_py())
+                    sets.append(shingle_set(text.as_py(), width))
+        yield from find(fp, side, sets)
 
-    end = lambda fp, sketch: fps.select(F.col("fp").alias(fp), F.col("sketch").alias(sketch))
-    open_ = small_batches(found.where(F.col("bits") > sure).select("u", "v").join(end("u", "a"), "u").join(end("v", "b"), "v"))
-    return found.where(F.col("bits") <= sure).select("u", "v").union(open_.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+    return small_batches(tiles).mapInArrow(run, "u long, v long")
 
 
 def grouped(thin: DataFrame, fps: DataFrame, linked: DataFrame) -> DataFrame:
@@ -313,18 +475,21 @@ def components(docs: DataFrame, width: int = 4, distance: int = 4, segments: int
     return grouped(thin, fps, links(fps.select("fp"), segment_masks(distance, segments), distance, distance))
 
 
-def near_groups(docs: DataFrame, width: int = 5, limit: int = WIDE_LIMIT, bits: int = 13, tables: int = 36) -> DataFrame:
-    """(doc_id, text_key, fp, component, component_id) of every row, linking texts of similarity 0.8 or more."""
-    thin = checkpointed(fingerprint_table(docs, width, LANES, sketch=True))
-    lanes = [f"l{k}" for k in range(1, LANES)]
-    fps = checkpointed(thin.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *[F.min(c).alias(c) for c in lanes], F.min("sketch").alias("sketch")))
-    found = checkpointed(links(fps.select("fp", *lanes), sampled_masks(LANES, bits, tables), limit, 24).distinct())
-    return grouped(thin, fps, confirmed(found, fps))
+def near_groups(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, text_key, fp, component, component_id) of every row, linking exactly the texts of similarity 0.8 or more; ``fp`` stands for the set of shingles."""
+    raw = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    thin = checkpointed(prefix_table(raw, width))
+    one = F.min(F.struct("doc_id", "text_key")).alias("one")
+    fps = thin.groupBy("fp").agg(F.min("doc_id").alias("first_id"), one, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    fps = checkpointed(fps.select("fp", "first_id", F.col("one.doc_id").alias("one_id"), F.col("one.text_key").alias("text_key"), "n", "bits", "prefix"))
+    found = candidates(fps.select("fp", "n", "bits", "prefix"))
+    ends = fps.select("fp", "n", F.col("one_id").alias("first_id"), "text_key")
+    return grouped(thin, fps, confirmed(found, ends, raw, width))
 
 
-def deduplicate(docs: DataFrame, width: int = 5, limit: int = WIDE_LIMIT, bits: int = 13, tables: int = 36) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id (of repeated rows, one)."""
-    thin = near_groups(docs, width, limit, bits, tables)
+    thin = near_groups(docs, width)
     # a group's keeper: smallest id, then smallest text hash; the aggregate combines before it is shuffled
     best = thin.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("b"), F.count("*").alias("n"))
     best = checkpointed(best.select(F.col("b.doc_id").alias("__keep_id"), F.col("b.text_key").alias("__keep_key"), F.col("n").alias("__n")))

@@ -197,3 +197,41 @@ def test_buckets_do_not_change_successors(spark, docs, odd_docs):
     w = winnowing.Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text_key")
     lead = lambda x: {r["doc_id"]: r["n"] for r in x.withColumn("n", F.lead("doc_id").over(w)).where("not guest").collect()}
     assert lead(a) == lead(b)
+
+
+def alike_groups(sets):
+    """Each set's group, named by its smallest index: of a plain comparison of all pairs at a similarity of 0.8."""
+    holders, label = {}, list(range(len(sets)))
+    for k, own in enumerate(sets):
+        for s in own:
+            holders.setdefault(s, []).append(k)
+    holders, size = {s: np.array(x) for s, x in holders.items()}, np.array([len(s) for s in sets])
+    for k, own in enumerate(sets):
+        both = np.bincount(np.concatenate([holders[s] for s in own]), minlength=len(sets))
+        for e in np.flatnonzero(9 * both >= 4 * (size + size[k])).tolist():
+            a, b = label[k], label[e]
+            if a != b:
+                label = [min(a, b) if x == max(a, b) else x for x in label]
+    return label
+
+
+def near_group_ids(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df).collect()}
+    return [got[k] for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [1 << 21, 100_000])
+def test_near_copies_in_a_crowd_that_shares_a_passage(spark, monkeypatch, block):
+    """All texts are alike at 0.74, too little; planted copies at 0.83 to 0.87 must be found among them, and nothing else. Small blocks are dealt as tiles."""
+    monkeypatch.setattr(simhash, "BLOCK_HASHES", block)
+    passage, texts = [f"p{i}" for i in range(259)], []
+    for k in range(3000):
+        texts.append([*passage, *(f"o{k}x{i}" for i in range(45))])
+        if k % 20 == 0:
+            changed = 21 + k // 20 % 7
+            texts.append([*texts[-1][:-changed], *(f"c{k}x{i}" for i in range(changed))])
+    texts = [" ".join(t) for t in texts]
+    want = alike_groups([five_word_shingles(t) for t in texts])
+    assert sum(w != k for k, w in enumerate(want)) == 150
+    assert near_group_ids(spark, texts) == want
