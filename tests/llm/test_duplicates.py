@@ -235,3 +235,15 @@ def test_near_copies_in_a_crowd_that_shares_a_passage(spark, monkeypatch, block)
     want = alike_groups([five_word_shingles(t) for t in texts])
     assert sum(w != k for k, w in enumerate(want)) == 150
     assert near_group_ids(spark, texts) == want
+
+
+def test_near_groups_of_long_texts_are_exact_at_the_limit(spark):
+    """Pairs of 600 shingles with similarities from 0.76 to 0.84: those at 0.8 and more, and no others."""
+    rng, texts = np.random.default_rng(4), []
+    for k in range(300):
+        base, changed = [f"w{x}" for x in rng.integers(0, 1 << 40, 604)], 52 + k % 31
+        texts += [base, [*base[:-changed], *(f"c{k}x{i}" for i in range(changed))]]
+    texts = [" ".join(t) for t in texts]
+    want = alike_groups([five_word_shingles(t) for t in texts])
+    assert 0 < sum(w != k for k, w in enumerate(want)) < 300
+    assert near_group_ids(spark, texts) == want
