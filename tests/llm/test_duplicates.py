@@ -247,3 +247,15 @@ def test_near_groups_of_long_texts_are_exact_at_the_limit(spark):
     want = alike_groups([five_word_shingles(t) for t in texts])
     assert 0 < sum(w != k for k, w in enumerate(want)) < 300
     assert near_group_ids(spark, texts) == want
+
+
+def test_near_groups_of_short_texts_are_exact(spark):
+    """Texts of 1 to 25 shingles, and the same with a word or more at the end."""
+    rng, texts = np.random.default_rng(6), []
+    for k in range(600):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, 5 + k % 25)]
+        texts += [base, [*base, *(f"c{k}x{i}" for i in range(1 + k // 25 % 6))]]
+    texts = [" ".join(t) for t in texts]
+    want = alike_groups([five_word_shingles(t) for t in texts])
+    assert 0 < sum(w != k for k, w in enumerate(want)) < 600
+    assert near_group_ids(spark, texts) == want
