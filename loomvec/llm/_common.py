@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,18 +23,85 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests on one machine)."""
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs in this one process (tests)."""
     sc = spark.sparkContext
-    set_by_session = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(set_by_session or tempfile.mkdtemp(prefix="loomvec-checkpoint-"))
-    return set_by_session or sc._jsc.sc().getCheckpointDir().get()
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="loomvec-checkpoint-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
+
+
+#: Files that ``checkpointed`` has written for whoever asked to be told.
+_WRITTEN: list[list[str]] = []
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there: lineage ends here, and a lost executor costs nothing."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _WRITTEN:
+        path = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        _WRITTEN[-1].extend([path.get()] if path.isDefined() else [])
+    return out
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """What is checkpointed inside the ``with`` block is deleted at its end: for work whose result has been written by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        _WRITTEN.append([])
+
+    def __exit__(self, *_) -> None:
+        for path in _WRITTEN.pop():
+            delete_folder(self.spark, path)
+
+
+def in_one_task(sample: DataFrame, order: list[str], train: Callable[[pa.Table], bytes]) -> bytes:
+    """``train`` applied, in a task on an executor, to all rows of a bounded sample in a fixed order; its result comes to the driver.
+
+    The driver holds no training data, and a lost executor means one more try. Without rows ``train`` gets an empty table.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield pa.RecordBatch.from_pydict({"model": pa.array([train(pa.Table.from_batches(held))], pa.binary())})
+
+    rows = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(trimmed(run), "model binary").collect()
+    return bytes(rows[0]["model"]) if rows else b""
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the Python worker, which lives on, gives the memory it has freed back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if it is read in fewer pieces than there are cores: a small table in one file is one piece.
+
+    Larger tables, whose scans have pieces enough, are left as they are and nothing of them is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def small_batches(df: DataFrame) -> DataFrame:

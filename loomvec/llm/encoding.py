@@ -3,7 +3,8 @@
 The tokenizer's own rules lower-case a text, drop white space and cut it into letter runs, single digits and runs of
 other signs, each of which is encoded alone. For texts of plain Latin-1 characters those rules are a small
 regular expression, so pieces are looked up in a bounded cache and only new pieces go through the tokenizer;
-any other text goes through it whole. Both ways give the same ids.
+any other text, and one that holds the string of an added token, goes through it whole. Both ways give the ids
+that the tokenizer itself gives with ``add_special_tokens=False``.
 """
 
 from __future__ import annotations
@@ -53,9 +54,13 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(self.path)
-        t.encode_special_tokens = True  # their strings inside a text are ordinary text
-        return t
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def added(self) -> re.Pattern[str] | None:
+        """Strings that the tokenizer maps to one id before its own rules apply, in any case of their letters."""
+        found = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        return re.compile("|".join(map(re.escape, found)), re.IGNORECASE) if found else None
 
     @cached_property
     def model(self):
@@ -72,10 +77,10 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, as bytes of 4 for each id."""
         out: list[bytes] = [b""] * len(texts)
-        cache, known = self.cache, self.cache.get
+        cache, known, added = self.cache, self.cache.get, self.added
         waiting, rest, new = [], [], {}
         for i, text in enumerate(texts):
-            if not PLAIN.fullmatch(text):
+            if not PLAIN.fullmatch(text) or (added and added.search(text)):
                 rest.append(i)
                 continue
             pieces = PIECE.findall(text.lower())

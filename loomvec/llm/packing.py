@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomvec.llm._common import blocks, checkpointed, small_batches
+from loomvec.llm._common import blocks, checkpointed, small_batches, spread, trimmed
 from loomvec.llm.encoding import default_path, worker_encoder
 
 CAPACITY = 2048
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in cols.items() if c != "ids" or with_ids})
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(spread(docs.select("doc_id", "text"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomvec.llm._common import blocks, small_batches
+from loomvec.llm._common import blocks, small_batches, spread, trimmed
 from loomvec.llm.encoding import default_path, worker_encoder
 
 
@@ -31,7 +31,7 @@ def lengths(docs: DataFrame, path: str | None = None, text: str = "text") -> Dat
                 n = [len(i) // 4 for i in encoder.encode([t or "" for t in b.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64())})
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return small_batches(spread(docs.select("doc_id", text))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, n_tokens long")
 
 
 def histogram(counted: DataFrame) -> DataFrame:
