@@ -1,17 +1,21 @@
 """Language identification with a byte-level convolutional network.
 
 Filters of several widths run over the bytes of fixed-length windows; each filter is max-pooled over its
-window, and a softmax layer maps the pooled values to the languages seen in training. Training is plain
-numpy on the driver, over a bounded sample of labelled texts. Prediction runs on the executors, over every
+window, and a softmax layer maps the pooled values to the languages seen in training. Windows overlap by as many bytes as the widest filter
+needs, so every byte of a text is once, and only once, where a filter begins. Training is plain
+numpy, in one task, over every window of a bounded sample of labelled texts; of each language the sample has about as many texts, or all
+there are. Prediction runs on the executors, over every
 window of every text; a document's prediction is the length-weighted mean of its windows' log-probabilities.
 
 Defined results: a null text, or one with no letter, is ``und`` with score 0; with no labelled text at all
-every document is ``und``. Ties between languages go to the first in alphabetical order. Repeated rows,
-null ids and extra columns pass through untouched.
+every document is ``und``; an empty table gives no rows. Very long texts count with all their windows, in bounded lists. Ties between
+languages go to the first in alphabetical order. Repeated rows,
+null ids and extra columns pass through untouched, and equal texts get equal results.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomvec.llm._common import blocks, crc_remainder, hash_fraction, small_batches
+from loomvec.llm._common import blocks, crc_remainder, hash_fraction, in_one_task, small_batches, spread, trimmed
 
 UNDETERMINED = "und"
-WINDOW = 256
+#: Bytes of a window, the widest filter, and the starts that a window is answerable for.
+WINDOW, WIDEST = 256, 4
+STARTS = WINDOW - WIDEST + 1
+#: Training steps at least, and windows of a step.
+STEPS, BATCH = 800, 64
+#: Languages that are learned at most: the most frequent ones.
+LANGUAGES = 4096
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -47,11 +57,11 @@ class ByteConvNet:
         return {"head": head, "third": self.filters[3][2].astype(np.float32), "last": (self.filters[4][2][first] + self.filters[4][3][second]).astype(np.float32)}
 
     def log_probabilities(self, windows: np.ndarray, t: dict) -> np.ndarray:
-        """(n, WINDOW) bytes to (n, languages) log-probabilities."""
+        """(n, WINDOW) bytes to (n, languages) log-probabilities; every filter begins at each of the first STARTS bytes."""
         n, f = self.filters[2].shape[2], len(windows)
         x = windows.astype(np.int32)
         two = x[:, :-1] * 256 + x[:, 1:]
-        head = t["head"][two[:, :-2]]  # every start that leaves room for the widest filter
+        head = t["head"][two[:, :-2]]
         head[:, :, n : 2 * n] += t["third"][x[:, 2:-1]]
         head[:, :, 2 * n :] += t["last"][two[:, 2:]]
         pooled = np.maximum(head.max(axis=1), 0.0)
@@ -61,63 +71,59 @@ class ByteConvNet:
 
 
 def windows_of(text: bytes) -> np.ndarray:
-    """The whole text as windows of WINDOW bytes, the last one padded with zeros."""
-    n = max(1, -(-len(text) // WINDOW))
-    out = np.zeros(n * WINDOW, np.uint8)
+    """The whole text as windows of WINDOW bytes, each beginning STARTS bytes after the one before; zeros follow the text."""
+    n = max(1, -(-len(text) // STARTS))
+    out = np.zeros(n * STARTS + WIDEST - 1, np.uint8)
     out[: len(text)] = np.frombuffer(text, np.uint8)
-    return out.reshape(n, WINDOW)
+    return np.lib.stride_tricks.sliding_window_view(out, WINDOW)[::STARTS]
 
 
-def train(texts: list[str], labels: list[str], n_filters: int = 12, windows_per_text: int = 3, epochs: int = 8, seed: int = 7) -> ByteConvNet | None:
-    """Fit the network by Adam on windows drawn from the texts; ``None`` if there is nothing to learn from."""
+def train(texts: list[str], labels: list[str], n_filters: int = 12, steps: int = STEPS, seed: int = 7) -> ByteConvNet | None:
+    """Fit the network by Adam on all windows of the texts, each once at least; ``None`` if there is nothing to learn from."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     if not languages:
         return None
-    xs, ys = [], []
-    for text, lang in zip(texts, labels, strict=True):
-        w = windows_of(text.encode())
-        for i in rng.choice(len(w), min(len(w), windows_per_text), replace=False):
-            xs.append(w[i])
-            ys.append(languages.index(lang))
-    x, y = np.array(xs), np.array(ys)
+    windows = [windows_of(t.encode()) for t in texts]
+    x, y = np.concatenate(windows), np.repeat([languages.index(lang) for lang in labels], [len(w) for w in windows])
+    del windows
     share = np.bincount(y, minlength=len(languages)) / len(y)
     weight = 1 / np.maximum(share, 1e-9)[y] / len(languages)  # rare languages count as much as common ones
-    p = {f"f{w}": rng.normal(0, 0.3, (w, 256, n_filters)) for w in (2, 3, 4)}
-    p |= {f"b{w}": np.zeros(n_filters) for w in (2, 3, 4)}
-    p |= {"o": rng.normal(0, 0.2, (3 * n_filters, len(languages))), "c": np.zeros(len(languages))}
+    # filters side by side, the widest first: offset j has those wider than j
+    n, f = n_filters, np.float32
+    p = {f"f{j}": rng.normal(0, 0.3, (256, (WIDEST - max(j, 1)) * n)).astype(f) for j in range(WIDEST)}
+    p |= {"b": np.zeros(3 * n, f), "o": rng.normal(0, 0.2, (3 * n, len(languages))).astype(f), "c": np.zeros(len(languages), f)}
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(x))
-        for at in range(0, len(x), 64):
-            i = order[at : at + 64]
+        for at in range(0, len(x), BATCH):
+            i = order[at : at + BATCH]
             b, rows = x[i].astype(np.int64), np.arange(len(i))[:, None]
-            pooled, arg = [], {}
-            for w in (2, 3, 4):
-                a = sum(p[f"f{w}"][j][b[:, j : WINDOW - w + 1 + j]] for j in range(w)) + p[f"b{w}"]
-                arg[w] = a.argmax(axis=1)
-                pooled.append(a.max(axis=1))
-            h0 = np.concatenate(pooled, axis=1)
+            a = p["f0"][b[:, :STARTS]]
+            for j in range(1, WIDEST):
+                a[:, :, : p[f"f{j}"].shape[1]] += p[f"f{j}"][b[:, j : STARTS + j]]
+            where = a.argmax(axis=1)
+            h0 = np.take_along_axis(a, where[:, None, :], axis=1)[:, 0] + p["b"]
             h = np.maximum(h0, 0)
             z = h @ p["o"] + p["c"]
             q = np.exp(z - z.max(axis=1, keepdims=True))
             q /= q.sum(axis=1, keepdims=True)
             q[np.arange(len(i)), y[i]] -= 1
-            q *= (weight[i] / len(i))[:, None]
-            g = {"o": h.T @ q + 1e-4 * p["o"], "c": q.sum(axis=0)}
-            dh = (q @ p["o"].T) * (h0 > 0)
-            for k, w in enumerate((2, 3, 4)):
-                d = dh[:, k * n_filters : (k + 1) * n_filters]
-                gf = np.zeros_like(p[f"f{w}"])
-                for j in range(w):
-                    np.add.at(gf[j], (b[rows, arg[w] + j], np.arange(n_filters)[None, :]), d)
-                g[f"f{w}"], g[f"b{w}"] = gf, d.sum(axis=0)
+            q *= (weight[i] / len(i))[:, None].astype(f)
+            g = {"o": h.T @ q + f(1e-4) * p["o"], "c": q.sum(axis=0)}
+            d = (q @ p["o"].T) * (h0 > 0)
+            g["b"] = d.sum(axis=0)
+            for j in range(WIDEST):
+                own = p[f"f{j}"].shape[1]
+                cells = b[rows, where[:, :own] + j] * own + np.arange(own)
+                g[f"f{j}"] = np.bincount(cells.reshape(-1), d[:, :own].reshape(-1), 256 * own).reshape(256, own).astype(f)
             step += 1
             for k, d in g.items():
-                m[k] += 0.1 * (d - m[k])
-                v[k] += 0.001 * (d * d - v[k])
-                p[k] -= 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return ByteConvNet(languages, {w: p[f"f{w}"] for w in (2, 3, 4)}, {w: p[f"b{w}"] for w in (2, 3, 4)}, p["o"].astype(np.float32), p["c"].astype(np.float32))
+                m[k] += f(0.1) * (d - m[k])
+                v[k] += f(0.001) * (d * d - v[k])
+                p[k] -= f(0.01 / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / f(1 - 0.999**step)) + f(1e-8))
+    part = {w: slice((WIDEST - w) * n, (WIDEST - w + 1) * n) for w in (2, 3, 4)}
+    return ByteConvNet(languages, {w: np.stack([p[f"f{j}"][:, part[w]] for j in range(w)]) for w in part}, {w: p["b"][part[w]] for w in part}, np.concatenate([p["o"][part[w]] for w in (2, 3, 4)]), p["c"])
 
 
 def predict(model: ByteConvNet | None, tables: dict, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -127,17 +133,18 @@ def predict(model: ByteConvNet | None, tables: dict, texts: list[str | None]) ->
         return langs, scores
     rows = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
     raw = [texts[i].encode() for i in rows]
-    counts = np.array([max(1, -(-len(t) // WINDOW)) for t in raw], np.int64)
-    total = np.zeros((len(rows), len(model.languages)))
-    size = np.zeros(len(rows))
-    all_windows = np.concatenate([windows_of(t) for t in raw]) if rows else np.zeros((0, WINDOW), np.uint8)
-    owner = np.repeat(np.arange(len(rows)), counts)
-    for at in range(0, len(all_windows), 256):
-        w = all_windows[at : at + 256]
-        real = (w != 0).sum(axis=1)
-        np.add.at(total, owner[at : at + 256], model.log_probabilities(w, tables) * real[:, None])
-        np.add.at(size, owner[at : at + 256], real)
-    mean = total / np.maximum(size, 1)[:, None]
+    lengths = np.array([len(t) for t in raw], np.int64)
+    counts = np.maximum(1, -(-lengths // STARTS))
+    ends = np.cumsum(counts)
+    total, owner = np.zeros((len(rows), len(model.languages))), np.repeat(np.arange(len(rows)), counts)
+    starts = np.minimum(STARTS, np.repeat(lengths, counts) - (np.arange(len(owner)) - np.repeat(ends - counts, counts)) * STARTS)
+    held = [w for t in raw for w in [windows_of(t)]]
+    for at in range(0, len(owner), 256):
+        some = np.arange(at, min(at + 256, len(owner)))
+        own = owner[some]
+        w = np.concatenate([held[k][some[own == k] - (ends[k] - counts[k])] for k in np.unique(own).tolist()])
+        np.add.at(total, own, model.log_probabilities(w, tables) * starts[some, None])
+    mean = total / np.maximum(lengths, 1)[:, None]
     q = np.exp(mean - mean.max(axis=1, keepdims=True)) if rows else mean
     best = mean.argmax(axis=1) if rows else []
     for k, i in enumerate(rows):
@@ -146,19 +153,24 @@ def predict(model: ByteConvNet | None, tables: dict, texts: list[str | None]) ->
 
 
 def fit(docs: DataFrame, sample: int = 4000) -> ByteConvNet | None:
-    """Learn from at most about ``sample`` labelled documents, those outside the held-out fold.
+    """Learn from about ``sample`` labelled texts outside the held-out fold (crc32 of the id modulo 4 is 2), as even between languages as there are texts.
 
-    The fold (crc32 of the id modulo 4 is 2) is never learned from. The sample is a fixed pseudo-random share of the rest.
+    Each language's share is drawn by a hash of the text, so copies of one text are one example. Of more than LANGUAGES
+    languages the most frequent ones are learned.
     """
-    usable = docs.where((crc_remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = usable.count()
-    if not n:
+    usable = docs.where((crc_remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    found = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
+    if not found:
         return None
-    rows = usable.where(hash_fraction("doc_id", sample / n, "language")).select("text", "lang").limit(2 * sample).toArrow()
-    if not rows.num_rows:
-        rows = usable.select("text", "lang").limit(sample).toArrow()
-    rows = rows.sort_by([("text", "ascending"), ("lang", "ascending")])  # rows arrive in any order; the model must not depend on it
-    return train(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+    each = sample / len(found)
+    threshold = F.element_at(F.map_from_arrays(F.array(*[F.lit(r["lang"]) for r in found]), F.array(*[F.lit(int(min(1.0, each / max(r["n"], 1)) * (1 << 30))) for r in found])), F.col("lang"))
+    rows = usable.where(F.pmod(F.xxhash64(F.lit("language"), "text"), F.lit(1 << 30)) < threshold).distinct()
+
+    def learn(table: pa.Table) -> bytes:
+        return pickle.dumps(vars(train(table.column("text").to_pylist(), table.column("lang").to_pylist())))
+
+    learned = in_one_task(small_batches(rows), ["text", "lang"], learn)
+    return ByteConvNet(**pickle.loads(learned)) if learned else None
 
 
 def identify(docs: DataFrame, model: ByteConvNet | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -167,7 +179,7 @@ def identify(docs: DataFrame, model: ByteConvNet | None, keep: list[str] | None
     Columns that have the ``names`` of the results already are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    inner = small_batches(docs).select("text", F.struct(F.lit(1).alias("one"), *[F.col(f"`{c}`") for c in keep if c != "text"]).alias("row"))
+    inner = small_batches(spread(docs)).select("text", F.struct(F.lit(1).alias("one"), *[F.col(f"`{c}`") for c in keep if c != "text"]).alias("row"))
     text_out = "text" in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +191,7 @@ def identify(docs: DataFrame, model: ByteConvNet | None, keep: list[str] | None
                 yield pa.RecordBatch.from_pydict(({"text": b.column("text")} if text_out else {}) | cols)
 
     fields = inner.schema.fields if text_out else [inner.schema["row"]]
-    out = inner.mapInArrow(run, T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
+    out = inner.mapInArrow(trimmed(run), T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
     return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in keep], *names)
 
 
