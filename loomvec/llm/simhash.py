@@ -12,18 +12,21 @@ table, its distances to many reference fingerprints: a pair whose rows differ by
 any coordinate can't be close (triangle inequality) and is discarded; only survivors are compared bit by bit.
 A cell hands on a spanning forest of its links, never all pairs.
 
-``deduplicate`` joins texts whose sets of five-word shingles have a Jaccard similarity of LEAST, 0.8, or more: exactly, over all
-pairs, so without fingerprints, whose bits only estimate it. In any one order of all shingles, two such sets have a shingle in
-common among the first fifth of each (prefix filter), and the first one in common has enough shingles after it in both
-(position filter). Shingles that are frequent in a sample come last in the order; the sample decides how much work there
-is, never the result. A shingle's cell hands on only which texts have to be looked at together; each such block then compares the
-whole sets of shingle hashes (64 bits), every pair that its own, exact shingle counts don't rule out and that isn't joined already,
-and hands on the pairs that hold. Blocks and cells too large for a task are dealt out as tiles.
+``deduplicate`` joins texts whose sets of five-word shingles have a Jaccard similarity of LEAST, 0.8, or more. Fingerprints alone can't
+tell that: at 0.8 two fingerprints of 256 bits differ in about 39 bits, give or take 6, and at so wide a distance neither bit segments
+nor pivots discard anything. So texts meet in cells of equal minima (of every band, the smallest hashes of the set under ROWS random
+orders; of texts at exactly 0.8 one pair in 30 million shares none of the BANDS cells, of texts more alike fewer). In a
+cell a pair goes on unless the sizes of the sets or their 256-bit fingerprints rule it out: BIT_LIMIT is more than five standard deviations above what 0.8
+gives. A cell hands on only which texts have to be looked at together; each such block then compares the whole sets of shingle
+hashes (64 bits), every pair that its own, exact shingle counts don't rule out and that isn't joined already, and
+hands on the pairs that hold. Blocks and cells too large for a task are dealt out as tiles.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; fewer words
 than a shingle make one shingle; a component's id is the smallest non-null doc_id in it (null if there is none).
-Repeated rows stay repeated, all with the same component. Extra columns are ignored by ``components`` and
-kept by ``deduplicate``.
+Very long texts count with all their shingles, in bounded lists. Repeated rows stay repeated in ``components``, all with the same
+component; ``deduplicate`` keeps one row of a group: that with the smallest id, of equal ids the smallest hash of the text, and of
+rows that share both the one whose columns have the smallest hash. Empty tables give no rows. Extra columns are ignored by
+``components`` and kept by ``deduplicate``. Sets are told apart by a 64-bit hash: n of them hold a collision with a probability of n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvec.llm._common import blocks, checkpointed, hash_fraction, small_batches
+from loomvec.llm._common import blocks, checkpointed, small_batches, spread, trimmed
 from loomvec.llm.components import connected_components
 
 SEED = 42
@@ -50,10 +53,16 @@ TILE = 4096
 N_PIVOTS = 32
 #: The similarity from which texts are near copies, as a fraction.
 LEAST = (4, 5)
-#: Texts (about) in which frequent shingles are counted, and how many of those are kept.
-SAMPLE, FREQUENT = 4000, 1 << 16
+#: Bands of a text and minima of a band.
+BANDS, ROWS = 24, 3
+#: Bits in which the 256-bit fingerprints of texts alike enough may differ.
+LANES, BIT_LIMIT = 4, 84
+#: One of so many cells is counted to find crowded ones.
+CELL_SAMPLE = 64
 #: Shingle hashes of a block above which it is dealt out as tiles, and those that are compared at once.
-BLOCK_HASHES, AT_ONCE = 1 << 21, 1 << 21
+BLOCK_HASHES, AT_ONCE = 1 << 20, 1 << 20
+#: Rows (of some 60 bytes) up to which a list of texts is broadcast to where the texts are; a longer one is joined by a shuffle.
+LIST_ROWS = 1 << 18
 
 
 def shingles(text: bytes, width: int) -> Iterator[list[bytes]]:
@@ -137,8 +146,8 @@ def fingerprint_table(docs: DataFrame, width: int = 4) -> DataFrame:
                 fp = fingerprints(b.column("text").to_pylist(), width).view(np.int64)
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "fp": pa.array(np.ascontiguousarray(fp[:, 0]))})
 
-    raw = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return raw.mapInArrow(run, "doc_id long, text_key long, fp long")
+    raw = small_batches(spread(docs.select("doc_id", "text"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    return raw.mapInArrow(trimmed(run), "doc_id long, text_key long, fp long")
 
 
 def segment_masks(distance: int, segments: int) -> list[tuple[int]]:
@@ -263,49 +272,64 @@ def links(fps: DataFrame, masks: list[tuple[int, ...]], limit: int, pivot_limit:
             held = (cell[whole:], fp[whole:], side[whole:])
         yield from find(*held)
 
-    return ordered.mapInArrow(run, "u long, v long, bits int")
+    return ordered.mapInArrow(trimmed(run), "u long, v long, bits int")
 
 
-def frequent(raw: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (in order) of the shingles most frequent in a sample of the texts, and their counts: FREQUENT at most."""
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes under the ``k``-th of a family of bijections."""
+    odd = np.uint64(xxhash.xxh64_intdigest(f"odd {k}".encode(), SEED) | 1)
+    h = (h ^ np.uint64(xxhash.xxh64_intdigest(f"flip {k}".encode(), SEED))) * odd
+    return (h ^ (h >> np.uint64(32))) * odd
+
+
+def minima(h: np.ndarray, flips: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """The smallest hash of a set that isn't empty, under each of len(flips) orders."""
+    out = np.full(len(flips), np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 4096):
+        part = h[None, at : at + 4096] ^ flips[:, None]
+        part *= odds[:, None]
+        np.minimum(out, part.min(axis=1), out=out)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in blocks(batch, "text"):
-                for t in b.column("text").to_pylist():
-                    yield pa.RecordBatch.from_pydict({"h": pa.array(shingle_set(t, width).view(np.int64))})
 
-    n = raw.count()
-    some = raw.where(hash_fraction("text_key", SAMPLE / max(n, 1), "frequent")).select("text")
-    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    h, n = np.array([r["h"] for r in counts], np.int64).view(np.uint64), np.array([r["n"] for r in counts], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+def set_fingerprint(h: np.ndarray) -> np.ndarray:
+    """LANES x 64 bits, each set if over half of the shingle hashes, under a bijection for each lane, set it."""
+    out = np.zeros(LANES, np.uint64)
+    for lane in range(LANES):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 14):
+            m = mixed(h[at : at + (1 << 14)], lane)
+            bits = np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            whole = len(bits) // 255 * 255
+            ones += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+            ones += bits[whole:].sum(axis=0, dtype=np.int64)
+        out[lane] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+    return out
 
 
-def prefix_table(raw: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, fp, n, bits, prefix) of every row: ``fp`` stands for its set of shingles, ``n`` is their number, ``bits`` has
-    the parity of each 64th of them, ``prefix`` has the first ones."""
-    known, counts = frequent(raw, width)
+def signature_table(raw: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_key, fp, n, lanes, keys) of every row: ``fp`` stands for its set of shingles, ``n`` is their number, ``lanes`` has
+    the fingerprint and ``keys`` the cells that the text is put into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips, odds = (np.array([xxhash.xxh64_intdigest(f"{kind} {k}".encode(), SEED) for k in range(BANDS * ROWS)], np.uint64) for kind in ("order", "factor"))
+        odds |= np.uint64(1)
         for batch in batches:
             for b in blocks(batch, "text"):
-                sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
-                first = []
-                for h in sets:
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
-                    first.append(h[: prefix_length(len(h))].view(np.int64))
-                ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first)))
-                fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-                bits = np.array([np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63))) for h in sets], np.uint64).view(np.int64)
-                sizes = pa.array([len(h) for h in sets], pa.int32())
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "fp": pa.array(fp), "n": sizes, "bits": pa.array(bits), "prefix": prefix})
-
-    return raw.mapInArrow(run, "doc_id long, text_key long, fp long, n int, bits long, prefix array<long>")
+                out: dict[str, list] = {c: [] for c in ("fp", "n", "lanes", "keys")}
+                for t in b.column("text").to_pylist():
+                    h = shingle_set(t, width)
+                    keys = []
+                    if len(h):
+                        low = minima(h, flips, odds).reshape(BANDS, ROWS)
+                        keys = np.frombuffer(b"".join(xxhash.xxh64_digest(low[k].tobytes() + bytes([k]), SEED) for k in range(BANDS)), np.int64).tolist()
+                    for c, v in zip(out, (xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), set_fingerprint(h).view(np.int64).tolist(), keys), strict=True):
+                        out[c].append(v)
+                fp = pa.array(np.array(out["fp"], np.uint64).view(np.int64))
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "fp": fp, "n": pa.array(out["n"], pa.int32()), "lanes": pa.array(out["lanes"], longs), "keys": pa.array(out["keys"], longs)})
+
+    return raw.mapInArrow(trimmed(run), "doc_id long, text_key long, fp long, n int, lanes array<long>, keys array<long>")
 
 
 def dealt(cells: DataFrame, by: str) -> DataFrame:
@@ -337,44 +361,52 @@ def cross(side: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
     return (side[i] != side[j]) | (side[i] == 0)
 
 
-def candidate_forest(cell: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) that join the rows of a cell just as those do that sizes ``n`` (rising in a cell), positions ``at`` of its shingle and ``bits`` allow.
-
-    Shingles that only one of two sets has are at least as many as the bits in which the two differ.
-    """
-    label, last = np.arange(len(cell)), np.searchsorted(cell, cell, side="right")
-    active, k, a, b = np.arange(len(cell)), 0, LEAST[0], LEAST[1]
+def candidate_forest(cell: np.ndarray, n: np.ndarray, lanes: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) that join the rows of a cell just as those do that the sizes ``n`` (rising in a cell) and the fingerprints allow."""
+    total = len(cell)
+    label, last = np.arange(total), np.searchsorted(cell, cell, side="right")
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, total)))
+    active, k, a, b = np.arange(total), 0, LEAST[0], LEAST[1]
     while True:
         k += 1
         active = active[active + k < last[active]]
         active = active[b * n[active] >= a * n[active + k]]  # the next ones are larger still
+        if not k & (k - 1):  # cells that are joined already need no more looks
+            one = np.minimum.reduceat(label, first) == np.maximum.reduceat(label, first)
+            active = active[~one[of[active]]]
         if not len(active):
             break
         i, j = active, active + k
-        least = common_least(n[i], n[j])
-        ok = (np.minimum(n[i] - at[i], n[j] - at[j]) >= least) & (label[i] != label[j]) & cross(side, i, j)
-        ok &= np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * least
+        ok = (label[i] != label[j]) & cross(side, i, j)
+        i, j = i[ok], j[ok]
+        ok = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1, dtype=np.int32) <= BIT_LIMIT
         if ok.any():
             settle(label, i[ok], j[ok])
-    moved = np.flatnonzero(label != np.arange(len(label)))
+    moved = np.flatnonzero(label != np.arange(total))
     return moved, label[moved]
 
 
 def candidates(fps: DataFrame) -> DataFrame:
-    """Links (u, v) between distinct ``fp`` whose components hold every pair that is alike enough (and others)."""
-    cells = fps.select("fp", "n", "bits", F.posexplode("prefix").alias("at", "key"))
-    crowded = cells.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > TILE).select("key", F.ceil(F.col("rows") / TILE).cast("int").alias("slices"))
+    """Links (u, v) between distinct ``fp`` whose components hold the pairs that are alike enough (and others)."""
+    cells = fps.select("fp", "n", "lanes", F.explode("keys").alias("key"))
+    # cells have the same share of crowded ones at every size, and a text is in BANDS cells, so a count of some of the keys' texts tells how
+    # crowded a cell is: it decides how much work goes to a task, never the result
+    counted = cells.where(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(CELL_SAMPLE)) == 0).groupBy("key").agg((CELL_SAMPLE * F.count("*")).alias("rows"))
+    crowded = counted.where(F.col("rows") > TILE).select("key", F.ceil(F.col("rows") / TILE).cast("int").alias("slices"))
     # at most one row for every TILE of cells, so it may be broadcast
     cells = dealt(cells.join(F.broadcast(crowded), "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1))), "key")
+    parts = [F.get("lanes", F.lit(k)).alias(f"l{k}") for k in range(LANES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_cells(batches):
-            cell, n, at, bits, side, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "n", "at", "bits", "side", "fp"))
-            i, j = candidate_forest(cell, n.astype(np.int64), at, bits.view(np.uint64), side)
+            cell, n, side, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "n", "side", "fp"))
+            lanes = np.stack([b.column(f"l{k}").to_numpy(zero_copy_only=False) for k in range(LANES)], axis=1).view(np.uint64)
+            i, j = candidate_forest(cell, n.astype(np.int64), lanes, side)
             if len(i):
                 yield pa.RecordBatch.from_pydict({"u": pa.array(fp[i]), "v": pa.array(fp[j])})
 
-    return cells.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(run, "u long, v long")
+    return cells.select("fp", "n", "cell", "side", *parts).repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(trimmed(run), "u long, v long")
 
 
 def alike(sets: list[np.ndarray], side: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -419,10 +451,16 @@ def alike(sets: list[np.ndarray], side: np.ndarray) -> Iterator[tuple[int, int]]
         mark[mine] = False
 
 
+def beside(texts: DataFrame, chosen: DataFrame, how: str = "inner") -> DataFrame:
+    """``texts`` (doc_id, text_key, ...) joined with ``chosen`` (the_id, the_key, ...; materialised): texts stay where they are if ``chosen`` is short."""
+    same = F.col("doc_id").eqNullSafe(F.col("the_id")) & (F.col("text_key") == F.col("the_key"))
+    return texts.join(F.broadcast(chosen) if chosen.count() <= LIST_ROWS else chosen, same, how)
+
+
 def confirmed(found: DataFrame, fps: DataFrame, raw: DataFrame, width: int) -> DataFrame:
     """Links (u, v) that join just as all pairs alike enough do, inside the components of ``found``."""
-    member = connected_components(found).join(fps.select(F.col("fp").alias("node"), "n", "first_id", "text_key"), "node")
-    member = checkpointed(member.select(F.col("node").alias("fp"), "component", "n", "first_id", "text_key"))
+    member = connected_components(found).join(fps.select(F.col("fp").alias("node"), "n", "one_id", "one_key"), "node")
+    member = checkpointed(member.select(F.col("node").alias("fp"), "component", "n", F.col("one_id").alias("the_id"), F.col("one_key").alias("the_key")))
     # components and blocks of many hashes are few, at most one for every BLOCK_HASHES of all, so those may be broadcast
     big = member.groupBy("component").agg(F.sum("n").alias("all")).where(F.col("all") > BLOCK_HASHES).select("component", F.lit(True).alias("big"))
     # a big component is cut by size: sets alike enough differ by a factor of 1.25 at most, so by one level
@@ -430,9 +468,10 @@ def confirmed(found: DataFrame, fps: DataFrame, raw: DataFrame, width: int) -> D
     member = member.join(F.broadcast(big), "component", "left").withColumn("level", F.explode(F.when(F.col("big"), F.array(level - 1, level)).otherwise(F.array(F.lit(-9)))))
     member = member.withColumn("block", F.xxhash64("component", "level"))
     crowded = member.groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_HASHES).select("block", F.ceil(F.col("n") / BLOCK_HASHES).cast("int").alias("slices"))
-    member = member.join(F.broadcast(crowded), "block", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).select("fp", "first_id", "text_key", "block", "slices")
+    member = member.join(F.broadcast(crowded), "block", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    member = checkpointed(member.groupBy("the_id", "the_key").agg(F.min("fp").alias("fp"), F.collect_set(F.struct("block", "slices")).alias("blocks")))  # two blocks at most
     # one row of each set; rows with the same id and text come more than once, which does no harm
-    texts = raw.join(member, (F.col("doc_id").eqNullSafe(F.col("first_id"))) & (raw["text_key"] == member["text_key"])).select("fp", "block", "slices", "text")
+    texts = beside(raw, member).select("fp", F.explode("blocks").alias("b"), "text").select("fp", "b.block", "b.slices", "text")
     tiles = dealt(texts, "block").repartition("cell").sortWithinPartitions("cell", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,7 +492,7 @@ def confirmed(found: DataFrame, fps: DataFrame, raw: DataFrame, width: int) -> D
                     sets.append(shingle_set(text.as_py(), width))
         yield from find(fp, side, sets)
 
-    return small_batches(tiles).mapInArrow(run, "u long, v long")
+    return small_batches(tiles).mapInArrow(trimmed(run), "u long, v long")
 
 
 def grouped(thin: DataFrame, fps: DataFrame, linked: DataFrame) -> DataFrame:
@@ -476,27 +515,31 @@ def components(docs: DataFrame, width: int = 4, distance: int = 4, segments: int
 
 
 def near_groups(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, text_key, fp, component, component_id) of every row, linking exactly the texts of similarity 0.8 or more; ``fp`` stands for the set of shingles."""
-    raw = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    thin = checkpointed(prefix_table(raw, width))
+    """(doc_id, text_key, fp, component, component_id) of every row, linking the texts of similarity 0.8 or more; ``fp`` stands for the set of shingles."""
+    raw = small_batches(spread(docs.select("doc_id", "text"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    thin = checkpointed(signature_table(raw, width))
     one = F.min(F.struct("doc_id", "text_key")).alias("one")
-    fps = thin.groupBy("fp").agg(F.min("doc_id").alias("first_id"), one, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    fps = checkpointed(fps.select("fp", "first_id", F.col("one.doc_id").alias("one_id"), F.col("one.text_key").alias("text_key"), "n", "bits", "prefix"))
-    found = candidates(fps.select("fp", "n", "bits", "prefix"))
-    ends = fps.select("fp", "n", F.col("one_id").alias("first_id"), "text_key")
-    return grouped(thin, fps, confirmed(found, ends, raw, width))
+    fps = thin.groupBy("fp").agg(F.min("doc_id").alias("first_id"), one, *[F.first(c).alias(c) for c in ("n", "lanes", "keys")])
+    fps = checkpointed(fps.select("fp", "first_id", F.col("one.doc_id").alias("one_id"), F.col("one.text_key").alias("one_key"), "n", "lanes", "keys"))
+    return grouped(thin, fps, confirmed(candidates(fps), fps, raw, width))
 
 
 def deduplicate(docs: DataFrame, width: int = 5) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id (of repeated rows, one)."""
     thin = near_groups(docs, width)
-    # a group's keeper: smallest id, then smallest text hash; the aggregate combines before it is shuffled
-    best = thin.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("b"), F.count("*").alias("n"))
-    best = checkpointed(best.select(F.col("b.doc_id").alias("__keep_id"), F.col("b.text_key").alias("__keep_key"), F.col("n").alias("__n")))
-    keeper = lambda key: F.col("doc_id").cast("long").eqNullSafe(F.col("__keep_id")) & (F.col(key) == F.col("__keep_key"))
-    kept = docs.withColumn("__key", F.xxhash64("text")).join(best, keeper("__key"), "left_semi").drop("__key")
-    repeated = thin.join(best.where("__n > 1"), keeper("text_key"), "left_semi").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    rows = checkpointed(thin.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n")))  # repeated rows as one
+    # a group's keeper: smallest id, then smallest text hash
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("b"), F.count("*").alias("members"))
+    best = best.where("members > 1").select("component", F.col("b.doc_id").alias("keep_id"), F.col("b.text_key").alias("keep_key"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
+    gone = checkpointed(rows.join(best, "component").where(~kept).select(F.col("doc_id").alias("the_id"), F.col("text_key").alias("the_key")))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = beside(keyed, gone, "left_anti")
+    if rows.where("n > 1").limit(1).count():
+        ordered = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        # combined before it is shuffled, so a row repeated very often is no bottleneck
+        left = left.groupBy("doc_id", "text_key").agg(F.min_by("row", F.xxhash64(*ordered)).alias("row"))
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -507,4 +550,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays."""
-    return deduplicate(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return deduplicate(docs)
