@@ -2,7 +2,7 @@
 
 Messages form trees by their parent links. Iterative self-joins enumerate the root-to-leaf paths: a table of jumps to
 the 2^k-th ancestor is joined with itself, and the nodes found so far on each leaf's path are joined with it, so
-a path of length n takes log2(n) rounds and no more rows than the paths themselves hold. Branches of a tree are ranked by
+a path of length n takes log2(n) rounds, one join each, and no more rows than the paths themselves hold. Branches of a tree are ranked by
 the sum of their scores, and each chosen path becomes one formatted conversation.
 
 Template: a turn is ``<|im_start|>`` role newline text ``<|im_end|>`` newline. Inside role and text a backslash becomes
@@ -10,9 +10,11 @@ two, and the bar of ``<|`` gets a backslash before it (in a role also: newline b
 occur in them and the escape can be undone. The loss mask lists, for each assistant turn, where its text
 lies within the turn. Everything is DataFrame operations.
 
-Defined results: null texts and roles are empty; a message whose parent is not in its tree is a root; cycles,
-which have no root, give no path; ties between branches go to the smaller leaf. Rows of one conversation with equal turn
-follow each other in the order of role and text. A null tree id is a tree of its own. No rows give no rows.
+Defined results: null texts and roles are empty; a message whose parent is not in its tree is a root; messages that hang on a cycle,
+which has no root, give no path, themselves included if they are their own parent; of messages that share a name the first in the order of
+parent, role, text and score counts; ties between branches go to the smaller leaf. Rows of one conversation with equal turn
+follow each other in the order of role and text. A null tree id is a tree of its own. No rows give no rows; extra columns are
+ignored. Texts of any length are one value, as is a formatted conversation: that row is all its turns.
 """
 
 from __future__ import annotations
@@ -44,21 +46,26 @@ def unescape_role(c: Column) -> Column:
     return unescape(F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
 
 
-def paths(nodes: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """``nodes`` (node, parent; node unique, parent null or dangling for roots) to (leaf, node, depth_from_leaf) for every root-to-leaf path."""
-    known = nodes.select(F.col("node").alias("parent"))
-    up = checkpointed(nodes.where("parent is not null").select("node", "parent").join(known, "parent", "left_semi").select("node", F.col("parent").alias("anc")))
-    leaves = nodes.select("node").join(up.select(F.col("anc").alias("node")), "node", "left_anti")
-    found = checkpointed(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above")))
-    jump, step = up, 1
-    for _ in range(most_rounds):
-        more = found.join(jump, "node").select("leaf", F.col("anc").alias("node"), (F.col("above") + step).alias("above"))
-        found = checkpointed(found.union(more))
-        jump = checkpointed(jump.join(jump.select(F.col("node").alias("anc"), F.col("anc").alias("far")), "anc").select("node", F.col("far").alias("anc")))
-        step *= 2
-        if not jump.limit(1).count():
-            break
-    return found
+def paths(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node, parent; parent null or dangling for roots) to (leaf, node, above) for every root-to-leaf path; ``above``: steps up from the leaf.
+
+    Round k joins what has been found, up to 2^k steps above each leaf, and the jumps of 2^k steps with the same jumps, once. A round
+    that doesn't leave fewer jumps than the one before has only cycles left, as otherwise the nodes just 2^k steps below a root drop out.
+    """
+    nodes = nodes.where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"))
+    up = checkpointed(nodes.join(nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known")), "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("to")))
+    inner = up.where("to is not null").select(F.col("to").alias("node"), F.lit(True).alias("inner")).distinct()
+    leaves = up.join(inner, "node", "left").where("inner is null").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
+    found, jump, step, before = checkpointed(leaves), up.where("to is not null"), 1, None
+    n = jump.count()
+    while n and n != before:
+        # rows without a leaf are the jumps themselves
+        ends = found.select("leaf", "node", "above", F.col("node").alias("at")).unionByName(jump.select(F.lit(None).cast(dict(up.dtypes)["node"]).alias("leaf"), "node", F.lit(None).cast("long").alias("above"), F.col("to").alias("at")))
+        more = checkpointed(ends.join(jump.select(F.col("node").alias("at"), F.col("to").alias("far")), "at").select("leaf", "node", "above", "far"))
+        found = found.unionByName(more.where("above is not null").select("leaf", F.col("far").alias("node"), (F.col("above") + step).alias("above")))
+        jump = more.where("above is null").select("node", F.col("far").alias("to"))
+        step, before, n = 2 * step, n, jump.count()
+    return found.join(jump.select(F.col("node").alias("leaf")), "leaf", "left_anti") if n else found
 
 
 def ranked_branches(nodes: DataFrame, on_path: DataFrame) -> DataFrame:
@@ -73,6 +80,8 @@ def format_paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
     (tree, leaf, branch, n_turns, formatted, loss_spans): ``loss_spans`` has (turn, start, length) of the text
     under the loss mask, in code points from the beginning of that turn.
     """
+    others = [c for c in ("parent", "role", "text", "score", "tree") if c in nodes.columns]
+    nodes = nodes.groupBy("node").agg(F.min(F.struct(*others)).alias("first")).select("node", *[F.col(f"first.{c}").alias(c) for c in others])
     on_path = paths(nodes.select("node", "parent"))
     branches = ranked_branches(nodes, on_path)
     if best is not None:
@@ -103,7 +112,7 @@ def conversation_nodes(conversations: DataFrame) -> DataFrame:
     """A conversation table (conv_id, turn, role, text) as trees of one branch each."""
     by_turn = Window.partitionBy("tree").orderBy("turn", "role", "text")
     rows = conversations.select(F.col("conv_id").alias("tree"), "turn", "role", "text").withColumn("__n", F.row_number().over(by_turn))
-    name = lambda n: F.concat(F.coalesce(F.col("tree").cast("string"), F.lit("?")), F.lit("/"), n.cast("string"))
+    name = lambda n: F.struct("tree", n.alias("n"))
     return rows.select("tree", name(F.col("__n")).alias("node"), F.when(F.col("__n") > 1, name(F.col("__n") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 

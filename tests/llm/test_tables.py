@@ -51,14 +51,13 @@ def test_matrix_margins(parts, shards):
     assert [sum(r) for r in m] == parts and [sum(c) for c in zip(*m)] == sizes and min(map(min, m)) >= 0
 
 
-ODD = ["", "It's 'S 're x'll", "a\x85b\xa0c", "İstanbul ΣΑΣ", "²³½ x²y", "naïve Ångström ß ẞ ÿŸ", "\x1c\x1dabc", "<|endoftext|> <|startoftext|>", "日本語 text", "a" * 300, "''s''' don't'", "é café", "\t\r\n", "½½1a2", "µª º", "a\xadb"]
+ODD = ["", "It's 'S 're x'll", "a\x85b\xa0c", "İstanbul ΣΑΣ", "²³½ x²y", "naïve Ångström ß ẞ ÿŸ", "\x1c\x1dabc", "<|endoftext|> <|startoftext|>", "hello <|endoftext|> x", "a<|ENDOFTEXT|>b <|endoftext", "日本語 text", "a" * 300, "''s''' don't'", "é café", "\t\r\n", "½½1a2", "µª º", "a\xadb"]
 
 
 def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(encoding.default_path())
-    t.encode_special_tokens = True
     return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -166,8 +165,20 @@ def test_reply_trees_enumerate_and_rank_branches(spark):
         want = sorted(walk(tree, 0, []), key=lambda p: (-sum(by_id[f"{tree}/{i}"][5] for i in p), f"{tree}/{p[-1]}"))[:2]
         own = sorted((r for r in got if r["tree"] == tree), key=lambda r: r["branch"])
         assert [[t["text"] for t in r["turns"]] for r in own] == [[f"m{i}" for i in p] for p in want]
-    loop = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "gone")], "node string, parent string")
-    assert [r["node"] for r in chat.paths(loop, most_rounds=3).collect()] == ["c"]
+
+
+def test_paths_on_any_graph(spark):
+    """Cycles, a leaf and a tail on a cycle, a self-loop, repeated and dangling nodes; a null parent is smallest."""
+    rows = [("a", "b"), ("b", "a"), ("c", "a"), ("d", "c"), ("s", "s"), ("t", "s"), ("r", None), ("x", "r"), ("x", "r"), ("y", "gone"), ("z", "y"), ("z", "x"), (None, "r"), ("alone", None)]
+    got = sorted((r["leaf"], r["above"], r["node"]) for r in chat.paths(spark.createDataFrame(rows, "node string, parent string")).collect())
+    # z is named twice: its parent x comes first
+    assert got == [("alone", 0, "alone"), ("y", 0, "y"), ("z", 0, "z"), ("z", 1, "x"), ("z", 2, "r")]
+
+
+def test_paths_of_a_long_chain(spark):
+    chain = spark.range(10_000).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    got = chat.paths(chain).agg(F.count("*").alias("n"), F.min("leaf").alias("a"), F.max("leaf").alias("b"), F.sum(F.col("node") + F.col("above")).alias("s")).first()
+    assert (got["n"], got["a"], got["b"], got["s"]) == (10_000, 9_999, 9_999, 9_999 * 10_000)
 
 
 def exact(ids, x, k):
