@@ -26,8 +26,8 @@ def _flat(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def cross_covariance(pairs: DataFrame) -> DataFrame:
-    """(i, j, v) with v = sum over pairs of old[i] * new[j]: one partial matrix for each task, summed by cell."""
+def cross_covariance_rows(pairs: DataFrame) -> DataFrame:
+    """(i, row): the sums over pairs of old[i] * new[j], a row of doubles for each i: one partial matrix for each task, summed by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -37,12 +37,31 @@ def cross_covariance(pairs: DataFrame) -> DataFrame:
             a, c = (_flat(b.column(n), len(b.column(n)[0])) for n in ("old", "new"))
             total = a.T @ c if total is None else total + a.T @ c
         if total is not None:
-            rows, columns = total.shape
-            for i in range(rows):
-                yield pa.RecordBatch.from_pydict({"i": pa.array(np.full(columns, i)), "j": pa.array(np.arange(columns)), "v": pa.array(total[i])})
+            yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(total))), "row": pa.array([r.tobytes() for r in total], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, row in zip(b.column("i").to_pylist(), b.column("row").to_pylist(), strict=True):
+                part = np.frombuffer(row)
+                sums[i] = sums[i] + part if i in sums else part
+        if sums:
+            yield pa.RecordBatch.from_pydict({"i": pa.array(list(sums), pa.int64()), "row": pa.array([r.tobytes() for r in sums.values()], pa.binary())})
 
     vectors = pairs.select(F.col("old").cast("array<double>").alias("old"), F.col("new").cast("array<double>").alias("new"))
-    return vectors.mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return vectors.mapInArrow(run, "i long, row binary").repartition("i").mapInArrow(add, "i long, row binary")
+
+
+def cross_covariance(pairs: DataFrame) -> DataFrame:
+    """``cross_covariance_rows`` cell by cell: (i, j, v)."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, row in zip(b.column("i").to_pylist(), b.column("row").to_pylist(), strict=True):
+                v = np.frombuffer(row)
+                yield pa.RecordBatch.from_pydict({"i": pa.array(np.full(len(v), i)), "j": pa.array(np.arange(len(v))), "v": pa.array(v)})
+
+    return cross_covariance_rows(pairs).mapInArrow(cells, "i long, j long, v double")
 
 
 @dataclass
@@ -81,8 +100,8 @@ def fit(pairs: DataFrame) -> Adapter:
     if len(set(dims)) != 1:
         raise ValueError(f"the spaces must have one dimension, not {sorted(set(dims))}; use the dual-write strategy")
     m = np.zeros((dims["a"], dims["a"]))
-    for r in cross_covariance(pairs).collect():  # dimension squared cells, whatever the input
-        m[r["i"], r["j"]] = r["v"]
+    for r in cross_covariance_rows(pairs).collect():  # as many rows as dimensions, whatever the input
+        m[r["i"]] = np.frombuffer(r["row"])
     return procrustes(m)
 
 

@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("--table", required=True)
     w.add_argument("--text-col", required=True)
     w.add_argument("--key-col")
+    w.add_argument("--live-table", help="the table as it stands: catalog table, or path of Parquet files (default: the ledger counts who has a text)")
     w.add_argument("--sink", required=True)
     w.add_argument("--model", default=DEFAULT_MODEL)
     w.add_argument("--since-version", type=int)
@@ -57,7 +58,7 @@ def main(args: list[str] | None = None) -> int:
             run = embed(df, a.text_col, a.model, a.sink, source_table=a.table, dedup=not a.no_dedup, batch_size=a.batch_size, shadow_mode=a.shadow_mode, ledger=ledger)
             print(f"run {run.run_id}\nrows {run.n_rows_processed}, known {run.n_rows_deduped}, repeated {run.n_in_batch_dupes}, null {run.n_null}\ncost ${run.cost_usd:.6f}, {run.duration_s:.1f} s")
         elif a.command == "watch":
-            run = watch(a.table, a.text_col, a.sink, model=a.model, since_version=a.since_version, shadow_mode=a.shadow_mode, ledger=ledger, key_col=a.key_col)
+            run = watch(a.table, a.text_col, a.sink, model=a.model, since_version=a.since_version, shadow_mode=a.shadow_mode, ledger=ledger, key_col=a.key_col, live_table=(spark.read.parquet(a.live_table) if "/" in a.live_table else spark.table(a.live_table)) if a.live_table else None)
             print(f"run {run.run_id}\nversions {run.since_version} to {run.to_version}: {run.n_inserted} inserted, {run.n_updated} updated, {run.n_deleted} deleted, {run.duration_s:.1f} s")
         elif a.command == "status":
             runs = ledger.runs.read()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomvec.sources.keyed import KeyedTable
-from loomvec.sources.schemas import EMBED_RUNS, MIGRATE_RUNS, PROVENANCE, WATCH_RUNS
+from loomvec.sources.schemas import EMBED_RUNS, HOLDERS, MIGRATE_RUNS, PROVENANCE, WATCH_RUNS
 
 MONEY = "decimal(18,6)"
 
@@ -30,7 +30,7 @@ def known_hashes(provenance: DataFrame, runs: DataFrame, model: str, sink: str)
 
 def lineage(provenance: DataFrame, runs: DataFrame) -> DataFrame:
     """Every embedding with the run that made it."""
-    return provenance.select("embedding_id", "source_pk", "source_hash", "run_id", "created_at").join(runs.select("run_id", "model", "sink", "timestamp"), "run_id")
+    return provenance.select("embedding_id", "source_pk", "source_hash", "run_id", "created_at").join(runs.select("run_id", "model", "sink", "timestamp", "cost_usd"), "run_id")
 
 
 def last_versions(watch_runs: DataFrame) -> DataFrame:
@@ -54,6 +54,7 @@ class Ledger:
         self.runs = of("embed_runs", EMBED_RUNS, ["run_id"])
         self.provenance_table = of("embedding_provenance", PROVENANCE, ["embedding_id", "model", "sink"])
         self.watch_runs = of("watch_runs", WATCH_RUNS, ["run_id"])
+        self.holders = of("text_holders", HOLDERS, ["source_table", "sink", "part", "source_hash"])
         self.migrate_runs = of("migrate_runs", MIGRATE_RUNS, ["run_id"])
 
     def _one(self, table: KeyedTable, row: dict) -> None:
@@ -76,6 +77,16 @@ class Ledger:
         """Deleted points lose their provenance, so that their texts are embedded when they come back."""
         self.provenance_table.delete(ids.select(F.col("point_id").alias("embedding_id"), F.lit(model).alias("model"), F.lit(sink).alias("sink")))
 
+    def count_holders(self, changed: DataFrame, source_table: str, sink: str) -> None:
+        """Keep (part, source_hash, n) of a feed: a part that comes again takes its own place."""
+        self.holders.upsert(changed.select(F.lit(source_table).alias("source_table"), F.lit(sink).alias("sink"), "part", "source_hash", "n"))
+
+    def held_texts(self, hashes: DataFrame, source_table: str, sink: str) -> DataFrame:
+        """Those of ``hashes`` (source_hash) whose text some row of the table has."""
+        own = self.holders.read().where((F.col("source_table") == source_table) & (F.col("sink") == sink))
+        counted = own.join(hashes.select("source_hash").distinct(), "source_hash", "left_semi").groupBy("source_hash").agg(F.sum("n").alias("n"))
+        return counted.where("n > 0").select("source_hash")
+
     def known_hashes(self, model: str, sink: str) -> DataFrame:
         return known_hashes(self.provenance_table.read(), self.runs.read().where(F.col("state") == "done"), model, sink)
 

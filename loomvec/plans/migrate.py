@@ -23,7 +23,7 @@ from loomvec.plans.providers import provider
 from loomvec.plans.session import get_spark, materialised
 from loomvec.sources.sinks import open_sink
 
-STRATEGIES = ("dual-write", "drift-adapter", "shadow-eval")
+STRATEGIES = ("dual-write", "adapter", "shadow-eval")
 LEAST_PAIRS = 20
 
 
@@ -94,7 +94,7 @@ def migrate(from_model: str, to_model: str, sink: str, *, strategy: str = "dual-
         k = min(k, n_held - 1)
         run.gate_informative = n_held >= 2 * k + 1  # else almost any two neighbour lists overlap
         old, new = held.select("id", F.col("old").alias("vector")), held.select("id", F.col("new").alias("vector"))
-        if strategy == "drift-adapter":
+        if strategy == "adapter":
             adapter = fit(both.where("fold = 'fit'"))
             run.arr = check(old, predict(new, adapter.r).select("id", F.col("adapted").alias("vector")), k, threshold)
             run.adapter_path = str(Path(adapter_dir) / f"adapter_{run.run_id[:8]}.npy")

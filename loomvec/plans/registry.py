@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,11 +13,13 @@ from loomvec.functions import vectors as v
 from loomvec.operators import adapter, dedup, evaluate
 from loomvec.plans import fixtures as fx
 from loomvec.plans import ledger, migrate, providers
-from loomvec.plans.embed import batch_metrics
-from loomvec.plans.session import materialised
+from loomvec.plans.embed import batch_metrics, embed
+from loomvec.plans.session import materialised, shared_folder
+from loomvec.plans.watch import watch
 from loomvec.sources import changefeed as cdf
-from loomvec.sources.keyed import insert_ignore, merge_replace
-from loomvec.streaming.watch_stream import stream_counts
+from loomvec.sources.keyed import KeyedTable, insert_ignore, merge_replace
+from loomvec.sources.sinks import open_sink
+from loomvec.streaming.watch_stream import stream_counts, stream_refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,6 +41,14 @@ def at(c: str = "timestamp"):
 
 AT = "strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS at"
 
+
+
+def _place(spark: SparkSession) -> str:
+    """A new folder, as a URI, for the tables of one query."""
+    folder = shared_folder(spark)
+    return f"{folder if '://' in folder else 'file://' + folder.removeprefix('file:')}/{uuid.uuid4().hex}"
+
+
 # Scans, projections and content addresses
 
 
@@ -142,9 +151,9 @@ def ledger_known_hashes(spark, d):
     return ledger.known_hashes(fx.provenance(spark, d), fx.runs(spark, d), MODEL, SINK)
 
 
-@query(f"WITH {fx.RUNS}, {fx.PROVENANCE} SELECT embedding_id, embedding_id AS source_pk, source_hash, prov.run_id, model, sink, {AT} FROM prov JOIN runs USING (run_id)")
+@query(f"WITH {fx.RUNS}, {fx.PROVENANCE} SELECT embedding_id, embedding_id AS source_pk, source_hash, prov.run_id, model, sink, cost_usd, {AT} FROM prov JOIN runs USING (run_id)")
 def ledger_provenance(spark, d):
-    return ledger.lineage(fx.provenance(spark, d), fx.runs(spark, d)).select("embedding_id", "source_pk", "source_hash", "run_id", "model", "sink", at())
+    return ledger.lineage(fx.provenance(spark, d), fx.runs(spark, d)).select("embedding_id", "source_pk", "source_hash", "run_id", "model", "sink", "cost_usd", at())
 
 
 @query(f"WITH {fx.RUNS} SELECT model, CAST(sum(CAST(cost_usd AS DECIMAL(18,6))) AS DOUBLE) AS cost_usd FROM runs GROUP BY 1")
@@ -219,10 +228,12 @@ def cdf_counts(spark, d):
     return cdf.metrics(cdf.window(fx.feed(spark, d), 1))
 
 
-@query("SELECT CAST(9 AS BIGINT) AS to_version")
+@query(f"WITH {fx.FEED} SELECT s AS since_version, coalesce((SELECT max(_commit_version) FROM feed WHERE _commit_version >= s), s) AS to_version FROM (SELECT unnest([0, 2, 9]) AS s)")
 def cdf_high_watermark(spark, d):
-    """Of a window with nothing in it: the version to start from stays."""
-    return cdf.metrics(cdf.window(fx.feed(spark, d), 9), 9).select("to_version")
+    """Of three windows, the last with nothing in it: there the version to start from stays."""
+    feed = fx.feed(spark, d)
+    found = [cdf.metrics(cdf.window(feed, s), s).select(F.lit(s).alias("since_version"), "to_version") for s in (0, 2, 9)]
+    return found[0].union(found[1]).union(found[2])
 
 
 _NET = "net AS (SELECT doc_id, arg_max(text, _commit_version) AS text, arg_max(_change_type, _commit_version) <> 'delete' AS live FROM feed WHERE _change_type <> 'update_preimage' GROUP BY 1)"
@@ -241,10 +252,24 @@ def cdf_delete_apply(spark, d):
     return points.join(gone, "point_id", "left_anti").select("source_hash", "point_id")
 
 
-@query(f"WITH {fx.FEED}, {_NET} SELECT DISTINCT {fx.pid('md5(text)')} AS point_id FROM net WHERE live")
+@query(f"WITH {fx.FEED}, {_NET} SELECT DISTINCT {fx.pid('md5(text)')} AS point_id, md5(text) AS source_hash FROM net WHERE live")
 def watch_apply(spark, d):
-    """The collection after the whole feed: a point for each text that some row has."""
-    return dedup.one_per_text(dedup.addressed(cdf.net_changes(fx.feed(spark, d), "doc_id", "text").where("live"), "text")).select("point_id")
+    """The collection after ``watch`` has gone over the feed in two windows: a point for each text that some row has."""
+    place, feed = _place(spark), fx.feed(spark, d)
+    book = ledger.Ledger(spark, f"{place}/ledger")
+    for rows in (feed.where("_commit_version <= 1"), feed):
+        watch("documents", "text", f"{place}/points", model=MODEL, shadow_mode=True, ledger=book, key_col="doc_id", feed=rows, provider_options={"dim": 4})
+    return open_sink(f"{place}/points").table(spark).read().select("point_id", "source_hash")
+
+
+@query(f"WITH {fx.FEED}, {_NET} SELECT DISTINCT {fx.pid('md5(text)')} AS point_id FROM net WHERE live")
+def stream_apply(spark, d):
+    """The same by the stream, which takes what there is in one batch."""
+    place, docs = _place(spark), fx.documents(spark, d)
+    stream = spark.readStream.schema(fx.table(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d).select(*docs.columns)
+    book = ledger.Ledger(spark, f"{place}/ledger")
+    stream_refresh(fx.feed_of(stream), "text", f"{place}/points", f"{place}/offsets", model=MODEL, key_col="doc_id", shadow_mode=True, ledger=book, provider_options={"dim": 4}).awaitTermination()
+    return open_sink(f"{place}/points").table(spark).read().select("point_id")
 
 
 @query(f"WITH {fx.FEED} SELECT _change_type, _commit_version, count(*) AS n FROM feed GROUP BY 1, 2")
@@ -253,12 +278,56 @@ def watch_stream(spark, d):
     full = fx.table(spark, d, "documents").schema
     stream = spark.readStream.schema(full).option("pathGlobFilter", "documents.parquet").parquet(d).select(*docs.columns)
     name = f"watch_stream_{uuid.uuid4().hex}"
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    started = stream_counts(fx.feed_of(stream), name, f"{shared}/{name}")
+    started = stream_counts(fx.feed_of(stream), name, f"{shared_folder(spark)}/{name}")
     started.awaitTermination()
     return spark.table(name)
 
 
+# The public operations on real tables
+
+
+@query(f"WITH {fx.KNOWN}, t AS (SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1) SELECT h AS source_hash, {fx.pid('h')} AS point_id, CASE WHEN h IN (SELECT source_hash FROM known) THEN 1 ELSE 2 END AS run FROM t")
+def embed_twice(spark, d):
+    """Which of two ``embed`` runs made each point: the second one leaves what the first has made."""
+    place, docs = _place(spark), fx.documents(spark, d)
+    book, sink = ledger.Ledger(spark, f"{place}/ledger"), f"{place}/points"
+    go = lambda rows: embed(rows, "text", MODEL, sink, shadow_mode=True, ledger=book, provider_options={"dim": 4}).run_id
+    first, _ = go(docs.where("doc_id % 3 = 0")), go(docs)
+    return open_sink(sink).table(spark).read().select("source_hash", "point_id", F.when(F.col("embed_run_id") == first, 1).otherwise(2).alias("run"))
+
+
+@query(f"WITH {fx.KNOWN}, t AS (SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1), k AS (SELECT t.*, h IN (SELECT source_hash FROM known) AS seen FROM t), old AS (SELECT count(*) AS n, count(DISTINCT md5(text)) AS u FROM documents WHERE doc_id % 3 = 0) SELECT 1 AS run, old.n AS n_rows, CAST(0 AS BIGINT) AS n_deduped, old.u AS n_provenance FROM old UNION ALL SELECT 2, CAST(sum(n) AS BIGINT), CAST(sum(n) FILTER (WHERE seen) AS BIGINT), count(*) FILTER (WHERE NOT seen) FROM k")
+def ledger_of_runs(spark, d):
+    """What the ledger says of those two runs: rows, known rows, and embeddings that it traces to each."""
+    place, docs = _place(spark), fx.documents(spark, d)
+    book = ledger.Ledger(spark, f"{place}/ledger")
+    go = lambda rows: embed(rows, "text", MODEL, f"{place}/points", shadow_mode=True, ledger=book, provider_options={"dim": 4}).run_id
+    first, _ = go(docs.where("doc_id % 3 = 0")), go(docs)
+    traced = ledger.lineage(book.provenance_table.read(), book.runs.read()).groupBy("run_id").agg(F.count("*").alias("n_provenance"))
+    return book.runs.read().join(traced, "run_id").select(F.when(F.col("run_id") == first, 1).otherwise(2).alias("run"), "n_rows", "n_deduped", "n_provenance")
+
+
+@query("SELECT doc_id, md5(CASE WHEN doc_id % 10 = 0 THEN text || ' [rev1]' ELSE text END) AS source_hash FROM documents WHERE doc_id % 10 <> 7")
+def keyed_table(spark, d):
+    """A keyed table after an upsert, an upsert of some, an insert-if-absent of all and a delete."""
+    docs = fx.documents(spark, d).select("doc_id", "text")
+    t = KeyedTable(spark, f"{_place(spark)}/t", docs.schema, ["doc_id"])
+    t.upsert(docs.where("doc_id % 10 < 8"))
+    t.upsert(docs.where("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" [rev1]"))))
+    t.insert_if_absent(docs)
+    t.delete(docs.where("doc_id % 10 = 7"))
+    return t.read().select("doc_id", names.text_hash("text").alias("source_hash"))
+
+
+@query(f"SELECT DISTINCT md5(text) AS source_hash, {fx.pid('md5(text)')} AS point_id FROM documents WHERE text <> ''")
+def migrate_rewrite(spark, d):
+    """The collection that ``migrate`` writes with the second model."""
+    place = _place(spark)
+    embed(fx.documents(spark, d), "text", MODEL, f"{place}/points", shadow_mode=True, provider_options={"dim": 4})
+    run = migrate.migrate(MODEL, fx.OTHER_MODEL, f"{place}/points", shadow_mode=True, options={fx.OTHER_MODEL: {"dim": 6}})
+    return open_sink(run.sink_v2).table(spark).read().where(F.size("vector") == 6).select("source_hash", "point_id")
+
+
 # Keyed merges of collections
 
 

@@ -7,14 +7,15 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomvec.functions.text import text_hash
 from loomvec.operators.dedup import addressed
 from loomvec.plans.embed import embed
 from loomvec.plans.ledger import Ledger
 from loomvec.plans.session import get_spark, materialised
-from loomvec.sources.changefeed import DELETE, PRE, metrics, net_changes, read_feed, retired_texts
+from loomvec.sources.changefeed import DELETE, PRE, holders, metrics, net_changes, read_feed, retired_texts, window
 from loomvec.sources.sinks import open_sink
 
 DEFAULT_MODEL = "openai/text-embedding-3-small"
@@ -34,19 +35,18 @@ class WatchRun:
     duration_s: float = 0.0
 
 
-def apply_changes(feed: DataFrame, text_col: str, key_col: str | None, sink: str, model: str, live_texts: DataFrame | None, shadow_mode: bool, ledger: Ledger | None, provider_options: dict | None = None) -> None:
+def apply_changes(feed: DataFrame, text_col: str, key_col: str | None, sink: str, model: str, held: DataFrame, shadow_mode: bool, ledger: Ledger | None, provider_options: dict | None = None) -> None:
     """Embed the texts that the window leaves alive and delete the points whose text no row has any more.
 
-    With a key, a row's last change counts; without one, a text's last change. ``live_texts`` (text_col) are the texts of the table after the
-    window: a retired text that is among them keeps its point. Without it, the window's own survivors decide.
+    With a key, a row's last change counts; without one, a text's last change. ``held`` (source_hash) are hashes of texts that some row of
+    the table has after the window, all of the window's retired ones among them.
     """
     net = materialised(net_changes(feed, key_col, text_col) if key_col else _net_by_text(feed, text_col))
     alive = net.where("live").select(text_col)
     if alive.limit(1).count():
         embed(alive, text_col, model, sink, shadow_mode=shadow_mode, ledger=ledger, provider_options=provider_options)
-    keep = alive if live_texts is None else live_texts.select(text_col).unionByName(alive)
-    gone = addressed(retired_texts(feed, text_col).join(keep, text_col, "left_anti"), text_col).select("point_id")
-    gone = materialised(gone)
+    keep = held.select("source_hash").unionByName(addressed(alive, text_col).select("source_hash"))
+    gone = materialised(addressed(retired_texts(feed, text_col), text_col).select("point_id", "source_hash").join(keep, "source_hash", "left_anti").select("point_id"))
     if gone.limit(1).count():
         open_sink(sink).delete(gone)
         if ledger:
@@ -59,23 +59,38 @@ def _net_by_text(feed: DataFrame, text_col: str) -> DataFrame:
     return feed.groupBy(text_col).agg(F.max(F.struct("_commit_version", alive.alias("alive"))).alias("o")).select(text_col, F.col("o.alive").alias("live"))
 
 
-def watch(source_table: str, text_col: str, sink: str, *, model: str = DEFAULT_MODEL, since_version: int | None = None, shadow_mode: bool = False, ledger: Ledger | None = None, key_col: str | None = None, feed: DataFrame | None = None, live_table: DataFrame | None = None, provider_options: dict | None = None) -> WatchRun:
+def watch(source_table: str, text_col: str, sink: str, *, model: str = DEFAULT_MODEL, since_version: int | None = None, shadow_mode: bool = False, ledger: Ledger | None = None, key_col: str | None = None, feed: DataFrame | None = None, live_table: DataFrame | None = None, provider_options: dict | None = None, part: Column | None = None) -> WatchRun:
     """Apply the changes since the last recorded version (exclusive), or since ``since_version`` (inclusive).
 
-    ``feed`` replaces the reader; ``live_table`` is the source as it stands after the window. The checkpoint is written last, so a crash
-    repeats a window, which changes nothing twice.
+    ``feed`` replaces the reader. A text's point goes only when no row has the text any more, so what untouched rows have must be known: from
+    ``live_table`` (the source as it stands after the window); else from the ledger, which counts each text's holders from the first version
+    on; else from the source's own feed, read from its first version. Where none of these tells, nothing is applied and ValueError raised.
+    ``part`` names what is counted once, however often it is applied: a version (default), which must then come whole.
+    The checkpoint is written last, so a crash repeats a window, which changes nothing twice.
     """
     open_sink(sink)
     run, began = WatchRun(source_table, sink), time.monotonic()
+    last = ledger.last_watch_version(source_table, sink, model) if ledger else None
     if since_version is None:
-        last = ledger.last_watch_version(source_table, sink, model) if ledger else None
         since_version = 0 if last is None else last + 1
     run.since_version = since_version
-    rows = feed.where(F.col("_commit_version") >= since_version) if feed is not None else read_feed(get_spark(), source_table, since_version)
+    rows = window(feed, since_version) if feed is not None else read_feed(get_spark(), source_table, since_version)
     m = metrics(rows, since_version - 1 if since_version else 0).first()
     run.to_version, run.n_inserted, run.n_updated, run.n_deleted = m["to_version"], m["n_inserted"], m["n_updated"], m["n_deleted"]
     if m["n_inserted"] + m["n_updated"] + m["n_deleted"]:
-        apply_changes(rows, text_col, key_col, sink, model, live_table, shadow_mode, ledger, provider_options)
+        rows = window(rows, since_version, run.to_version)  # what arrives from now on is the next run's
+        if live_table is not None:
+            held = live_table.where(F.col(text_col).isNotNull()).select(text_hash(text_col).alias("source_hash"))
+        elif ledger and (last is not None or not since_version):
+            changed = holders(rows, text_col, F.concat(F.lit("v"), F.col("_commit_version").cast("string")) if part is None else part)
+            ledger.count_holders(changed, source_table, sink)
+            held = ledger.held_texts(addressed(retired_texts(rows, text_col), text_col), source_table, sink)
+        elif feed is None or not since_version:
+            whole = window(read_feed(get_spark(), source_table, 0), 0, run.to_version) if feed is None else rows
+            held = holders(whole, text_col, F.lit("")).where("n > 0").select("source_hash")
+        else:
+            raise ValueError(f"which texts rows before version {since_version} have is unknown: a live table is needed, or a ledger kept from the first version on")
+        apply_changes(rows, text_col, key_col, sink, model, held, shadow_mode, ledger, provider_options)
     run.duration_s = time.monotonic() - began
     if ledger:
         ledger.write_watch_run(**{k: getattr(run, k) for k in ("run_id", "timestamp", "source_table", "sink", "since_version", "to_version", "n_inserted", "n_updated", "n_deleted", "duration_s")}, model=model)

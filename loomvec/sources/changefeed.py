@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomvec.functions.text import text_hash
+
 INSERT, PRE, POST, DELETE = "insert", "update_preimage", "update_postimage", "delete"
 
 
 def read_feed(spark: SparkSession, source: str, since_version: int = 0) -> DataFrame:
     """Changes from ``since_version`` on (inclusive).
 
-    ``source`` is a folder of Parquet changes (best partitioned by ``_commit_version``), or else a table of a format with
-    change data feeds, for which the session needs that format's connector (not in the test environment: unverified).
+    ``source`` is a folder of Parquet changes (best partitioned by ``_commit_version``), or else a table, by name or by path, of a format
+    with change data feeds, for which the session needs that format's connector (not in the test environment: unverified).
     """
-    if "/" in source:
-        return spark.read.parquet(source).where(F.col("_commit_version") >= since_version)
-    return spark.read.format("delta").option("readChangeFeed", "true").option("startingVersion", since_version).table(source)
+    tracked = spark.read.format("delta").option("readChangeFeed", "true").option("startingVersion", since_version)
+    if "/" not in source:
+        return tracked.table(source)
+    log = spark._jvm.org.apache.hadoop.fs.Path(source.rstrip("/"), "_delta_log")
+    if log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+        return tracked.load(source)
+    return spark.read.parquet(source).where(F.col("_commit_version") >= since_version)
 
 
 def window(feed: DataFrame, since_version: int, to_version: int | None = None) -> DataFrame:
@@ -38,6 +44,12 @@ def metrics(feed: DataFrame, since_version: int = 0) -> DataFrame:
     return feed.agg(n(INSERT).alias("n_inserted"), n(POST).alias("n_updated"), n(DELETE).alias("n_deleted"), F.coalesce(F.max("_commit_version"), F.lit(since_version)).cast("long").alias("to_version"))
 
 
+def holders(feed: DataFrame, text: str, part: Column) -> DataFrame:
+    """(part, source_hash, n): by how many rows more (or fewer) have a text after each part of the feed; summed over all parts, how many have it."""
+    change = F.when(F.col("_change_type").isin(INSERT, POST), 1).when(F.col("_change_type").isin(DELETE, PRE), -1).otherwise(0)
+    return feed.where(F.col(text).isNotNull()).groupBy(part.alias("part"), text_hash(text).alias("source_hash")).agg(F.sum(change).cast("long").alias("n"))
+
+
 def net_changes(feed: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, live): what each key's last change in the window leaves; a preimage never counts as the last.
 

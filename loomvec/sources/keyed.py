@@ -8,6 +8,8 @@ and Hadoop's file system, so any storage that Spark reads will do.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,17 +52,23 @@ class KeyedTable:
         whole = [i for i, n in enumerate(names) if n.startswith("w-")]
         return names[whole[-1] :] if whole else names
 
-    def _log(self) -> DataFrame | None:
-        names = self._commits()
+    def _log(self, names: list[str]) -> DataFrame | None:
         return self.spark.read.schema(StructType([*self.schema.fields, *CHANGE_LOG.fields])).parquet(*[f"{self.path}/{n}" for n in names]) if names else None
 
     def read(self) -> DataFrame:
-        log = self._log()
-        if log is None:
+        names = self._commits()
+        if not names:
             return self.spark.createDataFrame([], self.schema)
-        if len(self._commits()) > 1:
-            log = newest(log, self.keys, "__seq")
-        return log.where(~F.col("__gone")).select(*self.schema.names)
+        return self._merged(self._log(names[:1]), self._log(names[1:])).select(*self.schema.names)
+
+    def _merged(self, whole: DataFrame, later: DataFrame | None) -> DataFrame:
+        """The whole commit's rows but for keys that later ones have changed: only those, few beside the whole, are put in order."""
+        whole = whole.where(~F.col("__gone"))
+        if later is None:
+            return whole
+        changed = later.select(*[F.col(k).alias(f"__{k}") for k in self.keys]).distinct()
+        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in self.keys))
+        return whole.join(changed, same, "left_anti").unionByName(newest(later, self.keys, "__seq").where(~F.col("__gone")))
 
     def _commit(self, rows: DataFrame, gone: bool) -> None:
         names = self._commits()
@@ -68,11 +76,22 @@ class KeyedTable:
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema], F.lit(seq).cast("long").alias("__seq"), F.lit(gone).alias("__gone"))
         whole = not names or len(names) >= COMPACT_AFTER
         if whole and names:
-            rows = newest(self._log().unionByName(rows), self.keys, "__seq").where(~F.col("__gone"))
+            later = rows if len(names) == 1 else self._log(names[1:]).unionByName(rows)
+            rows = self._merged(self._log(names[:1]), later)
         temporary, final = f"{self.path}/_{uuid.uuid4().hex}", f"{self.path}/{'w' if whole else 'c'}-{seq}"
         rows.write.parquet(temporary)
         if self._fs.exists(self._p(final)) or not self._fs.rename(self._p(temporary), self._p(final)):
             raise RuntimeError(f"another writer has committed {final}")
+        if whole:
+            self._clean()
+
+    def _clean(self) -> None:
+        """Commits go that the last whole commit but one had replaced already: a read that began before this one finds all it needs."""
+        named = [s.getPath().getName() for s in self._fs.listStatus(self._p(self.path))]
+        whole = sorted(int(n[2:]) for n in named if n.startswith("w-"))
+        for n in named:
+            if len(whole) > 1 and n[:2] in ("c-", "w-") and int(n[2:]) < whole[-2]:
+                self._fs.delete(self._p(f"{self.path}/{n}"), True)
 
     def upsert(self, rows: DataFrame) -> None:
         """Rows take the place of any with their key; of several with one key, one."""

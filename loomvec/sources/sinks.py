@@ -7,10 +7,13 @@ URI handling and SQL text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 from typing import Protocol
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,8 +95,27 @@ class QdrantSink:
 
         ids.foreachPartition(write)
 
-    def texts(self, spark: SparkSession) -> DataFrame:
-        raise NotImplementedError("export the collection to Parquet and use a file sink to migrate it")
+    def texts(self, spark: SparkSession, parts: int = 64) -> DataFrame:
+        """Points with their texts, read page by page; ids are spread evenly, so each task scrolls through its own range of them. No collection: no rows."""
+        at = self.at
+
+        def read(batches):
+            from qdrant_client import QdrantClient
+
+            own = QdrantClient(host=at.host, port=at.port)
+            there = own.collection_exists(at.collection)
+            for b in batches:
+                for part in b.column("id").to_pylist() if there else ():
+                    edge = [str(uuid.UUID(int=min((k << 128) // parts, (1 << 128) - 1))) for k in (part, part + 1)]
+                    offset = edge[0]
+                    while offset is not None:
+                        page, offset = own.scroll(at.collection, limit=WRITE_BATCH, offset=offset, with_payload=["source_text"], with_vectors=False)
+                        mine = [p for p in page if part == parts - 1 or str(p.id) < edge[1]]
+                        yield pa.RecordBatch.from_pydict({"point_id": pa.array([str(p.id) for p in mine], pa.string()), "source_text": pa.array([(p.payload or {}).get("source_text") for p in mine], pa.string())})
+                        if len(mine) < len(page):
+                            break
+
+        return spark.range(0, parts, 1, parts).mapInArrow(read, "point_id string, source_text string")
 
 
 class PostgresSink:
@@ -134,7 +156,17 @@ class PostgresSink:
         self._each(ids, lambda cursor, some: cursor.execute(delete, ([r["point_id"] for r in some],)))
 
     def texts(self, spark: SparkSession) -> DataFrame:
-        return spark.read.format("jdbc").options(url=f"jdbc:{self.uri}", dbtable=self.table).load().select(F.col("id").cast("string").alias("point_id"), "source_text")
+        """Points with their texts, read in parallel by ranges of the first digit of the id."""
+        url, options = self.jdbc()
+        predicates = [f"left(id::text, 1) = '{d}'" for d in "0123456789abcdef"]
+        return spark.read.jdbc(url, self.table, predicates=predicates, properties=options).select(F.col("id").cast("string").alias("point_id"), "source_text")
+
+    def jdbc(self) -> tuple[str, dict[str, str]]:
+        """The driver's URL, which must not hold user and password, and those as properties."""
+        u = urlsplit(self.uri)
+        port, query = f":{u.port}" if u.port else "", f"?{u.query}" if u.query else ""
+        found = {"user": u.username, "password": u.password}
+        return f"jdbc:postgresql://{u.hostname or 'localhost'}{port}{u.path}{query}", {k: unquote(v) for k, v in found.items() if v}
 
 
 SINKS: dict[str, Callable[[str], Sink]] = {"file": FileSink, "qdrant": QdrantSink, "pg": PostgresSink, "postgresql": PostgresSink}

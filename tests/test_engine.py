@@ -50,7 +50,7 @@ def test_embed_twice_is_all_known_and_null_texts_are_counted(spark, place):
     assert (second.n_rows_processed, second.n_rows_deduped, second.n_in_batch_dupes) == (4, 4, 0)
     assert texts_in(spark, sink) == ["", "a", "b"]
     row = ledger.provenance(pid("a"))
-    assert row["run_id"] == first.run_id and row["model"] == MODEL
+    assert row["run_id"] == first.run_id and row["model"] == MODEL and row["cost_usd"] == 0
     assert ledger.hash_exists(hashlib.md5(b"a").hexdigest(), MODEL, sink) and not ledger.hash_exists("0" * 32, MODEL, sink)
     assert ledger.recent_runs(sink).first()["run_id"] == second.run_id and ledger.cost_by_model().first()["cost_usd"] == 0
 
@@ -124,6 +124,105 @@ def test_stream_equals_batch(spark, place, tmp_path):
     assert texts_in(spark, sink) == ["b"]
 
 
+def test_a_text_that_untouched_rows_have_stays(spark, place):
+    """Two windows, the second with only one of two holders: by the ledger's counts, however often a window comes again."""
+    sink, path = place
+    ledger = loomvec.Ledger(spark, path)
+    go = lambda rows, **more: loomvec.watch("t", "body", sink, model=MODEL, shadow_mode=True, ledger=ledger, feed=spark.createDataFrame(rows, FEED), provider_options=OPTIONS, **more)
+    go([(1, "shared", "insert", 0), (2, "shared", "insert", 0), (3, "own", "insert", 0)])
+    for _ in range(2):
+        go([(1, "shared", "delete", 1), (3, "own", "delete", 1)], since_version=1)
+        assert texts_in(spark, sink) == ["shared"]
+    go([(2, "shared", "update_preimage", 2), (2, "last", "update_postimage", 2)], key_col="id")
+    assert texts_in(spark, sink) == ["last"]
+
+
+def test_nothing_goes_where_holders_are_unknown(spark, place):
+    sink, _ = place
+    loomvec.embed(spark.createDataFrame([("x",)], "body string"), "body", MODEL, sink, shadow_mode=True, provider_options=OPTIONS)
+    late = spark.createDataFrame([(1, "x", "delete", 5)], FEED)
+    with pytest.raises(ValueError, match="live table"):
+        loomvec.watch("t", "body", sink, model=MODEL, shadow_mode=True, feed=late, since_version=5)
+    with pytest.raises(ValueError, match="ledger"):
+        stream_refresh(late, "body", sink, "nowhere", model=MODEL)
+    assert texts_in(spark, sink) == ["x"]
+
+
+def test_a_folder_of_changes_tells_who_holds_a_text(spark, place, tmp_path):
+    sink, _ = place
+    at = str(tmp_path / "changes")
+    spark.createDataFrame([(1, "x", "insert", 0), (2, "x", "insert", 0), (3, "y", "insert", 0), (1, "x", "delete", 1), (3, "y", "delete", 1)], FEED).write.parquet(at)
+    go = lambda since: loomvec.watch(at, "body", sink, model=MODEL, shadow_mode=True, since_version=since, provider_options=OPTIONS)
+    loomvec.embed(spark.createDataFrame([("x",), ("y",)], "body string"), "body", MODEL, sink, shadow_mode=True, provider_options=OPTIONS)
+    go(1)
+    assert texts_in(spark, sink) == ["x"]
+
+
+def test_stream_of_two_batches(spark, place, tmp_path):
+    sink, path = place
+    at = str(tmp_path / "feed")
+    for rows in ([(1, "shared", "insert", 0), (2, "shared", "insert", 0), (3, "own", "insert", 0)], [(1, "shared", "delete", 1), (3, "own", "delete", 1)]):
+        spark.createDataFrame(rows, FEED).coalesce(1).write.mode("append").parquet(at)
+        stream_refresh(spark.readStream.schema(FEED).parquet(at), "body", sink, str(tmp_path / "offsets"), model=MODEL, key_col="id", shadow_mode=True, ledger=loomvec.Ledger(spark, path), provider_options=OPTIONS).awaitTermination()
+    assert texts_in(spark, sink) == ["shared"]
+
+
+FAKE_QDRANT = """
+import json, os
+from types import SimpleNamespace as models_of
+
+class models:
+    VectorParams = lambda size, distance: {"size": size, "distance": distance}
+    Distance = models_of(COSINE="Cosine")
+    PointStruct = lambda id, vector, payload: {"id": id, "vector": vector, "payload": payload}
+    PointIdsList = lambda points: points
+
+class QdrantClient:
+    def __init__(self, host, port):
+        self.at = os.path.join(ROOT, host, str(port))
+    def collection_exists(self, name):
+        return os.path.isdir(f"{self.at}/{name}")
+    def create_collection(self, name, vectors_config):
+        os.makedirs(f"{self.at}/{name}")
+    def upsert(self, name, points):
+        for p in points:
+            json.dump(p, open(f"{self.at}/{name}/{p['id']}", "w"))
+    def delete(self, name, points_selector):
+        for p in points_selector:
+            os.remove(f"{self.at}/{name}/{p}")
+    def scroll(self, name, limit, offset, with_payload, with_vectors):
+        ids = sorted(i for i in os.listdir(f"{self.at}/{name}") if i >= offset)
+        page = [models_of(id=i, payload={k: v for k, v in json.load(open(f"{self.at}/{name}/{i}"))["payload"].items() if k in with_payload}) for i in ids[:3]]
+        return page, ids[3] if len(ids) > 3 else None
+"""
+
+
+def test_qdrant_behind_a_client(spark, tmp_path, monkeypatch):
+    """Upsert, payload, delete, reading back in ranges of ids, and a migration, against a client that keeps points as files."""
+    (tmp_path / "fake").mkdir()
+    (tmp_path / "fake" / "qdrant_client.py").write_text(f"ROOT = {str(tmp_path)!r}\n{FAKE_QDRANT}")
+    monkeypatch.syspath_prepend(str(tmp_path / "fake"))
+    spark.sparkContext.addPyFile(str(tmp_path / "fake" / "qdrant_client.py"))
+    sink = "qdrant://store:6333/docs"
+    assert open_sink(sink).texts(spark).count() == 0
+    texts = [f"text {k}" for k in range(40)]
+    run = loomvec.embed(spark.createDataFrame([(t,) for t in [*texts, texts[0]]], "body string"), "body", MODEL, sink, shadow_mode=True, provider_options=OPTIONS)
+    import json
+
+    point = json.load(open(tmp_path / "store" / "6333" / "docs" / pid("text 7")))
+    assert point["payload"].keys() == {"source_text", "source_hash", "embed_run_id", "created_at"} and point["payload"]["embed_run_id"] == run.run_id and len(point["vector"]) == 16
+    assert texts_in(spark, sink) == sorted(texts)
+    open_sink(sink).delete(spark.createDataFrame([(pid("text 7"),)], "point_id string"))
+    assert len(texts_in(spark, sink)) == 39
+    moved = migrate(MODEL, "openai/text-embedding-3-large", sink, shadow_mode=True, options={"openai/text-embedding-3-large": {"dim": 8}})
+    assert (moved.n_source, moved.n_migrated) == (39, 39) and len(texts_in(spark, moved.sink_v2)) == 39
+
+
+def test_postgres_url_keeps_the_password_out():
+    url, options = PostgresSink("pg://me:p%40ss@h:5433/db?table=t1&ssl=1").jdbc()
+    assert url == "jdbc:postgresql://h:5433/db?ssl=1" and options == {"user": "me", "password": "p@ss"}
+
+
 def test_keyed_table_laws(spark, tmp_path):
     t = KeyedTable(spark, str(tmp_path / "t"), WATCH_RUNS, ["run_id"])
     put = lambda *rows: spark.createDataFrame(list(rows), "run_id string, to_version long").select("run_id", "to_version", *[F.lit(None).cast(f.dataType).alias(f.name) for f in WATCH_RUNS if f.name not in ("run_id", "to_version")])
@@ -236,13 +335,13 @@ def test_migrations(spark, place, tmp_path):
     run = migrate(MODEL, other, sink, shadow_mode=True, ledger=ledger, options={other: {"dim": 8}})
     assert (run.n_source, run.n_migrated, run.n_skipped) == (301, 300, 1) and len(texts_in(spark, run.sink_v2)) == 300
     same = {MODEL: OPTIONS, other: OPTIONS}
-    run = migrate(MODEL, other, sink, strategy="drift-adapter", shadow_mode=True, ledger=ledger, adapter_dir=tmp_path, options=same)
+    run = migrate(MODEL, other, sink, strategy="adapter", shadow_mode=True, ledger=ledger, adapter_dir=tmp_path, options=same)
     assert run.arr == 1.0 and run.gate_informative and adapter.Adapter.load(run.adapter_path).r.shape == (16, 16)
     run = migrate(MODEL, other, sink, strategy="shadow-eval", shadow_mode=True, ledger=ledger, options={MODEL: OPTIONS, other: {"dim": 16, "salt": 1}})
     assert 0 <= run.arr < 0.9
     assert ledger.migrate_runs.read().count() == 3
     with pytest.raises(loomvec.AdapterQualityError):
-        migrate(MODEL, other, sink, strategy="drift-adapter", shadow_mode=True, adapter_dir=tmp_path, options={MODEL: OPTIONS, other: {"dim": 16, "salt": 1}})
+        migrate(MODEL, other, sink, strategy="adapter", shadow_mode=True, adapter_dir=tmp_path, options={MODEL: OPTIONS, other: {"dim": 16, "salt": 1}})
     with pytest.raises(ValueError):
         migrate(MODEL, other, sink, strategy="by-hand")
     empty = migrate(MODEL, other, f"file://{tmp_path}/nothing", shadow_mode=True)
