@@ -7,16 +7,17 @@ most ``capacity`` counts, whatever the input. On those the driver repeats: take
 bitset subset-sum dynamic programming the fullest combination of available lengths that fits beside it, remove it as
 often as the counts allow. Each such pattern covers a range of ranks of each of its lengths; on the
 executors a piece's rank among the pieces of its length gives its sequence and offset. Ranks are counted
-within slices of a length, so a length that very many pieces share is not one task's work.
+within slices of a length, as many as its pieces ask for, so a length that very many pieces share is not one task's work.
 
 Defined results: null and empty texts are one piece holding the end id alone; an empty table gives no rows.
 Repeated rows are packed once each. Which of several equal pieces gets which place is fixed by the order of
-(doc_id, piece, crc), with no meaning of its own.
+(doc_id, piece, crc), with no meaning of its own. Very long texts are encoded whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,8 @@ from loomvec.llm.encoding import default_path, worker_encoder
 
 CAPACITY = 2048
 END_ID = 0
+#: Slices up to which their table is broadcast.
+PLAN_ROWS = 100_000
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -109,25 +112,28 @@ def places(found: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int,
     return out
 
 
-def pack(table: DataFrame, capacity: int = CAPACITY, slices: int = 64) -> DataFrame:
+def pack(table: DataFrame, capacity: int = CAPACITY, slice_rows: int = 100_000) -> DataFrame:
     """``table`` (of ``pieces``; read twice, so it should be materialised) with ``sequence_id`` and ``offset``."""
     spark = table.sparkSession
-    sliced = table.withColumn("__slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slices)).cast("int"))
-    # at most capacity x slices rows, whatever the input
-    hist = sliced.groupBy("length", "__slice").agg(F.count("*").alias("n")).collect()
-    counts: dict[int, int] = {}
-    starts: dict[int, list[tuple[int, int]]] = {}
-    for r in sorted(hist, key=lambda r: (r["length"], r["__slice"])):
-        starts.setdefault(r["length"], []).append((r["__slice"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
+    counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    # slices follow the rows of a length; the table of how many has at most capacity rows
+    many = spark.createDataFrame([(length, -(-n // slice_rows)) for length, n in counts.items()], "length long, __slices long")
+    sliced = table.join(F.broadcast(many), "length").withColumn("__slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__slices"))).drop("__slices")
+    hist = sliced.groupBy("length", "__slice").agg(F.count("*").alias("n")).collect()  # a row for every slice_rows pieces, and capacity more
     runs: dict[int, list[tuple[int, int, int, int]]] = {}
     for length, first, each, sequence, offset in places(patterns(counts, capacity)):
         runs.setdefault(length, []).append((first, each, sequence, offset))
-    rows = [(length, dict(starts[length]), runs[length]) for length in counts]
-    # bounded by the number of distinct lengths, at most ``capacity``
-    plan = spark.createDataFrame(rows, "length long, starts map<int,long>, runs array<struct<first:long,each:long,sequence:long,offset:long>>")
+    firsts = {length: [r[0] for r in own] for length, own in runs.items()}
+    rows, at = [], dict.fromkeys(counts, 0)
+    for r in sorted(hist, key=lambda r: (r["length"], r["__slice"])):
+        length, start, end = r["length"], at[r["length"]], at[r["length"]] + r["n"]
+        # a slice's ranks meet few of its length's runs
+        rows.append((length, r["__slice"], start, runs[length][bisect_right(firsts[length], start) - 1 : bisect_left(firsts[length], end)]))
+        at[length] = end
+    plan = spark.createDataFrame(rows, "length long, __slice long, __start long, runs array<struct<first:long,each:long,sequence:long,offset:long>>")
     ranked = sliced.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__slice").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    placed = ranked.join(F.broadcast(plan), "length").withColumn("__rank", F.col("__rank") + F.element_at("starts", F.col("__slice")))
+    # short if there are few slices; else a join like any other
+    placed = ranked.join(F.broadcast(plan) if len(rows) <= PLAN_ROWS else plan, ["length", "__slice"]).withColumn("__rank", F.col("__rank") + F.col("__start"))
     placed = placed.withColumn("__run", F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("__rank")), -1))
     into = F.col("__rank") - F.col("__run.first")
     return placed.select(*table.columns, (F.col("__run.sequence") + F.expr("(__rank - __run.first) div __run.each")).alias("sequence_id"), (F.col("__run.offset") + (into % F.col("__run.each")) * F.col("length")).alias("offset"))

@@ -8,10 +8,10 @@ is ``rows``: shard sizes differ by at most one, and where a row goes depends on
 
 Everything on the executors is DataFrame operations. Permutations are orders by seeded hashes, so a lost
 task is redone identically. Neither ranking puts a shard into one task: there is a part for every ``part_rows`` rows, up to ``most_parts``, and the final
-order of a shard is counted within slices of its hash range.
+order of a shard is counted within slices of its hash range, as many as the rows ask for.
 
 Defined results: null texts count as empty; repeated rows are separate rows (hash ties are only between
-equal rows, which are interchangeable); an empty table gives no rows. Extra columns are kept by ``shard``.
+equal rows, which are interchangeable); an empty table gives no rows; a text's length plays no part but in ``size``. Extra columns are kept by ``shard``.
 """
 
 from __future__ import annotations
@@ -80,10 +80,11 @@ def literal_table(df: DataFrame, rows: list, schema: str) -> DataFrame:
     return one.select("r.*")
 
 
-def shard(df: DataFrame, identity: list[Column], shards: int = 24, seed: int = 17, part_rows: int = 20_000, most_parts: int = 16_384, slices: int = 16) -> DataFrame:
+def shard(df: DataFrame, identity: list[Column], shards: int = 24, seed: int = 17, part_rows: int = 20_000, most_parts: int = 16_384, slice_rows: int = 200_000) -> DataFrame:
     """``df`` with ``shard`` and ``slot`` (gapless from 0 in each shard); ``identity`` tells rows apart as far as they differ."""
     key = df.withColumn("__h", F.xxhash64(F.lit(seed), *identity))
     n = key.count()
+    slices = 16 + n // (shards * slice_rows)
     n_parts = max(1, min(most_parts, -(-n // part_rows)))  # so the matrix is bounded; larger parts are sorted on disk
     part = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__h")), F.lit(n_parts)).cast("int")
     key = key.withColumn("__part", part)

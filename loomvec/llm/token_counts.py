@@ -5,7 +5,7 @@ length, at most about the square root of twice the corpus's tokens, and its suff
 quantiles and truncated totals for every context limit without another pass over documents.
 
 Defined results: null and empty texts have length 0 and count as documents; an empty table gives no rows.
-Repeated rows count once each.
+Repeated rows count once each, and very long texts with all their tokens; extra columns are ignored, and ties are documents of one length.
 """
 
 from __future__ import annotations
@@ -60,6 +60,13 @@ def limits_table(hist: DataFrame) -> DataFrame:
     )
 
 
+def answers(hist: DataFrame, limits: list[int]) -> DataFrame:
+    """``limits_table`` for any limits, whether a document has that length or not."""
+    asked = hist.sparkSession.createDataFrame([(n,) for n in sorted(set(limits))], "n_tokens long").withColumn("n_docs", F.lit(0).cast("long"))
+    both = hist.unionByName(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return limits_table(both).where(F.col("context_limit").isin(sorted(set(limits))))
+
+
 def quantile(hist: DataFrame, q: float) -> int | None:
     """Smallest length that at least a share ``q`` of the documents doesn't exceed."""
     row = limits_table(hist).where(F.col("share_within") >= q - 1e-12).agg(F.min("context_limit")).first()

@@ -90,6 +90,22 @@ def test_packing_round_trip(spark, sf_dir, docs):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
 
 
+def test_slices_change_no_law(spark):
+    """Few rows in a slice or many: every piece once, sequences gapless and within capacity, as many of them."""
+    rng = random.Random(9)
+    table = spark.createDataFrame([(i, 0, 0, 7 if i % 3 else rng.randrange(1, 21), i) for i in range(600)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    found = set()
+    for n in (7, 100_000):
+        got = packing.pack(table, 20, slice_rows=n).toPandas()
+        assert sorted(got.doc_id) == list(range(600))
+        for _, g in got.sort_values("offset").groupby("sequence_id"):
+            assert (g.length.cumsum() - g.length == g.offset).all() and g.length.sum() <= 20
+        found.add(got.sequence_id.nunique())
+        shards = sharding.shard(table, [F.col("doc_id")], shards=3, slice_rows=n).toPandas()
+        assert all(sorted(g.slot) == list(range(200)) for _, g in shards.groupby("shard"))
+    assert len(found) == 1
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 20), st.integers(1, 5), min_size=1, max_size=6), st.integers(0, 30))
 def test_fullest_is_the_largest_feasible_sum(counts, room):
@@ -117,6 +133,9 @@ def test_token_counts_equal_brute_force(spark, sf_dir, docs):
         assert (r.n_docs, r.docs_over, r.tokens_over, r.truncated_total, r.total_tokens) == ((n == limit).sum(), (n > limit).sum(), n[n > limit].sum(), np.minimum(n, limit).sum(), n.sum())
         assert abs(r.share_within - (n <= limit).mean()) < 1e-12
     hist = token_counts.histogram(token_counts.lengths(spark.createDataFrame(docs[["doc_id", "text"]])))
+    for r in token_counts.answers(hist, [0, 1, 77, 500, 10**6]).collect():
+        k = r["context_limit"]
+        assert (r["docs_over"], r["tokens_over"], r["truncated_total"], r["total_tokens"]) == ((n > k).sum(), n[n > k].sum(), np.minimum(n, k).sum(), n.sum())
     assert token_counts.quantile(hist, 0.5) == np.sort(n)[len(n) // 2 - 1]
 
 
