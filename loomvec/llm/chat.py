@@ -46,14 +46,18 @@ def unescape_role(c: Column) -> Column:
     return unescape(F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
+def paths(nodes: DataFrame, unique: bool = False) -> DataFrame:
     """``nodes`` (node, parent; parent null or dangling for roots) to (leaf, node, above) for every root-to-leaf path; ``above``: steps up from the leaf.
 
     Round k joins what has been found, up to 2^k steps above each leaf, and the jumps of 2^k steps with the same jumps, once. A round
     that doesn't leave fewer jumps than the one before has only cycles left, as otherwise the nodes just 2^k steps below a root drop out.
     """
-    nodes = nodes.where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"))
-    up = checkpointed(nodes.join(nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known")), "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("to")))
+    nodes = nodes.where("node is not null").select("node", "parent")
+    if not unique:
+        nodes = nodes.groupBy("node").agg(F.min("parent").alias("parent"))
+    # roots, which may be a third of all, stay out of the join: their parents would be one key
+    answered = nodes.where("parent is not null").join(nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known")), "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("to"))
+    up = checkpointed(answered.union(nodes.where("parent is null").select("node", F.col("parent").alias("to"))))
     inner = up.where("to is not null").select(F.col("to").alias("node"), F.lit(True).alias("inner")).distinct()
     leaves = up.join(inner, "node", "left").where("inner is null").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
     found, jump, step, before = checkpointed(leaves), up.where("to is not null"), 1, None
@@ -74,15 +78,16 @@ def ranked_branches(nodes: DataFrame, on_path: DataFrame) -> DataFrame:
     return scored.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
 
 
-def format_paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
+def format_paths(nodes: DataFrame, best: int | None = None, unique: bool = False) -> DataFrame:
     """``nodes`` (tree, node, parent, role, text, score) to one row for each of the ``best`` branches of a tree (default: all).
 
     (tree, leaf, branch, n_turns, formatted, loss_spans): ``loss_spans`` has (turn, start, length) of the text
-    under the loss mask, in code points from the beginning of that turn.
+    under the loss mask, in code points from the beginning of that turn. ``unique``: no two nodes have the same name.
     """
     others = [c for c in ("parent", "role", "text", "score", "tree") if c in nodes.columns]
-    nodes = nodes.groupBy("node").agg(F.min(F.struct(*others)).alias("first")).select("node", *[F.col(f"first.{c}").alias(c) for c in others])
-    on_path = paths(nodes.select("node", "parent"))
+    if not unique:
+        nodes = nodes.groupBy("node").agg(F.min(F.struct(*others)).alias("first")).select("node", *[F.col(f"first.{c}").alias(c) for c in others])
+    on_path = paths(nodes.select("node", "parent"), unique=True)
     branches = ranked_branches(nodes, on_path)
     if best is not None:
         branches = branches.where(F.col("branch") <= best)
@@ -120,7 +125,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Every conversation and the probe, formatted, and what reading the output back gives."""
     own = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.range(2).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
-    back = read_back(format_paths(checkpointed(conversation_nodes(own.union(probe)))))
+    back = read_back(format_paths(checkpointed(conversation_nodes(own.union(probe))), unique=True))
     flat = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return back.select(
         F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"),
