@@ -240,3 +240,37 @@ def test_neighbours_with_lengths_and_hot_vectors(spark, monkeypatch, spread):
     want = exact(ids, x, 10)
     recall = [len(set(g.vec_id) & {v for v, _ in want[q]}) / 10 for q, g in got.groupby("query_id")]
     assert len(recall) == 45 and np.mean(recall) >= 0.9
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_neighbours_in_joined_hashes(spark, monkeypatch, clustered):
+    """Cells of several rotations, as many vectors have, and clusters smaller than k: each query still gets k."""
+    monkeypatch.setattr(cross_polytope, "CELL", 2)
+    monkeypatch.setattr(cross_polytope, "FEWEST", 4)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 8))
+    if clustered:
+        x = 20 * x[rng.integers(0, 400, 3000)] + x
+    ids, told = np.arange(3000), {}
+    df = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = cross_polytope.search(df, lambda c: c % 20 == 0, k=10, report=told).toPandas()
+    want = exact(ids, x, 10)
+    recall = [len(set(g.vec_id) & {v for v, _ in want[q]}) / 10 for q, g in got.groupby("query_id")]
+    assert len(cross_polytope.levels_for(3000, 16)) > 1 and told["cells"] == 2048 and told["probes"] < 400
+    assert len(recall) == 150 and (got.groupby("query_id").size() == 10).all() and np.mean(recall) >= 0.9
+
+
+def test_probes_come_in_order_of_shortfall():
+    index = cross_polytope.Tables(6, 100_000, 2, 3)
+    index.levels = [4, 2, 1]
+    index.signs = [[cross_polytope.table_signs(t, 8, 3, i) for i in range(3)] for t in range(2)]
+    x = np.random.default_rng(2).normal(size=(20, 8))
+    whole = index.probes(x, 1, index.cells)
+    assert index.cells == 64 and (np.sort(whole, axis=1) == np.arange(64)).all()
+    assert (whole[:, 0] == index.codes(x, 1)).all() and (index.probes(x, 1, 7) == whole[:, :7]).all()
+
+
+def test_rows_that_repeat_an_id_all_take_part(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (1, [0.0, 1.0])]
+    got = cross_polytope.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 20 == 0, k=3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, 1, 1, 2.0), (0, 1, 1, 3.0), (0, 2, 0, 0.0), (0, 2, 1, 3.0), (0, 3, 0, 0.0), (0, 3, 1, 0.0)]  # ties to the smaller id
