@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Base vectors of a block, and queries of a chunk, that meet in one task.
 BASE_BLOCK, QUERY_CHUNK = 16_384, 4_096
+#: A base of at most so many vector components (8 MB of doubles) goes to every task whole, and nothing is shuffled.
+SMALL_BASE = 1 << 20
 SHADOW_DIM = 1536
 
 
@@ -50,18 +52,52 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def _best(queries: pa.RecordBatch, ids: np.ndarray, vecs: np.ndarray, k: int, exclude_same_id: bool) -> dict[str, pa.Array]:
+    """The best ``k`` of ``vecs`` for each of ``queries``, best first."""
+    qids, sims = queries.column("id").to_numpy(), _matrix(queries.column("vector")) @ vecs.T
+    if exclude_same_id:
+        sims[qids[:, None] == ids[None, :]] = -np.inf
+    edges = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(sims), -np.inf)
+    tops = []
+    for row, edge in zip(sims, edges, strict=True):
+        top = np.flatnonzero((row >= edge) & (row > -np.inf))  # with all ties of the last
+        tops.append(top[np.lexsort((ids[top], -row[top]))[:k]])
+    sizes = [len(top) for top in tops]
+    row, at = np.repeat(np.arange(len(tops)), sizes), np.concatenate(tops)
+    rank = np.arange(1, len(row) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return {"query_id": pa.array(qids[row]), "rank": pa.array(rank, pa.int32()), "id": pa.array(ids[at]), "score": pa.array(sims[row, at])}
+
+
+def _nearest_of_few(queries: DataFrame, base: DataFrame, k: int, exclude_same_id: bool) -> DataFrame:
+    """``nearest`` where the whole base, at most SMALL_BASE components, goes to every task."""
+    whole = base.toArrow()
+    held = base.sparkSession.sparkContext.broadcast((whole.column("id").to_numpy(), _matrix(whole.column("vector").combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                yield pa.RecordBatch.from_pydict(_best(b.slice(at, 256), *held.value, k, exclude_same_id))
+
+    return queries.mapInArrow(run, "query_id long, rank int, id long, score double")
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int, exclude_same_id: bool = True) -> DataFrame:
     """(query_id, rank, id, score): the exact ``k`` nearest of ``base`` (id, vector) by inner product for each of ``queries`` (id, vector).
 
     Blocks of base vectors meet chunks of queries by matrix product; only a query's best ``k`` of a block leave its task,
-    so nothing grows with the number of pairs but arithmetic. Ties go to the smaller id.
+    so nothing grows with the number of pairs but arithmetic. A small base isn't shuffled but goes to every task.
+    Ties go to the smaller id.
     """
-    n_base, n_queries = base.count(), queries.count()
+    base, queries = (x.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")) for x in (base, queries))
+    held = base.agg(F.count("*").alias("rows"), F.sum(F.size("vector")).alias("components")).first()
+    if 0 < held["rows"] and held["components"] <= SMALL_BASE:
+        return _nearest_of_few(queries, base, k, exclude_same_id)
+    n_base, n_queries = held["rows"], queries.count()
     blocks, chunks = max(1, -(-n_base // BASE_BLOCK)), max(1, -(-n_queries // QUERY_CHUNK))
     of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    b = base.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).withColumn("probe", F.lit(0)).withColumn("block", of(blocks)).withColumn("chunk", every(chunks))
-    q = queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).withColumn("probe", F.lit(1)).withColumn("block", every(blocks)).withColumn("chunk", of(chunks))
+    b = base.withColumn("probe", F.lit(0)).withColumn("block", of(blocks)).withColumn("chunk", every(chunks))
+    q = queries.withColumn("probe", F.lit(1)).withColumn("block", every(blocks)).withColumn("chunk", of(chunks))
     rows = b.unionByName(q).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "probe")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,21 +119,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, exclude_same_id: bool =
                 if vecs is None:
                     continue
                 for at in range(0, part.num_rows, 256):
-                    some = part.slice(at, 256)
-                    qids, sims = some.column("id").to_numpy(), _matrix(some.column("vector")) @ vecs.T
-                    if exclude_same_id:
-                        sims[qids[:, None] == ids[None, :]] = -np.inf
-                    out_q, out_i, out_s = [], [], []
-                    for i, row in enumerate(sims):
-                        top = np.argpartition(-row, min(k, len(row)) - 1)[:k] if len(row) > k else np.arange(len(row))
-                        edge = row[top].min() if len(top) else 0.0
-                        top = np.flatnonzero((row >= edge) & (row > -np.inf))  # with all ties of the last
-                        top = top[np.lexsort((ids[top], -row[top]))[:k]]
-                        out_q.append(np.full(len(top), qids[i]))
-                        out_i.append(ids[top])
-                        out_s.append(row[top])
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.concatenate(out_q)), "id": pa.array(np.concatenate(out_i)), "score": pa.array(np.concatenate(out_s))})
-
-    found = rows.mapInArrow(run, "query_id long, id long, score double")
+                    yield pa.RecordBatch.from_pydict(_best(part.slice(at, 256), ids, vecs, k, exclude_same_id))
+
+    found = rows.mapInArrow(run, "query_id long, rank int, id long, score double")
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))

@@ -304,7 +304,9 @@ def test_adapter_recovers_a_rotation(spark, tmp_path):
         adapter.fit(pairs.limit(0))
 
 
-def test_nearest_equals_brute_force_with_ties(spark):
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_nearest_equals_brute_force_with_ties(spark, monkeypatch, small):
+    monkeypatch.setattr("loomvec.functions.vectors.SMALL_BASE", small)
     x = np.random.default_rng(1).normal(size=(50, 4)).round(1)
     x[10] = x[3]
     got = {}
