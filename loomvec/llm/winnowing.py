@@ -7,8 +7,8 @@ position. Any passage of at least K + W - 1 = 7 tokens that two texts share leav
 shorter than K tokens matches.
 
 All of it is DataFrame array functions, linear in the text: k-gram hashes and window minima are built by doubling
-(a gram of 4 from two of 2, a window of 4 from two of 2). A gram's hash and position share one long, hash bits above
-inverted position bits, so that one minimum does both the choice and the tie.
+(a gram of 4 from two of 2, a window of 4 from two of 2). To choose, a gram's upper hash bits and its inverted position share one
+long, so that one minimum does both the choice and the tie; what is chosen is handed on with its whole 64-bit hash.
 
 Defined results: null texts count as empty, and an empty text selects nothing; a text of fewer than K tokens is one gram;
 two texts that select nothing have likeness 1. Order ties between equal ids go by a hash of the text; rows with
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Tokens of a gram and grams of a window (powers of two).
 K = W = 4
-#: Bits that hold an inverted position; the hash keeps the rest.
+#: Bits that hold an inverted position while grams are chosen; the upper bits of the hash have the rest.
 POSITION_BITS = 28
 LAST = (1 << POSITION_BITS) - 1
 #: Scripts written without spaces, whose characters are tokens by themselves.
@@ -37,26 +37,28 @@ def _pairs(a: Column, step: int, size: Column, join) -> Column:
 
 
 def select(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with ``out``: the selected grams of ``text`` as longs (see ``positions``, ``hashes``), in order of position."""
+    """``df`` with ``out``: (position, hash) of the selected grams of ``text``, in order of position."""
     t = f"__t_{out}"
     # each step is a column of its own, as Catalyst computes a column once and an expression wherever it stands
     df = df.withColumn(t, F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0), lambda x: F.xxhash64(x)))
     df = df.withColumn(f"{t}2", _pairs(F.col(t), 1, F.size(t), lambda a, b: F.xxhash64(a, b)))
     df = df.withColumn(f"{t}4", _pairs(F.col(f"{t}2"), 2, F.size(f"{t}2"), lambda a, b: F.xxhash64(a, b)))
     grams = F.when(F.size(t) >= K, F.col(f"{t}4")).when(F.size(t) > 0, F.array(F.aggregate(t, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x)))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn(f"{t}g", F.transform(grams, lambda x, i: x.bitwiseAND(F.lit(~LAST)).bitwiseOR(F.lit(LAST) - i.cast("long"))))
+    df = df.withColumn(f"{t}h", grams)
+    df = df.withColumn(f"{t}g", F.transform(f"{t}h", lambda x, i: x.bitwiseAND(F.lit(~LAST)).bitwiseOR(F.lit(LAST) - i.cast("long"))))
     df = df.withColumn(f"{t}m", _pairs(F.col(f"{t}g"), 1, F.size(f"{t}g"), lambda a, b: F.least(a, b)))
     df = df.withColumn(f"{t}n", _pairs(F.col(f"{t}m"), 2, F.size(f"{t}m"), lambda a, b: F.least(a, b)))
     chosen = F.when(F.size(f"{t}g") >= W, F.col(f"{t}n")).when(F.size(f"{t}g") > 0, F.array(F.array_min(f"{t}g"))).otherwise(F.col(f"{t}g"))
-    return df.withColumn(out, F.array_distinct(chosen)).drop(t, *(f"{t}{s}" for s in "24gmn"))
+    df = df.withColumn(f"{t}p", F.transform(F.array_distinct(chosen), lambda v: (F.lit(LAST) - v.bitwiseAND(F.lit(LAST))).cast("int")))
+    return df.withColumn(out, F.transform(f"{t}p", lambda p: F.struct(p.alias("position"), F.get(f"{t}h", p).alias("hash")))).drop(t, *(f"{t}{s}" for s in "24hgmnp"))
 
 
 def positions(selected: str | Column) -> Column:
-    return F.transform(selected, lambda v: F.lit(LAST) - v.bitwiseAND(F.lit(LAST)))
+    return (F.col(selected) if isinstance(selected, str) else selected)["position"]
 
 
 def hashes(selected: str | Column) -> Column:
-    return F.array_distinct(F.transform(selected, lambda v: F.shiftright(v, POSITION_BITS)))
+    return F.array_distinct((F.col(selected) if isinstance(selected, str) else selected)["hash"])
 
 
 def likeness(a: str, b: str) -> Column:
@@ -67,8 +69,7 @@ def likeness(a: str, b: str) -> Column:
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``df`` with ``out``: array of (position, hash) of the selected grams."""
-    sel = "__selected"
-    return select(df, text, sel).withColumn(out, F.arrays_zip(positions(sel).alias("position"), F.transform(sel, lambda v: F.shiftright(v, POSITION_BITS)).alias("hash"))).drop(sel)
+    return select(df, text, out)
 
 
 def _search(column: str, splits: list[int], base: int = 0) -> str:
@@ -116,7 +117,7 @@ def compare(docs: DataFrame) -> DataFrame:
 
 def digest(selected: str) -> Column:
     """One string for a whole fingerprint, hashes and positions."""
-    return F.sha2(F.concat_ws(",", F.transform(selected, lambda v: v.cast("string"))), 256)
+    return F.sha2(F.concat_ws(",", F.transform(selected, lambda v: F.concat_ws(":", v["position"].cast("string"), v["hash"].cast("string")))), 256)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """SimHash, components and winnowing against plain versions."""
 
+import functools
 import hashlib
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -174,9 +176,29 @@ def test_nearest_forest_joins_what_each_limit_joins(pairs, most):
     assert len(found) < 10
 
 
-def plain_selection(spark, text):
-    row = winnowing.select(spark.createDataFrame([(text,)], "text string"), "text", "s").select("s", F.regexp_extract_all(F.lower("text"), F.lit(winnowing.TOKEN), 0).alias("t")).first()
-    return row["s"], row["t"]
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+PLAIN_TOKEN = regex.compile(rf"(?V1)[{UNSPACED}]|[[\p{{L}}\p{{M}}\p{{N}}]--[{UNSPACED}]]{{1,32}}|[^\s\p{{L}}\p{{M}}\p{{N}}]")
+
+
+def plain_winnow(text):
+    """(position, hash) of the selected grams: every window looked at by itself."""
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def both(a, b):
+        return signed(xxhash.xxh64_intdigest(b.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(a.to_bytes(8, "little", signed=True), 42)))
+
+    tokens = [signed(xxhash.xxh64_intdigest(t.encode(), 42)) for t in PLAIN_TOKEN.findall(text.lower())]
+    grams = [both(both(a, b), both(c, d)) for a, b, c, d in zip(tokens, tokens[1:], tokens[2:], tokens[3:])]
+    if 0 < len(tokens) < 4:
+        grams = [functools.reduce(both, tokens, 42)]
+    windows = [range(i, i + 4) for i in range(len(grams) - 3)] or [range(len(grams))] * (len(grams) > 0)
+    return sorted({min(w, key=lambda i: (grams[i] >> winnowing.POSITION_BITS, -i)) for w in windows}), grams
+
+
+def plain_likeness(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
 
 
 def test_selection_is_the_rightmost_minimum_of_each_window(spark):
@@ -199,6 +221,22 @@ def test_shared_passages_are_found(spark):
     assert df.select(F.size(F.array_intersect(winnowing.hashes("s"), winnowing.hashes("t"))).alias("n")).first()["n"] >= 1
 
 
+def test_whole_query_equals_plain_winnowing(spark, sf_dir, docs):
+    got = winnowing.query(spark, sf_dir).toPandas().set_index("doc_id")
+    x = docs.sort_values("doc_id", ascending=False)
+
+    def chosen(text):
+        at, grams = plain_winnow(text)
+        return hashlib.sha256(",".join(f"{i}:{grams[i]}" for i in at).encode()).hexdigest(), {grams[i] for i in at}
+
+    for d, t, after in zip(x.doc_id, x.text, [*x.text[1:], x.text.iloc[0]]):
+        half = len(t) // 2
+        (own, mine), (edited, theirs), (_, following) = chosen(t), chosen(t[: len(t) - half] + after[:half]), chosen(after)
+        row = got.loc[d]
+        assert (row.fingerprint, row.edited_fingerprint) == (own, edited)
+        assert abs(row.near_edited - plain_likeness(mine, theirs)) < 1e-12 and abs(row.near_next - plain_likeness(mine, following)) < 1e-12
+
+
 def test_edited_texts_and_successors(spark, sf_dir, docs):
     got = winnowing.query(spark, sf_dir).toPandas().set_index("doc_id")
     x = docs.sort_values("doc_id", ascending=False)
