@@ -37,7 +37,7 @@ def _pairs(a: Column, step: int, size: Column, join) -> Column:
 
 
 def select(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with ``out``: (position, hash) of the selected grams of ``text``, in order of position."""
+    """``df`` with ``out``: ``position`` and ``hash`` of the selected grams of ``text``, two arrays in order of position."""
     t = f"__t_{out}"
     # each step is a column of its own, as Catalyst computes a column once and an expression wherever it stands
     df = df.withColumn(t, F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0), lambda x: F.xxhash64(x)))
@@ -50,7 +50,7 @@ def select(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(f"{t}n", _pairs(F.col(f"{t}m"), 2, F.size(f"{t}m"), lambda a, b: F.least(a, b)))
     chosen = F.when(F.size(f"{t}g") >= W, F.col(f"{t}n")).when(F.size(f"{t}g") > 0, F.array(F.array_min(f"{t}g"))).otherwise(F.col(f"{t}g"))
     df = df.withColumn(f"{t}p", F.transform(F.array_distinct(chosen), lambda v: (F.lit(LAST) - v.bitwiseAND(F.lit(LAST))).cast("int")))
-    return df.withColumn(out, F.transform(f"{t}p", lambda p: F.struct(p.alias("position"), F.get(f"{t}h", p).alias("hash")))).drop(t, *(f"{t}{s}" for s in "24hgmnp"))
+    return df.withColumn(out, F.struct(F.col(f"{t}p").alias("position"), F.transform(f"{t}p", lambda p: F.get(f"{t}h", p)).alias("hash"))).drop(t, *(f"{t}{s}" for s in "24hgmnp"))
 
 
 def positions(selected: str | Column) -> Column:
@@ -69,7 +69,7 @@ def likeness(a: str, b: str) -> Column:
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``df`` with ``out``: array of (position, hash) of the selected grams."""
-    return select(df, text, out)
+    return select(df, text, out).withColumn(out, F.arrays_zip(F.col(out)["position"].alias("position"), F.col(out)["hash"].alias("hash")))
 
 
 def _search(column: str, splits: list[int], base: int = 0) -> str:
@@ -117,10 +117,10 @@ def compare(docs: DataFrame) -> DataFrame:
 
 def digest(selected: str) -> Column:
     """One string for a whole fingerprint, hashes and positions."""
-    return F.sha2(F.concat_ws(",", F.transform(selected, lambda v: F.concat_ws(":", v["position"].cast("string"), v["hash"].cast("string")))), 256)
+    return F.sha2(F.concat_ws("|", *(F.concat_ws(",", F.col(selected)[part].cast("array<string>")) for part in ("position", "hash"))), 256)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Fingerprint of every whole document and of its edited text."""
     out = compare(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("selected").alias("fingerprint"), digest("edited_selected").alias("edited_fingerprint"), "near_edited", "near_next", F.size("selected").alias("n_selected"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("selected").alias("fingerprint"), digest("edited_selected").alias("edited_fingerprint"), "near_edited", "near_next", F.size(positions("selected")).alias("n_selected"))

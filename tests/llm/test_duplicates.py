@@ -227,7 +227,7 @@ def test_whole_query_equals_plain_winnowing(spark, sf_dir, docs):
 
     def chosen(text):
         at, grams = plain_winnow(text)
-        return hashlib.sha256(",".join(f"{i}:{grams[i]}" for i in at).encode()).hexdigest(), {grams[i] for i in at}
+        return hashlib.sha256("|".join(",".join(map(str, x)) for x in (at, [grams[i] for i in at])).encode()).hexdigest(), {grams[i] for i in at}
 
     for d, t, after in zip(x.doc_id, x.text, [*x.text[1:], x.text.iloc[0]]):
         half = len(t) // 2
