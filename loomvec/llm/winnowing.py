@@ -12,7 +12,8 @@ long, so that one minimum does both the choice and the tie; what is chosen is ha
 
 Defined results: null texts count as empty, and an empty text selects nothing; a text of fewer than K tokens is one gram;
 two texts that select nothing have likeness 1. Order ties between equal ids go by a hash of the text; rows with
-a null id come last in descending order. An empty table gives no rows; extra columns are ignored.
+a null id come last in descending order. Very long texts are fingerprinted whole. An id, or null, that many rows have is divided by
+that hash; only rows equal in id and text stay in one bucket, whatever their number. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,26 +81,59 @@ def _search(column: str, splits: list[int], base: int = 0) -> str:
     return f"IF({column} < {splits[mid]}, {_search(column, splits[:mid], base)}, {_search(column, splits[mid + 1:], base + mid + 1)})"
 
 
-def in_order(docs: DataFrame, rows_per_bucket: int = 1500, most_buckets: int = 4096) -> DataFrame:
-    """(doc_id, text, bucket, guest, text_key): documents dealt into ranges of doc_id, one shuffle, no global sort.
+def _longs(values: list[int | None]) -> Column:
+    return F.expr("array(" + ",".join("null" if x is None else f"{x}L" if x > -(1 << 63) else "-9223372036854775807L - 1L" for x in values) + ")").cast("array<bigint>")
+
+
+def _buckets(rows: DataFrame, rows_per_bucket: int, most_ranges: int) -> tuple[DataFrame, int]:
+    """``rows`` with ``range`` and ``bucket``, numbered in descending order of doc_id (nulls last, ties by text_key), and how many buckets there are.
+
+    The driver sees only ranges of doc_id, at most twice ``most_ranges`` of them; a range with more rows than a bucket should have is
+    divided evenly between its ends, by doc_id or, where it is a single id or the null ids, by text_key. So buckets follow the rows.
+    """
+    n = rows.count()
+    wanted = min(most_ranges, -(-n // rows_per_bucket)) or 1
+    marks = rows.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], max(10_000, 20 * wanted)).alias("s")).first()["s"] if wanted > 1 else []
+    marks = marks or []
+    often = {a for a, b in zip(marks, marks[1:]) if a == b and a < (1 << 63) - 1}
+    splits = sorted({*marks, *(a + 1 for a in often)})  # an id that holds several marks is a range of its own
+    place = F.expr(_search("doc_id", splits, 1)) if splits else F.lit(1)
+    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(place).cast("int"))
+    ends = {r["range"]: (r["n"], r["lo"], r["hi"]) for r in rows.groupBy("range").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()}  # one row for each range
+    single = [r for r, (held, lo, hi) in ends.items() if lo == hi and held >= 2 * rows_per_bucket]
+    if single:
+        keys = rows.where(F.col("range").isin(single)).groupBy("range").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"))
+        ends |= {r["range"]: (ends[r["range"]][0], r["lo"], r["hi"]) for r in keys.collect()}
+    base, parts, low, span, at = ([0] * (len(splits) + 2) for _ in range(5))
+    total = 0
+    for r in sorted(ends, reverse=True):
+        held, lo, hi = ends[r]
+        wide = float(hi) - float(lo) if lo is not None else 0.0
+        base[r], parts[r], low[r], span[r] = total, max(1, held // rows_per_bucket) if wide else 1, (lo if r in single else hi) or 0, wide or 1.0
+        at[r] = int(r in single)
+        total += parts[r]
+    of = lambda values: F.get(_longs(values), F.col("range"))
+    bucket = of(base)
+    if total > len(ends):
+        gone = F.when(of(at) == 1, F.col("text_key").cast("double") - of(low).cast("double")).otherwise(of(low).cast("double") - F.col("doc_id").cast("double"))
+        share = gone / F.get(F.array(*map(F.lit, span)), F.col("range"))
+        bucket = bucket + F.when(of(parts) > 1, F.least(F.floor(share * of(parts)), of(parts) - 1)).otherwise(0)
+    return rows.withColumn("bucket", bucket.cast("long")), total
+
+
+def in_order(docs: DataFrame, rows_per_bucket: int = 1500, most_ranges: int = 4096) -> DataFrame:
+    """(doc_id, text, text_key, bucket, guest): documents dealt into buckets of neighbours by doc_id, one shuffle, no global sort.
 
     Each bucket also gets, as ``guest``, the row that follows its last one in descending order (the first of all
     after the last of all), so that a window over the bucket sees every row's successor.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = rows.count()
-    buckets = min(most_buckets, -(-n // rows_per_bucket)) or 1
-    splits = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], max(10_000, 20 * buckets)).alias("s")).first()["s"] if buckets > 1 else []
-    splits = sorted({s for s in splits or []})
-    rows = rows.withColumn("bucket", F.coalesce(F.expr(_search("doc_id", splits)), F.lit(0)) if splits else F.lit(0))
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("bucket")))
-    first = {r["bucket"]: r["m"] for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("m")).collect()}  # one row for each bucket
-    order = sorted(first, reverse=True)
-    before = {b: order[k - 1] for k, b in enumerate(order)}
-    array = lambda of: F.expr("array(" + ",".join("null" if of.get(b) is None else f"{of[b]}L" for b in range(len(splits) + 1)) + ")").cast("array<bigint>")
-    own = F.struct(F.col("bucket").cast("long").alias("bucket"), F.lit(False).alias("guest"))
-    guest = F.when(F.col("doc_id").eqNullSafe(F.get(array(first), F.col("bucket"))), F.struct(F.get(array(before), F.col("bucket")).alias("bucket"), F.lit(True).alias("guest")))
-    return rows.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text", "text_key", F.explode(F.array_compact(F.array(own, guest))).alias("at")).select("doc_id", "text", "text_key", "at.bucket", "at.guest")
+    rows, total = _buckets(rows.withColumn("text_key", F.xxhash64("text")), rows_per_bucket, most_ranges)
+    first = rows.groupBy("range", "bucket").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("order"), "text_key", "doc_id", "text")).alias("row"))
+    # both ends of a range have rows, so only within one may the bucket before be further off
+    before = F.coalesce(F.lag("bucket").over(Window.partitionBy("range").orderBy("bucket")), F.pmod(F.col("bucket") - 1, F.lit(max(total, 1))))
+    guests = first.select("row.doc_id", "row.text", "row.text_key", before.cast("long").alias("bucket"), F.lit(True).alias("guest"))
+    return rows.select("doc_id", "text", "text_key", "bucket", F.lit(False).alias("guest")).union(guests)
 
 
 def compare(docs: DataFrame) -> DataFrame:

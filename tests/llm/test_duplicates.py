@@ -248,13 +248,30 @@ def test_edited_texts_and_successors(spark, sf_dir, docs):
     assert by_text.max() == 1 and got.near_edited.between(0, 1).all() and got.near_edited.mean() > 5 * got.near_next.mean()
 
 
-def test_buckets_do_not_change_successors(spark, docs, odd_docs):
+def successors(df, **how):
+    w = winnowing.Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text_key")
+    rows = winnowing.in_order(df, **how).withColumn("n", F.lead(F.struct("doc_id", "text")).over(w)).where("not guest").collect()
+    return sorted((str(r["doc_id"]), r["text"], str(r["n"]["doc_id"]), r["n"]["text"]) for r in rows)
+
+
+def test_buckets_do_not_change_successors(spark, docs):
     df = spark.createDataFrame(docs[["doc_id", "text"]])
     a, b = (winnowing.in_order(df, rows_per_bucket=n) for n in (7, 10_000))
     assert a.where("guest").count() > 20 and b.where("guest").count() == 1
-    w = winnowing.Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text_key")
-    lead = lambda x: {r["doc_id"]: r["n"] for r in x.withColumn("n", F.lead("doc_id").over(w)).where("not guest").collect()}
-    assert lead(a) == lead(b)
+    assert successors(df, rows_per_bucket=7) == successors(df, rows_per_bucket=10_000) == successors(df, rows_per_bucket=7, most_ranges=3)
+
+
+def test_hot_and_null_ids_are_divided(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    ids = [low, low + 1, -5, *[17] * 400, *range(18, 60), *range(10**6, 10**6 + 90), 10**15, high, *[None] * 300]
+    df = spark.createDataFrame([(d, f"text {k}") for k, d in enumerate(ids)], "doc_id long, text string")
+    key = {r["text"]: r["k"] for r in df.select("text", F.xxhash64("text").alias("k")).collect()}
+    x = sorted(((d, f"text {k}") for k, d in enumerate(ids)), key=lambda r: (r[0] is None, -(r[0] or 0), key[r[1]]))
+    want = sorted((str(d), t, str(e), u) for (d, t), (e, u) in zip(x, [*x[1:], x[0]]))
+    for ranges in (1, 2, 5, 40, 4096):
+        assert successors(df, rows_per_bucket=20, most_ranges=ranges) == want
+    sizes = winnowing.in_order(df, rows_per_bucket=20, most_ranges=40).where("not guest").groupBy("bucket").count()
+    assert sizes.agg(F.max("count")).first()[0] < 60
 
 
 def alike_groups(sets):
