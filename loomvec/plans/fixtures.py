@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomvec.functions.text import point_id, text_hash
+from loomvec.functions.vectors import dot
 
 #: Models of the runs derived from events: three with a price and one without.
 MODELS = {"view": "openai/text-embedding-3-small", "click": "openai/text-embedding-3-large", "purchase": "openai/text-embedding-ada-002"}
@@ -96,9 +97,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
-def shifted(df: DataFrame) -> DataFrame:
-    """The new model's vectors: each old one turned by one position, which an orthogonal adapter undoes exactly."""
+#: Normal of the mirror in ``turned``, for vectors of 64.
+MIRROR = [float(37 * i % 11 - 5) for i in range(64)]
+_SCALE = 2 / sum(x * x for x in MIRROR)
+
+
+def turned(df: DataFrame) -> DataFrame:
+    """The new model's vectors: each old one mirrored, then turned by one position. The map is orthogonal, not symmetric, and mixes all components."""
+    u = F.array(*map(F.lit, MIRROR))
+    df = df.withColumn("__c", dot("vector", u) * _SCALE).withColumn("vector", F.zip_with("vector", u, lambda x, y: x - F.col("__c") * y)).drop("__c")
     return df.withColumn("vector", F.concat(F.slice("vector", 2, F.size("vector") - 1), F.slice("vector", 1, 1)))
 
 
-VECTORS = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT id, list_concat(v[2:], v[:1]) AS v FROM e)"
+_U = f"{MIRROR}::DOUBLE[]"
+VECTORS = f"e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), mirrored AS (SELECT id, [z[1] - c * z[2] for z in list_zip(v, {_U})] AS v FROM (SELECT id, v, {_SCALE!r} * list_inner_product(v, {_U}) AS c FROM e)), s AS (SELECT id, list_concat(v[2:], v[:1]) AS v FROM mirrored)"
+#: The cells of the matrix that takes the new vectors back to the old ones.
+BACK = f"back AS (SELECT i, j, CASE WHEN i = (j + 1) % 64 THEN 1 ELSE 0 END - {_SCALE!r} * ({_U})[i + 1] * ({_U})[(j + 1) % 64 + 1] AS r FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS j))"

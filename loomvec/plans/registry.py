@@ -389,26 +389,26 @@ def knn_cosine(spark, d):
 @query(f"WITH {fx.VECTORS} SELECT e.id, round(e.v[1], 6) + 0.0 AS old_first, round(s.v[64], 6) + 0.0 AS new_last FROM e JOIN s USING (id)")
 def paired_vectors(spark, d):
     e = fx.vectors(spark, d)
-    return adapter.paired(e, fx.shifted(e), "id").select("id", (F.round(F.element_at("old", 1), 6) + 0.0).alias("old_first"), (F.round(F.element_at("new", 64), 6) + 0.0).alias("new_last"))
+    return adapter.paired(e, fx.turned(e), "id").select("id", (F.round(F.element_at("old", 1), 6) + 0.0).alias("old_first"), (F.round(F.element_at("new", 64), 6) + 0.0).alias("new_last"))
 
 
 @query(f"WITH {fx.VECTORS}, a AS (SELECT e.id, unnest(range(64)) AS i, unnest(e.v) AS x FROM e), b AS (SELECT s.id, unnest(range(64)) AS j, unnest(s.v) AS y FROM s) SELECT i, j, round(sum(x * y), 4) + 0.0 AS v FROM a JOIN b USING (id) GROUP BY 1, 2")
 def adapter_cross_cov(spark, d):
     e = fx.vectors(spark, d)
-    return adapter.cross_covariance(adapter.paired(e, fx.shifted(e), "id")).select("i", "j", (F.round("v", 4) + 0.0).alias("v"))
+    return adapter.cross_covariance(adapter.paired(e, fx.turned(e), "id")).select("i", "j", (F.round("v", 4) + 0.0).alias("v"))
 
 
 def _fitted(spark, d) -> tuple[DataFrame, DataFrame, adapter.Adapter]:
     e = fx.vectors(spark, d)
-    new = fx.shifted(e)
+    new = fx.turned(e)
     return e, new, adapter.fit(adapter.paired(e, new, "id"))
 
 
-@query("SELECT i, (i + 63) % 64 AS j, 1.0::DOUBLE AS r FROM (SELECT unnest(range(64)) AS i)")
+@query(f"WITH {fx.BACK} SELECT i, j, round(r, 4) + 0.0 AS r FROM back")
 def adapter_fit(spark, d):
-    """The cells of the fitted matrix that aren't zero."""
+    """The cells of the fitted matrix."""
     r = _fitted(spark, d)[2].r
-    return spark.createDataFrame([(i, j, round(float(r[i, j]), 4)) for i in range(len(r)) for j in range(len(r)) if abs(r[i, j]) > 1e-4], "i long, j long, r double")
+    return spark.createDataFrame([(i, j, round(float(r[i, j]), 4) + 0.0) for i in range(len(r)) for j in range(len(r))], "i long, j long, r double")
 
 
 @query(f"WITH {fx.VECTORS} SELECT id, 0.0::DOUBLE AS distance FROM e")
@@ -421,7 +421,7 @@ def adapter_predict(spark, d):
 
 def _arr(spark, d, r) -> DataFrame:
     e = fx.vectors(spark, d)
-    adapted = adapter.predict(fx.shifted(e), r).select("id", F.col("adapted").alias("vector"))
+    adapted = adapter.predict(fx.turned(e), r).select("id", F.col("adapted").alias("vector"))
     return evaluate.adapted_recall(e, adapted, 10).select(F.round("arr", 6).alias("arr"))
 
 
@@ -469,7 +469,7 @@ def search_adapted(spark, d):
 @query(f"WITH {fx.VECTORS}, q AS (SELECT * FROM e WHERE id % 100 = 0), {_knn('k', 'q', 3, '1 = 1')} SELECT query_id, CAST(rank AS INTEGER) AS rank, id FROM k")
 def search_v2(spark, d):
     """New-model queries searched in the rewritten collection: the turn keeps all inner products."""
-    new = fx.shifted(fx.vectors(spark, d))
+    new = fx.turned(fx.vectors(spark, d))
     return v.nearest(new.where("id % 100 = 0"), new, 3, exclude_same_id=False).select("query_id", "rank", "id")
 
 
@@ -478,5 +478,5 @@ def shadow_eval_delta(spark, d):
     """Recall of two collections for the same queries against the old model's truth; the second is searched without an adapter."""
     e = fx.vectors(spark, d)
     truth = materialised(v.nearest(e, e, 10))
-    found = v.nearest(fx.shifted(e), e, 10)
+    found = v.nearest(fx.turned(e), e, 10)
     return evaluate.recall_delta(truth, truth, found, 10).select("recall_old", F.round("recall_new", 6).alias("recall_new"), F.round("delta", 6).alias("delta"))
