@@ -3,7 +3,7 @@
 Trained models, tokenizers, XXH64 and seeded draws have no SQL; those operators are tested against brute force.
 """
 
-from loomvec.llm import chat, cross_polytope, language_id, mixing, packing, sharding, simhash, token_counts, toxicity, winnowing
+from loomvec.llm import chat, cross_polytope, divergence, filter_audit, language_id, mixing, packing, sharding, simhash, token_counts, toxicity, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,11 +16,15 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_chat": chat.query,
     "op10_cross_polytope": cross_polytope.query,
+    "op11_divergence": divergence.query,
+    "op13_filter_audit": filter_audit.query,
 }
 
 _ESCAPED = r"length(replace(replace({0}, '\', '\\'), '<|', '<\|'))"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_divergence": divergence.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
     "op9_chat": rf"""
 WITH c AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
