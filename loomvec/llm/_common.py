@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,6 +53,15 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """``df`` written to the shared folder as Parquet, which is smaller than a checkpoint, and read from there. ``Scratch`` deletes it unless told to ``keep`` it."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if _WRITTEN and not keep:
+        _WRITTEN[-1].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Scratch:
     """What is checkpointed inside the ``with`` block is deleted at its end: for work whose result has been written by then."""
 

@@ -3,7 +3,7 @@
 Trained models, tokenizers, XXH64 and seeded draws have no SQL; those operators are tested against brute force.
 """
 
-from loomvec.llm import chat, cross_polytope, divergence, filter_audit, language_id, mixing, packing, sharding, simhash, token_counts, toxicity, winnowing
+from loomvec.llm import chat, cross_polytope, debruijn, divergence, filter_audit, language_id, mixing, packing, sharding, simhash, token_counts, toxicity, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_chat": chat.query,
     "op10_cross_polytope": cross_polytope.query,
     "op11_divergence": divergence.query,
+    "op12_debruijn": debruijn.query,
     "op13_filter_audit": filter_audit.query,
 }
 
