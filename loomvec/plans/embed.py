@@ -14,8 +14,8 @@ from loomvec.functions.text import parse_model
 from loomvec.operators.dedup import addressed, one_per_text, unseen
 from loomvec.plans.ledger import Ledger
 from loomvec.plans.providers import DEFAULT_PRICE, PRICES, provider
-from loomvec.plans.session import get_spark, materialised
-from loomvec.sources.sinks import open_sink
+from loomvec.plans.session import Scratch, get_spark
+from loomvec.sources.sinks import Sink, open_sink, refresh
 
 
 @dataclass
@@ -49,13 +49,34 @@ def points(rows: DataFrame, run_id: str, at: datetime) -> DataFrame:
     return rows.select("point_id", "vector", "source_text", "source_hash", F.lit(run_id).alias("embed_run_id"), F.lit(at).cast("timestamp").alias("created_at"))
 
 
+def record(ledger: Ledger | None, run: EmbedRun) -> None:
+    if ledger:
+        ledger.write_run(run_id=run.run_id, timestamp=run.timestamp, model=run.model, sink=run.sink, n_rows=run.n_rows_processed, n_deduped=run.n_rows_deduped, cost_usd=run.cost_usd, duration_s=run.duration_s)
+
+
+def renew(new: DataFrame, gone: DataFrame | None, run: EmbedRun, target: Sink, scratch: Scratch, *, batch_size: int = 128, shadow_mode: bool = False, ledger: Ledger | None = None, prices: dict[str, float] = PRICES, provider_options: dict | None = None) -> None:
+    """Vectors for ``new`` (point_id, source_hash, source_text; one row for each text) go into the sink, the points ``gone`` (point_id) out of it, and their provenance likewise.
+
+    The provider's answers are written down before anything else reads them. Until the run's own row is written nothing of its provenance counts.
+    """
+    parsed = parse_model(run.model)
+    made = scratch.keep(provider(parsed, shadow_mode)(new, parsed, batch_size, **(provider_options or {})))
+    run.cost_usd = int(made.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0) * prices.get(parsed.name, DEFAULT_PRICE)
+    if gone is None:
+        target.upsert(points(made, run.run_id, run.timestamp))
+    else:
+        refresh(target, points(made, run.run_id, run.timestamp), gone)
+    if ledger:
+        ledger.trace(made, made.select("point_id").limit(0) if gone is None else gone, run.run_id, run.timestamp, run.model, run.sink)
+
+
 def embed(df: DataFrame | None, text_col: str, model: str, sink: str, *, source_table: str | None = None, dedup: bool = True, batch_size: int = 128, shadow_mode: bool = False, ledger: Ledger | None = None, prices: dict[str, float] = PRICES, provider_options: dict | None = None) -> EmbedRun:
     """Embed ``text_col`` of ``df`` (or of ``source_table``) into ``sink``; see EmbedRun for what is reported.
 
     Everything that can be refused is refused before anything is spent. The provider runs once, over distinct new texts.
     """
     parsed, target = parse_model(model), open_sink(sink)
-    vectors_of = provider(parsed, shadow_mode)
+    provider(parsed, shadow_mode)
     run, began = EmbedRun(model, sink), time.monotonic()
     if df is None:
         if source_table is None:
@@ -65,17 +86,12 @@ def embed(df: DataFrame | None, text_col: str, model: str, sink: str, *, source_
     known = ledger.known_hashes(model, sink) if dedup and ledger else None
     m = batch_metrics(source, text_col, known).first()
     run.n_rows_processed, run.n_null, run.n_rows_deduped, run.n_in_batch_dupes = m["n_rows"], m["n_null"], m["n_deduped"], m["n_in_batch_dupes"]
-    record = lambda state: ledger and ledger.write_run(run_id=run.run_id, timestamp=run.timestamp, model=model, sink=sink, n_rows=run.n_rows_processed, n_deduped=run.n_rows_deduped, cost_usd=run.cost_usd, duration_s=run.duration_s, state=state)
     if run.n_rows_processed > run.n_rows_deduped:
-        record("pending")
         new = one_per_text(addressed(source, text_col))
         if known is not None:
             new = unseen(new, known)
-        made = materialised(vectors_of(new, parsed, batch_size, **(provider_options or {})))
-        run.cost_usd = int(made.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0) * prices.get(parsed.name, DEFAULT_PRICE)
-        target.upsert(points(made, run.run_id, run.timestamp))
-        if ledger:
-            ledger.write_provenance(made.select(F.col("point_id").alias("embedding_id"), F.col("point_id").alias("source_pk"), "source_hash", F.lit(run.run_id).alias("run_id"), F.lit(model).alias("model"), F.lit(sink).alias("sink"), F.lit(run.timestamp).cast("timestamp").alias("created_at")))
+        with Scratch(df.sparkSession) as scratch:
+            renew(new, None, run, target, scratch, batch_size=batch_size, shadow_mode=shadow_mode, ledger=ledger, prices=prices, provider_options=provider_options)
     run.duration_s = time.monotonic() - began
-    record("done")
+    record(ledger, run)
     return run

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,16 @@ def status(runs: DataFrame, limit: int = 5) -> DataFrame:
     )
 
 
+class Counted(NamedTuple):
+    """How far the holders of a table's texts are counted without a gap: up to version ``to``, or up to batch ``to`` of the stream that ``by`` names."""
+
+    by: str
+    to: int
+
+
+VERSIONS = "versions"
+
+
 class Ledger:
     """Usable as a context manager; ``path`` may be a string or a Path. Tables appear when first written."""
 
@@ -54,11 +65,11 @@ class Ledger:
         self.runs = of("embed_runs", EMBED_RUNS, ["run_id"])
         self.provenance_table = of("embedding_provenance", PROVENANCE, ["embedding_id", "model", "sink"])
         self.watch_runs = of("watch_runs", WATCH_RUNS, ["run_id"])
-        self.holders = of("text_holders", HOLDERS, ["source_table", "sink", "part", "source_hash"])
+        self.holders = of("held_texts", HOLDERS, ["source_table", "sink", "source_hash"])
         self.migrate_runs = of("migrate_runs", MIGRATE_RUNS, ["run_id"])
 
     def _one(self, table: KeyedTable, row: dict) -> None:
-        table.upsert(self.spark.createDataFrame([tuple(row.get(f.name) for f in table.schema)], table.schema))
+        table.upsert(self.spark.range(0, 1, 1, 1).select(*(F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in table.schema)), unique=True)
 
     def write_run(self, **row) -> None:
         self._one(self.runs, {"timestamp": datetime.now(UTC), "state": "done"} | row)
@@ -77,15 +88,27 @@ class Ledger:
         """Deleted points lose their provenance, so that their texts are embedded when they come back."""
         self.provenance_table.delete(ids.select(F.col("point_id").alias("embedding_id"), F.lit(model).alias("model"), F.lit(sink).alias("sink")))
 
-    def count_holders(self, changed: DataFrame, source_table: str, sink: str) -> None:
-        """Keep (part, source_hash, n) of a feed: a part that comes again takes its own place."""
-        self.holders.upsert(changed.select(F.lit(source_table).alias("source_table"), F.lit(sink).alias("sink"), "part", "source_hash", "n"))
-
-    def held_texts(self, hashes: DataFrame, source_table: str, sink: str) -> DataFrame:
-        """Those of ``hashes`` (source_hash) whose text some row of the table has."""
-        own = self.holders.read().where((F.col("source_table") == source_table) & (F.col("sink") == sink))
-        counted = own.join(hashes.select("source_hash").distinct(), "source_hash", "left_semi").groupBy("source_hash").agg(F.sum("n").alias("n"))
-        return counted.where("n > 0").select("source_hash")
+    def trace(self, made: DataFrame, gone: DataFrame, run_id: str, at: datetime, model: str, sink: str) -> None:
+        """Provenance of the points (point_id, source_hash) that a run has made, and none for those (point_id) that it deleted, in one commit."""
+        new = made.select("point_id", "source_hash", F.lit(False).alias("__gone"))
+        rows = new.unionByName(gone.select("point_id", F.lit(None).cast("string").alias("source_hash"), F.lit(True).alias("__gone")))
+        self.provenance_table.apply(rows.select(F.col("point_id").alias("embedding_id"), F.col("point_id").alias("source_pk"), "source_hash", F.lit(run_id).alias("run_id"), F.lit(model).alias("model"), F.lit(sink).alias("sink"), F.lit(at).cast("timestamp").alias("created_at"), "__gone"))
+
+    def counted(self, source_table: str, sink: str) -> Counted | None:
+        """How far ``count_holders`` has come for this table and sink; None if it has never begun."""
+        own = self.holders.read().where((F.col("source_table") == source_table) & (F.col("sink") == sink) & (F.col("source_hash") == ""))
+        row = own.select("counted_by", "n").first()
+        return Counted(row["counted_by"], row["n"]) if row else None
+
+    def held(self, source_table: str, sink: str) -> DataFrame:
+        """(source_hash, n): how many rows of the table have a text, as far as is counted; texts that none has aren't there."""
+        return self.holders.read().where((F.col("source_table") == source_table) & (F.col("sink") == sink) & (F.col("source_hash") != "")).select("source_hash", "n")
+
+    def count_holders(self, now: DataFrame, source_table: str, sink: str, counted: Counted) -> None:
+        """New counts (source_hash, n) of texts, and in the same commit how far the count has come: what is told is true or not there."""
+        rows = now.select("source_hash", "n", F.lit(None).cast("string").alias("counted_by"), (F.col("n") == 0).alias("__gone"))
+        mark = self.spark.range(0, 1, 1, 1).select(F.lit("").alias("source_hash"), F.lit(counted.to).cast("long").alias("n"), F.lit(counted.by).alias("counted_by"), F.lit(False).alias("__gone"))
+        self.holders.apply(rows.union(mark).select(F.lit(source_table).alias("source_table"), F.lit(sink).alias("sink"), "source_hash", "n", "counted_by", "__gone"))
 
     def known_hashes(self, model: str, sink: str) -> DataFrame:
         return known_hashes(self.provenance_table.read(), self.runs.read().where(F.col("state") == "done"), model, sink)

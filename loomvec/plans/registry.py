@@ -17,7 +17,8 @@ from loomvec.plans.embed import batch_metrics, embed
 from loomvec.plans.session import materialised, shared_folder
 from loomvec.plans.watch import watch
 from loomvec.sources import changefeed as cdf
-from loomvec.sources.keyed import KeyedTable, insert_ignore, merge_replace
+from loomvec.sources.keyed import KeyedTable
+from loomvec.sources.schemas import EMBED_RUNS, WATCH_RUNS, schema
 from loomvec.sources.sinks import open_sink
 from loomvec.streaming.watch_stream import stream_counts, stream_refresh
 
@@ -49,6 +50,12 @@ def _place(spark: SparkSession) -> str:
     return f"{folder if '://' in folder else 'file://' + folder.removeprefix('file:')}/{uuid.uuid4().hex}"
 
 
+def _filled(rows: DataFrame, like, *more: str) -> DataFrame:
+    """``rows`` with all columns of a schema, nulls where they have none, and some of their own."""
+    have = set(rows.columns)
+    return rows.select(*(F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in like), *more)
+
+
 # Scans, projections and content addresses
 
 
@@ -168,16 +175,20 @@ def ledger_recent_runs(spark, d):
 
 @query(f"WITH {fx.RUNS} SELECT run_id, CASE WHEN event_type = 'view' THEN n_rows + 1 ELSE n_rows END AS n_rows FROM runs")
 def ledger_run_replace(spark, d):
-    runs = fx.runs(spark, d)
-    again = runs.where("event_type = 'view'").withColumn("n_rows", F.col("n_rows") + 1)
-    return merge_replace(runs, again, ["run_id"]).select("run_id", "n_rows")
+    """The ledger's runs after some have been written again."""
+    book, runs = ledger.Ledger(spark, f"{_place(spark)}/ledger"), _filled(fx.runs(spark, d), EMBED_RUNS, "event_type")
+    book.runs.upsert(runs)
+    book.runs.upsert(runs.where("event_type = 'view'").withColumn("n_rows", F.col("n_rows") + 1))
+    return book.runs.read().select("run_id", "n_rows")
 
 
 @query(f"WITH {fx.KNOWN} SELECT h AS source_hash, CASE WHEN h IN (SELECT source_hash FROM known) THEN 'first' ELSE 'second' END AS run_id FROM (SELECT DISTINCT md5(text) AS h FROM documents)")
 def ledger_prov_ignore(spark, d):
-    old = fx.known_hashes(spark, d).withColumn("run_id", F.lit("first"))
-    new = dedup.one_per_text(dedup.addressed(fx.documents(spark, d), "text")).select("source_hash", F.lit("second").alias("run_id"))
-    return insert_ignore(old, new, ["source_hash"])
+    """A table whose first row of a key stays."""
+    t = KeyedTable(spark, f"{_place(spark)}/t", schema(source_hash="string", run_id="string"), ["source_hash"])
+    t.insert_if_absent(fx.known_hashes(spark, d).withColumn("run_id", F.lit("first")))
+    t.insert_if_absent(dedup.one_per_text(dedup.addressed(fx.documents(spark, d), "text")).select("source_hash", F.lit("second").alias("run_id")))
+    return t.read()
 
 
 @query(f"WITH {fx.RUNS} SELECT run_id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS at, model, n_rows, printf('%.4f', cost_usd) AS cost_usd FROM runs ORDER BY timestamp DESC, run_id LIMIT 5")
@@ -192,8 +203,11 @@ def watch_last_version(spark, d):
 
 @query(f"WITH {fx.RUNS}, {fx.WATCH_RUNS}, w AS (SELECT *, to_version + CASE WHEN to_version % 2 = 0 THEN 1000 ELSE 0 END AS v FROM watch_runs) SELECT source_table, sink, arg_max(v, timestamp) AS to_version FROM w GROUP BY 1, 2")
 def watch_checkpoint(spark, d):
-    old = fx.watch_runs(spark, d)
-    return ledger.last_versions(merge_replace(old, old.where("to_version % 2 = 0").withColumn("to_version", F.col("to_version") + 1000), ["run_id"]))
+    """The last versions by the ledger's own watch runs, of which half have been written again."""
+    book, old = ledger.Ledger(spark, f"{_place(spark)}/ledger"), _filled(fx.watch_runs(spark, d), WATCH_RUNS)
+    book.watch_runs.upsert(old)
+    book.watch_runs.upsert(old.where("to_version % 2 = 0").withColumn("to_version", F.col("to_version") + 1000))
+    return ledger.last_versions(book.watch_runs.read())
 
 
 # Change feed
@@ -262,6 +276,29 @@ def watch_apply(spark, d):
     return open_sink(f"{place}/points").table(spark).read().select("point_id", "source_hash")
 
 
+@query(f"WITH {fx.FEED}, {_NET} SELECT DISTINCT {fx.pid('md5(text)')} AS point_id, md5(text) AS source_hash FROM net WHERE live")
+def watch_mixed(spark, d):
+    """The same after a first window that had a live table, a second that had only the ledger, and a third that had neither but all changes."""
+    place, feed = _place(spark), fx.feed(spark, d)
+    book = ledger.Ledger(spark, f"{place}/ledger")
+    go = lambda rows, **more: watch("documents", "text", f"{place}/points", model=MODEL, shadow_mode=True, key_col="doc_id", feed=rows, provider_options={"dim": 4}, **more)
+    early = feed.where("_commit_version <= 1")
+    go(early, ledger=book, live_table=cdf.net_changes(early, "doc_id", "text").where("live"))
+    go(feed.where("_commit_version <= 2"), ledger=book)
+    go(feed, since_version=0)
+    return open_sink(f"{place}/points").table(spark).read().select("point_id", "source_hash")
+
+
+@query(f"WITH {fx.FEED}, {_NET} SELECT DISTINCT md5(text) AS source_hash, count(*) AS n FROM net WHERE live GROUP BY 1")
+def watch_holders(spark, d):
+    """How many rows have each text, as the ledger has counted over two windows."""
+    place, feed = _place(spark), fx.feed(spark, d)
+    book = ledger.Ledger(spark, f"{place}/ledger")
+    for rows in (feed.where("_commit_version <= 1"), feed):
+        watch("documents", "text", f"{place}/points", model=MODEL, shadow_mode=True, ledger=book, key_col="doc_id", feed=rows, provider_options={"dim": 4})
+    return book.held("documents", f"{place}/points")
+
+
 @query(f"WITH {fx.FEED}, {_NET} SELECT DISTINCT {fx.pid('md5(text)')} AS point_id FROM net WHERE live")
 def stream_apply(spark, d):
     """The same by the stream, which takes what there is in one batch."""
@@ -331,18 +368,29 @@ def migrate_rewrite(spark, d):
 # Keyed merges of collections
 
 
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    """A point for each document, by its id, without a vector."""
+    docs = fx.documents(spark, d)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return docs.select(F.col("doc_id").cast("string").alias("point_id"), none("array<float>", "vector"), F.col("text").alias("source_text"), none("string", "source_hash"), none("string", "embed_run_id"), none("timestamp", "created_at"), "doc_id")
+
+
 @query("SELECT doc_id, md5(CASE WHEN doc_id % 10 = 0 THEN text || ' [rev1]' ELSE text END) AS source_hash FROM documents")
 def sink_upsert_merge(spark, d):
-    docs = fx.documents(spark, d).select("doc_id", "text")
-    merged = merge_replace(docs, docs.where("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" [rev1]"))), ["doc_id"])
-    return merged.select("doc_id", names.text_hash("text").alias("source_hash"))
+    """A collection of a point for each document, some of which are written again."""
+    sink, points = open_sink(f"{_place(spark)}/points"), _points(spark, d)
+    sink.upsert(points)
+    sink.upsert(points.where("doc_id % 10 = 0").withColumn("source_text", F.concat("source_text", F.lit(" [rev1]"))))
+    return sink.texts(spark).select(F.col("point_id").cast("long").alias("doc_id"), names.text_hash("source_text").alias("source_hash"))
 
 
 @query("SELECT doc_id, md5(CASE WHEN doc_id % 10 < 8 THEN text ELSE text || ' [new]' END) AS source_hash FROM documents")
 def sink_insert_if_absent(spark, d):
-    docs = fx.documents(spark, d).select("doc_id", "text")
-    merged = insert_ignore(docs.where("doc_id % 10 < 8"), docs.withColumn("text", F.concat("text", F.lit(" [new]"))), ["doc_id"])
-    return merged.select("doc_id", names.text_hash("text").alias("source_hash"))
+    """The same, but the first point of an id stays."""
+    table, points = open_sink(f"{_place(spark)}/points").table(spark), _points(spark, d)
+    table.insert_if_absent(points.where("doc_id % 10 < 8"))
+    table.insert_if_absent(points.withColumn("source_text", F.concat("source_text", F.lit(" [new]"))))
+    return table.read().select(F.col("point_id").cast("long").alias("doc_id"), names.text_hash("source_text").alias("source_hash"))
 
 
 # Samples and folds

@@ -1,8 +1,9 @@
 """The session that commands use when there is none."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "loomvec") -> SparkSession:
@@ -20,7 +21,27 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
 
 
-def materialised(df):
+class Scratch:
+    """A folder in the shared one for what is computed once and needed only inside the ``with`` block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        at = f"{self.path}/{self.n}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def materialised(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that counting it can't run (and bill) it again."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomvec.functions.text import text_hash
 
 INSERT, PRE, POST, DELETE = "insert", "update_preimage", "update_postimage", "delete"
+WINDOW_COUNTS = {"n_inserted": INSERT, "n_updated": POST, "n_deleted": DELETE}
+
+
+def _change() -> Column:
+    """What a change adds to the number of rows that have its text."""
+    return F.when(F.col("_change_type").isin(INSERT, POST), 1).when(F.col("_change_type").isin(DELETE, PRE), -1).otherwise(0)
+
+
+def _tracked(spark: SparkSession, source: str) -> bool:
+    """Whether ``source`` is a table of a format that tracks changes, not a folder of changes."""
+    if "/" not in source:
+        return True
+    log = spark._jvm.org.apache.hadoop.fs.Path(source.rstrip("/"), "_delta_log")
+    return log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log)
+
+
+def read_live(spark: SparkSession, source: str, version: int) -> DataFrame | None:
+    """The table itself as it stood at ``version``; None if ``source`` is a folder of changes."""
+    if not _tracked(spark, source):
+        return None
+    at = spark.read.format("delta").option("versionAsOf", version)
+    return at.load(source) if "/" in source else at.table(source)
 
 
 def read_feed(spark: SparkSession, source: str, since_version: int = 0) -> DataFrame:
@@ -17,11 +39,8 @@ def read_feed(spark: SparkSession, source: str, since_version: int = 0) -> DataF
     with change data feeds, for which the session needs that format's connector (not in the test environment: unverified).
     """
     tracked = spark.read.format("delta").option("readChangeFeed", "true").option("startingVersion", since_version)
-    if "/" not in source:
-        return tracked.table(source)
-    log = spark._jvm.org.apache.hadoop.fs.Path(source.rstrip("/"), "_delta_log")
-    if log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
-        return tracked.load(source)
+    if _tracked(spark, source):
+        return tracked.load(source) if "/" in source else tracked.table(source)
     return spark.read.parquet(source).where(F.col("_commit_version") >= since_version)
 
 
@@ -44,10 +63,32 @@ def metrics(feed: DataFrame, since_version: int = 0) -> DataFrame:
     return feed.agg(n(INSERT).alias("n_inserted"), n(POST).alias("n_updated"), n(DELETE).alias("n_deleted"), F.coalesce(F.max("_commit_version"), F.lit(since_version)).cast("long").alias("to_version"))
 
 
-def holders(feed: DataFrame, text: str, part: Column) -> DataFrame:
-    """(part, source_hash, n): by how many rows more (or fewer) have a text after each part of the feed; summed over all parts, how many have it."""
-    change = F.when(F.col("_change_type").isin(INSERT, POST), 1).when(F.col("_change_type").isin(DELETE, PRE), -1).otherwise(0)
-    return feed.where(F.col(text).isNotNull()).groupBy(part.alias("part"), text_hash(text).alias("source_hash")).agg(F.sum(change).cast("long").alias("n"))
+def holders(feed: DataFrame, text: str) -> DataFrame:
+    """(source_hash, n): by how many rows more (or fewer) have a text after the feed; of a whole feed, how many have it."""
+    return feed.where(F.col(text).isNotNull()).groupBy(text_hash(text).alias("source_hash")).agg(F.sum(_change()).cast("long").alias("n"))
+
+
+def changes_by_text(feed: DataFrame, key: str | None, text: str, counts: Column) -> DataFrame:
+    """(source_hash, live, retired, change, and the window's counts by text) of each text of a window, in one pass over it.
+
+    ``live``: it is what some key has at last (without keys: its own last change leaves it); ``retired``: some row stopped having it; ``change``: by how many rows more
+    have it, of the changes for which ``counts`` holds. What is null is a row too: neither live nor retired, with counts.
+    """
+    rows = feed.withColumn("source_hash", text_hash(text))
+    stops, pre = F.col("_change_type").isin(DELETE, PRE), F.col("_change_type") == PRE
+    kinds = {name: F.count_if(F.col("_change_type") == kind).alias(name) for name, kind in WINDOW_COUNTS.items()}
+    sums = [F.max(stops).alias("retired"), F.sum(F.when(counts, _change()).otherwise(0)).cast("long").alias("change"), *kinds.values(), F.max("_commit_version").alias("version")]
+    some = F.col("source_hash").isNotNull()
+    if key is None:
+        last = F.max(F.struct("_commit_version", (~stops).alias("alive")))
+        out = rows.groupBy("source_hash").agg(last.alias("o"), *sums)
+        return out.select("source_hash", (some & F.col("o.alive")).alias("live"), (some & F.col("retired")).alias("retired"), "change", *kinds, "version")
+    last = F.max(F.when(~pre, F.struct("_commit_version", (F.col("_change_type") != DELETE).alias("alive"), "source_hash")))
+    of_key = rows.groupBy(F.col(key).alias("key"), "source_hash").agg(last.alias("o"), *sums)
+    of_key = of_key.withColumn("last", F.max("o").over(Window.partitionBy("key")))
+    ends = F.coalesce((F.col("o") == F.col("last")) & F.col("o.alive"), F.lit(False))
+    out = of_key.groupBy("source_hash").agg(F.max(ends).alias("live"), F.max("retired").alias("retired"), *(F.sum(c).alias(c) for c in ("change", *kinds)), F.max("version").alias("version"))
+    return out.withColumns({c: some & F.col(c) for c in ("live", "retired")})
 
 
 def net_changes(feed: DataFrame, key: str, text: str) -> DataFrame:

@@ -43,7 +43,13 @@ class FileSink:
         return KeyedTable(spark, self.path, POINTS, ["point_id"])
 
     def upsert(self, points: DataFrame) -> None:
-        self.table(points.sparkSession).upsert(points)
+        """Of several points with one id the one made last stays."""
+        self.table(points.sparkSession).upsert(points, last_by="created_at")
+
+    def refresh(self, points: DataFrame, gone: DataFrame) -> None:
+        """Both at once: a reader sees all of it or nothing."""
+        gone = gone.select("point_id", *(F.lit(None).cast(f.dataType).alias(f.name) for f in POINTS if f.name != "point_id"), F.lit(True).alias("__gone"))
+        self.table(points.sparkSession).apply(points.select(*POINTS.names, F.lit(False).alias("__gone")).unionByName(gone))
 
     def delete(self, ids: DataFrame) -> None:
         self.table(ids.sparkSession).delete(ids)
@@ -172,6 +178,15 @@ class PostgresSink:
 SINKS: dict[str, Callable[[str], Sink]] = {"file": FileSink, "qdrant": QdrantSink, "pg": PostgresSink, "postgresql": PostgresSink}
 
 
+def refresh(sink: Sink, points: DataFrame, gone: DataFrame) -> None:
+    """New points, one for each id, and the ids of others that go."""
+    if hasattr(sink, "refresh"):
+        sink.refresh(points, gone)
+    else:
+        sink.upsert(points)
+        sink.delete(gone)
+
+
 def open_sink(uri: str) -> Sink:
     scheme = parse_sink(uri).scheme
     if scheme not in SINKS:

@@ -15,15 +15,17 @@ from loomvec.plans.watch import DEFAULT_MODEL, watch
 def stream_refresh(changes: DataFrame, text_col: str, sink: str, checkpoint: str, *, model: str = DEFAULT_MODEL, source_table: str = "stream", key_col: str | None = None, shadow_mode: bool = False, ledger: Ledger | None = None, live_table: Callable[[], DataFrame] | None = None, provider_options: dict | None = None) -> StreamingQuery:
     """Apply a streaming feed, from its first version on, batch by batch until what is there has been read; a repeated batch changes nothing twice.
 
-    A batch doesn't tell which texts untouched rows have: the ledger counts them, or ``live_table()`` reads the source as it stands.
+    A batch doesn't tell which texts untouched rows have: the ledger counts them, or ``live_table()`` reads the source as it stands. The ledger counts by batches of this
+    stream, which its checkpoint identifies: on another checkpoint it would count what is counted already, and so raises an error unless there is a live table.
     """
     if ledger is None and live_table is None:
         raise ValueError("a stream needs a ledger or a live table to know which texts are still in use")
 
     def apply(batch: DataFrame, number: int) -> None:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         kept = batch.persist()
         try:
-            watch(source_table, text_col, sink, model=model, since_version=0, shadow_mode=shadow_mode, ledger=ledger, key_col=key_col, feed=kept, live_table=live_table() if live_table else None, provider_options=provider_options, part=F.lit(f"b{number}"))
+            watch(source_table, text_col, sink, model=model, since_version=0, shadow_mode=shadow_mode, ledger=ledger, key_col=key_col, feed=kept, live_table=live_table() if live_table else None, provider_options=provider_options, batch=(f"stream {stream}", number))
         finally:
             kept.unpersist()
 

@@ -158,6 +158,134 @@ def test_a_folder_of_changes_tells_who_holds_a_text(spark, place, tmp_path):
     assert texts_in(spark, sink) == ["x"]
 
 
+V0 = [(1, "shared", "insert", 0), (2, "shared", "insert", 0), (3, "own", "insert", 0)]
+V1 = [(1, "shared", "delete", 1), (3, "own", "delete", 1)]
+V2 = [(2, "shared", "delete", 2), (4, "own", "insert", 2)]
+
+
+def live_after(*versions):
+    """Texts that rows have after some versions, a row for each."""
+    held = {}
+    for k, text, kind, _ in (row for v in versions for row in v):
+        held[k] = text if kind == "insert" else None
+    return [(t,) for t in held.values() if t]
+
+
+@pytest.mark.parametrize("modes", ["LLL", "LCC", "CLC", "CCL", "LLC", "CLL", "CCC", "WCC", "LWC", "CWC"])
+def test_any_order_of_modes_keeps_what_rows_have(spark, place, modes):
+    """Windows that know what rows have by a live table (L), the ledger's counts (C) or all changes (W)."""
+    sink, path = place
+    ledger = loomvec.Ledger(spark, path)
+    for k, mode in enumerate(modes):
+        versions = [V0, V1, V2][: k + 1]
+        rows = spark.createDataFrame(sum(versions, []) if mode == "W" else versions[k], FEED)
+        more = {"live_table": spark.createDataFrame(live_after(*versions), "body string")} if mode == "L" else {"since_version": 0} if mode == "W" else {}
+        loomvec.watch("t", "body", sink, model=MODEL, shadow_mode=True, ledger=ledger, feed=rows, key_col="id", provider_options=OPTIONS, **more)
+        assert texts_in(spark, sink) == sorted({t for (t,) in live_after(*versions)})
+
+
+def test_a_ledger_with_a_gap_is_not_believed(spark, place, tmp_path):
+    """Counting that began late, by someone else's batches, or not at all: an error, and nothing is deleted."""
+    sink, path = place
+    ledger = loomvec.Ledger(spark, path)
+    go = lambda rows, **more: loomvec.watch("t", "body", sink, model=MODEL, shadow_mode=True, ledger=ledger, feed=spark.createDataFrame(rows, FEED), provider_options=OPTIONS, **more)
+    loomvec.embed(spark.createDataFrame([("shared",), ("own",)], "body string"), "body", MODEL, sink, shadow_mode=True, ledger=ledger, provider_options=OPTIONS)
+    go(V1, since_version=1, live_table=spark.createDataFrame([("shared",)], "body string"))  # version 0 was never counted
+    assert texts_in(spark, sink) == ["shared"] and ledger.counted("t", sink) is None
+    with pytest.raises(ValueError, match="without a gap"):
+        go([(5, "shared", "delete", 2)])
+    with pytest.raises(ValueError, match="without a gap"):
+        go([(5, "shared", "delete", 9)], batch=("stream a", 3))
+    assert texts_in(spark, sink) == ["shared"]
+    go(V0 + V1, since_version=0)
+    assert ledger.counted("t", sink) == ("versions", 1)
+    go([(2, "shared", "insert", 2)], batch=("stream a", 0), live_table=spark.createDataFrame([("shared",)], "body string"))
+    with pytest.raises(ValueError, match="without a gap"):
+        go([(2, "shared", "delete", 3)], batch=("stream a", 1))
+    with pytest.raises(ValueError, match="without a gap"):
+        go([(2, "shared", "delete", 5)], since_version=5)
+    assert texts_in(spark, sink) == ["shared"]
+
+
+def test_a_stream_on_another_checkpoint_deletes_nothing(spark, place, tmp_path):
+    sink, path = place
+    ledger, at = loomvec.Ledger(spark, path), str(tmp_path / "feed")
+    spark.createDataFrame(V0 + [(1, "shared", "delete", 1)], FEED).coalesce(1).write.parquet(at)
+    go = lambda offsets: stream_refresh(spark.readStream.schema(FEED).parquet(at), "body", sink, str(tmp_path / offsets), model=MODEL, key_col="id", shadow_mode=True, ledger=ledger, provider_options=OPTIONS).awaitTermination()
+    go("one")
+    assert ledger.held("t", sink).count() == 0 and {r["n"] for r in ledger.held("stream", sink).collect()} == {1}
+    with pytest.raises(Exception, match="without a gap"):
+        go("two")
+    go("one")
+    assert texts_in(spark, sink) == ["own", "shared"] and {r["n"] for r in ledger.held("stream", sink).collect()} == {1}
+
+
+@pytest.mark.parametrize("seed, cut", [(0, 1), (1, 4), (2, 8)])
+def test_counts_follow_the_table(spark, tmp_path_factory, seed, cut):
+    """Rows inserted, updated and deleted, in two windows: counts and points are those of the table, and a window that comes again changes nothing."""
+    import random
+
+    rng = random.Random(seed)
+    steps = [(9, "late", False)] * (seed == 0) + [(rng.randrange(4), rng.choice(["x", "y", None]), rng.random() < 0.7) for _ in range(12)]
+    sink = f"file://{tmp_path_factory.mktemp('c')}/docs"
+    ledger = loomvec.Ledger(spark, str(tmp_path_factory.mktemp("l")))
+    table, rows = {}, []
+    for v, (k, text, up) in enumerate(steps):
+        if up:
+            rows += [(k, table[k], "update_preimage", v), (k, text, "update_postimage", v)] if k in table else [(k, text, "insert", v)]
+            table[k] = text
+        elif k in table:
+            rows.append((k, table.pop(k), "delete", v))
+    go = lambda some, **more: loomvec.watch("t", "body", sink, model=MODEL, shadow_mode=True, ledger=ledger, feed=spark.createDataFrame(some, FEED), key_col="id", provider_options=OPTIONS, **more)
+    go([r for r in rows if r[3] < cut])
+    go([r for r in rows if r[3] >= cut])
+    go(rows, since_version=0)
+    from collections import Counter
+
+    want = Counter(t for t in table.values() if t is not None)
+    assert {r["source_hash"]: r["n"] for r in ledger.held("t", sink).collect()} == {hashlib.md5(t.encode()).hexdigest(): n for t, n in want.items()}
+    assert texts_in(spark, sink) == sorted(want)
+
+
+def test_the_catalog_tells_the_source(spark, place):
+    spark.createDataFrame([("from the catalog",), ("from the catalog",), (None,)], "body string").createOrReplaceTempView("posts")
+    run = loomvec.embed(None, "body", MODEL, place[0], source_table="posts", shadow_mode=True, provider_options=OPTIONS)
+    assert (run.n_rows_processed, run.n_in_batch_dupes, run.n_null) == (2, 1, 1) and texts_in(spark, place[0]) == ["from the catalog"]
+
+
+def test_of_points_with_one_id_the_last_stays(spark, place):
+    from datetime import datetime
+
+    sink = open_sink(place[0])
+    rows = [("a", [1.0], f"text {k}", "h", "r", datetime(2024, 1, 1 + k)) for k in (1, 3, 2)]
+    sink.upsert(spark.createDataFrame(rows, "point_id string, vector array<float>, source_text string, source_hash string, embed_run_id string, created_at timestamp"))
+    assert texts_in(spark, place[0]) == ["text 3"]
+
+
+def test_two_writers_of_one_commit(spark, tmp_path, monkeypatch):
+    """The second is refused, and what it wrote is gone."""
+    t, late = (KeyedTable(spark, str(tmp_path / "t"), WATCH_RUNS, ["run_id"]) for _ in range(2))
+    row = lambda k: spark.range(1).select(*(F.lit(k).alias("run_id") if f.name == "run_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in WATCH_RUNS))
+    t.upsert(row("a"))
+    numbers = late._numbers()
+    monkeypatch.setattr(late, "_numbers", lambda: numbers)
+    t.upsert(row("b"))
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.upsert(row("c"))
+    assert sorted(r["run_id"] for r in t.read().collect()) == ["a", "b"] and len(list((tmp_path / "t").glob("d-*"))) == 2
+
+
+def test_a_large_table_is_not_rewritten_for_few_changes(spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "t"), WATCH_RUNS, ["run_id"])
+    rows = lambda lo, hi, v: spark.range(lo, hi, 1, 1).select(*({"run_id": F.sha2(F.col("id").cast("string"), 256), "to_version": F.lit(v)}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in WATCH_RUNS))
+    t.upsert(rows(0, 20_000, 0))
+    whole = t.folders()[0]
+    for n in range(18):
+        t.upsert(rows(n, n + 2, n + 1))
+    assert t.folders()[0] == whole and len(t.folders()) < 5
+    assert t.read().count() == 20_000 and t.read().agg(F.sum("to_version")).first()[0] == sum(range(1, 18)) + 18 * 2
+
+
 def test_stream_of_two_batches(spark, place, tmp_path):
     sink, path = place
     at = str(tmp_path / "feed")
@@ -236,7 +364,7 @@ def test_keyed_table_laws(spark, tmp_path):
     assert seen() == [("a", 2), ("c", 3)]
     for n in range(18):
         t.upsert(put(("a", n)))
-    assert seen() == [("a", 17), ("c", 3)] and len(t._commits()) < 17
+    assert seen() == [("a", 17), ("c", 3)] and len(t.folders()) < 17
 
 
 def test_latest_checkpoint_is_by_time_not_by_version(spark, place):
