@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomvec.functions import text as names
 from loomvec.functions import vectors as v
-from loomvec.operators import adapter, dedup, evaluate
+from loomvec.operators import adapter, chain, dedup, evaluate
 from loomvec.plans import fixtures as fx
 from loomvec.plans import ledger, migrate, providers
 from loomvec.plans.embed import batch_metrics, embed
@@ -459,6 +459,55 @@ def adapter_fit(spark, d):
     return spark.createDataFrame([(i, j, round(float(r[i, j]), 4) + 0.0) for i in range(len(r)) for j in range(len(r))], "i long, j long, r double")
 
 
+def _cells(spark, found: adapter.Affine) -> DataFrame:
+    """A map's cells, its offset as the last column."""
+    whole = [[*row, b] for row, b in zip(found.a.tolist(), found.b.tolist())]
+    return spark.createDataFrame([(i, j, round(x, 4) + 0.0) for i, row in enumerate(whole) for j, x in enumerate(row)], "i long, j long, r double")
+
+
+@query("SELECT i, j, CASE WHEN j = 64 THEN round(0.02 * i - 0.3, 4) WHEN j = (i + 1) % 64 THEN 1.5 WHEN j = (5 * i + 2) % 64 THEN -0.5 ELSE 0 END::DOUBLE + 0.0 AS r FROM (SELECT unnest(range(40)) AS i), (SELECT unnest(range(65)) AS j)")
+def adapter_affine(spark, d):
+    """A planted map from 64 to 40 dimensions, with an offset, as least squares find it."""
+    e = fx.vectors(spark, d)
+    x = lambda k: F.element_at("vector", k % 64 + 1)
+    old = F.array(*(1.5 * x(i + 1) - 0.5 * x(5 * i + 2) + (0.02 * i - 0.3) for i in range(40)))
+    return _cells(spark, adapter.fit_affine(adapter.paired(e.withColumn("vector", old), e, "id")))
+
+
+def _low_rank(i: int) -> tuple[float, float]:
+    return (i % 5 - 2) / 2, (i % 3 - 1) / 4
+
+
+_LOW = "SELECT i, (i % 5 - 2) / 2.0 AS p, (i % 3 - 1) / 4.0 AS q FROM (SELECT unnest(range(64)) AS i)"
+
+
+@query(f"WITH l AS ({_LOW}) SELECT a.i AS i, b.j AS j, round(CASE WHEN b.j = 64 THEN 0.25 ELSE a.p * b.q + a.q * b.p END, 4)::DOUBLE + 0.0 AS r FROM l a, (SELECT i AS j, p, q FROM l UNION ALL SELECT 64, 0, 0) b")
+def adapter_low_rank(spark, d):
+    """A planted map of rank 2, found as the best of rank 2 under a disturbance that the vectors themselves don't explain."""
+    e, w = fx.vectors(spark, d), [_low_rank(i) for i in range(64)]
+    along = [v.dot("vector", F.array(*(F.lit(p[k]) for p in w))) for k in (0, 1)]
+    e = e.withColumn("s", along[0]).withColumn("t", along[1])
+    old = e.withColumn("vector", F.array(*(p * F.col("t") + q * F.col("s") + 0.25 for p, q in w))).select("id", "vector")
+    found = adapter.fit_affine(adapter.paired(old, e.select("id", "vector"), "id"), rank=2)
+    assert found.rank == 2
+    return _cells(spark, found)
+
+
+@query(f"WITH {fx.BACK}, b AS (SELECT i, j, r FROM back) SELECT i, (j + 3) % 64 AS j, round(2 * r, 4) + 0.0 AS r FROM b UNION ALL SELECT i, 64, round(-0.2 * sum(r), 4) + 0.0 FROM b GROUP BY i")
+def adapter_chain(spark, d):
+    """The map from a third model over the second to the first, which the book finds cheaper than a poor direct one, as one product."""
+    first, second = fx.vectors(spark, d), fx.turned(fx.vectors(spark, d))
+    half = F.transform("vector", lambda x: x / 2 + 0.1)
+    third = second.withColumn("vector", F.concat(F.slice(half, 62, 3), F.slice(half, 1, 61)))
+    book = chain.AdapterBook(spark, f"{_place(spark)}/adapters")
+    book.put("second", "first", adapter.fit_affine(adapter.paired(first, second, "id")))
+    book.put("third", "second", adapter.fit_affine(adapter.paired(second, third, "id")))
+    book.put("third", "first", adapter.fit_affine(adapter.paired(first, third, "id"), rank=8))
+    route, whole = book.chained("third", "first")
+    assert route == ["third", "second", "first"]
+    return _cells(spark, whole)
+
+
 @query(f"WITH {fx.VECTORS} SELECT id, 0.0::DOUBLE AS distance FROM e")
 def adapter_predict(spark, d):
     e, new, fitted = _fitted(spark, d)
