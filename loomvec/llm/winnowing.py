@@ -12,15 +12,19 @@ long, so that one minimum does both the choice and the tie; what is chosen is ha
 
 Defined results: null texts count as empty, and an empty text selects nothing; a text of fewer than K tokens is one gram;
 two texts that select nothing have likeness 1. Order ties between equal ids go by a hash of the text; rows with
-a null id come last in descending order. Very long texts are fingerprinted whole. An id, or null, that many rows have is divided by
-that hash; only rows equal in id and text stay in one bucket, whatever their number. An empty table gives no rows; extra columns are ignored.
+a null id come last in descending order. Very long texts are fingerprinted whole. Buckets are cut by rank, so neither clustered ids nor one that many rows
+have make a large one; rows equal in id and text that would fill a bucket are computed once. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomvec.llm._common import checkpointed
+
 #: Tokens of a gram and grams of a window (powers of two).
 K = W = 4
 #: Bits that hold an inverted position while grams are chosen; the upper bits of the hash have the rest.
@@ -73,72 +77,69 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     return select(df, text, out).withColumn(out, F.arrays_zip(F.col(out)["position"].alias("position"), F.col(out)["hash"].alias("hash")))
 
 
-def _search(column: str, splits: list[int], base: int = 0) -> str:
-    """SQL for the number of splits that are at most the column: a binary search."""
-    if not splits:
-        return str(base)
-    mid = len(splits) // 2
-    return f"IF({column} < {splits[mid]}, {_search(column, splits[:mid], base)}, {_search(column, splits[mid + 1:], base + mid + 1)})"
-
-
-def _longs(values: list[int | None]) -> Column:
-    return F.expr("array(" + ",".join("null" if x is None else f"{x}L" if x > -(1 << 63) else "-9223372036854775807L - 1L" for x in values) + ")").cast("array<bigint>")
+def _place(text_key: str = "text_key") -> Column:
+    """Where a row stands in descending order of doc_id, nulls last, ties by ``text_key``: structs that compare so."""
+    return F.struct(F.col("doc_id").isNull().cast("int").alias("nil"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long").alias("low"), F.col(text_key).alias("key"))
 
 
-def _buckets(rows: DataFrame, rows_per_bucket: int, most_ranges: int) -> tuple[DataFrame, int]:
-    """``rows`` with ``range`` and ``bucket``, numbered in descending order of doc_id (nulls last, ties by text_key), and how many buckets there are.
+def _heads(places: DataFrame, rows_per_bucket: int, most_buckets: int) -> tuple[list[dict], DataFrame | None]:
+    """The first place of every bucket, in order, from (doc_id, text_key, n) of all different rows, and those that more rows have than a bucket should hold.
 
-    The driver sees only ranges of doc_id, at most twice ``most_ranges`` of them; a range with more rows than a bucket should have is
-    divided evenly between its ends, by doc_id or, where it is a single id or the null ids, by text_key. So buckets follow the rows.
+    Places are sorted by range and numbered by running counts, so every bucket has its share of rows by rank, whatever their ids. The driver sees counts of
+    ranges and the heads, at most ``most_buckets`` of them.
     """
-    n = rows.count()
-    wanted = min(most_ranges, -(-n // rows_per_bucket)) or 1
-    marks = rows.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], max(10_000, 20 * wanted)).alias("s")).first()["s"] if wanted > 1 else []
-    marks = marks or []
-    often = {a for a, b in zip(marks, marks[1:]) if a == b and a < (1 << 63) - 1}
-    splits = sorted({*marks, *(a + 1 for a in often)})  # an id that holds several marks is a range of its own
-    place = F.expr(_search("doc_id", splits, 1)) if splits else F.lit(1)
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(place).cast("int"))
-    ends = {r["range"]: (r["n"], r["lo"], r["hi"]) for r in rows.groupBy("range").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()}  # one row for each range
-    single = [r for r, (held, lo, hi) in ends.items() if lo == hi and held >= 2 * rows_per_bucket]
-    if single:
-        keys = rows.where(F.col("range").isin(single)).groupBy("range").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"))
-        ends |= {r["range"]: (ends[r["range"]][0], r["lo"], r["hi"]) for r in keys.collect()}
-    base, parts, low, span, at = ([0] * (len(splits) + 2) for _ in range(5))
-    total = 0
-    for r in sorted(ends, reverse=True):
-        held, lo, hi = ends[r]
-        wide = float(hi) - float(lo) if lo is not None else 0.0
-        base[r], parts[r], low[r], span[r] = total, max(1, held // rows_per_bucket) if wide else 1, (lo if r in single else hi) or 0, wide or 1.0
-        at[r] = int(r in single)
-        total += parts[r]
-    of = lambda values: F.get(_longs(values), F.col("range"))
-    bucket = of(base)
-    if total > len(ends):
-        gone = F.when(of(at) == 1, F.col("text_key").cast("double") - of(low).cast("double")).otherwise(of(low).cast("double") - F.col("doc_id").cast("double"))
-        share = gone / F.get(F.array(*map(F.lit, span)), F.col("range"))
-        bucket = bucket + F.when(of(parts) > 1, F.least(F.floor(share * of(parts)), of(parts) - 1)).otherwise(0)
-    return rows.withColumn("bucket", bucket.cast("long")), total
-
-
-def in_order(docs: DataFrame, rows_per_bucket: int = 1500, most_ranges: int = 4096) -> DataFrame:
-    """(doc_id, text, text_key, bucket, guest): documents dealt into buckets of neighbours by doc_id, one shuffle, no global sort.
-
-    Each bucket also gets, as ``guest``, the row that follows its last one in descending order (the first of all
-    after the last of all), so that a window over the bucket sees every row's successor.
+    places = places.withColumn("at", _place()).withColumn("weight", F.when(F.col("n") <= rows_per_bucket, F.col("n")).otherwise(2))
+    ranged = checkpointed(places.repartitionByRange("at").withColumn("range", F.spark_partition_id()))
+    sizes = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.sum("weight").alias("n")).collect()}
+    rows = sum(sizes.values())
+    size = max(rows_per_bucket, -(-rows // most_buckets))
+    before, start = 0, {}
+    for k in sorted(sizes):
+        start[k] = before
+        before += sizes[k]
+    base = F.get(F.from_json(F.lit(json.dumps([start.get(k, 0) for k in range(max(start, default=0) + 1)])), "array<long>"), F.col("range"))
+    end = base + F.sum("weight").over(Window.partitionBy("range").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.floor((F.col("end") - 1) / size) > F.floor((F.col("end") - F.col("weight") - 1) / size)
+    heads = ranged.withColumn("end", end).where(first | (F.col("end") == F.col("weight"))).select("at.*").collect()
+    heavy = ranged.where(F.col("n") > rows_per_bucket).select("doc_id", "text_key", "n")
+    return sorted((h.asDict() for h in heads), key=lambda h: tuple(h.values())), heavy if heavy.limit(1).count() else None
+
+
+def _bucket(heads: list[dict]) -> Column:
+    """The bucket of ``at``: the last one whose head isn't behind it, by binary search in a constant array."""
+    array = F.from_json(F.lit(json.dumps(heads)), "array<struct<nil:int,low:long,key:long>>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, (len(heads) - 1).bit_length())))))
+    fits = lambda at: (at < len(heads)) & (F.get(array, at) <= F.col("at"))
+    return F.aggregate(steps, F.lit(0), lambda found, step: F.when(fits(found + step), found + step).otherwise(found))
+
+
+def in_order(docs: DataFrame, rows_per_bucket: int = 400, most_buckets: int = 65_536) -> DataFrame:
+    """(doc_id, text, text_key, copies, bucket, guest): documents dealt into buckets of neighbours by doc_id, one shuffle, no global sort.
+
+    A bucket also gets, as ``guest``, the head of the next (after the last, of the first) in descending order, so that a window over the bucket sees every
+    row's successor. Rows equal in id and text that would fill a bucket are two rows: all but one of them, whose successor is the like, and the last.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows, total = _buckets(rows.withColumn("text_key", F.xxhash64("text")), rows_per_bucket, most_ranges)
-    first = rows.groupBy("range", "bucket").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("order"), "text_key", "doc_id", "text")).alias("row"))
-    # both ends of a range have rows, so only within one may the bucket before be further off
-    before = F.coalesce(F.lag("bucket").over(Window.partitionBy("range").orderBy("bucket")), F.pmod(F.col("bucket") - 1, F.lit(max(total, 1))))
-    guests = first.select("row.doc_id", "row.text", "row.text_key", before.cast("long").alias("bucket"), F.lit(True).alias("guest"))
-    return rows.select("doc_id", "text", "text_key", "bucket", F.lit(False).alias("guest")).union(guests)
+    rows = rows.withColumn("text_key", F.xxhash64("text")).withColumn("copies", F.lit(1).cast("long"))
+    heads, heavy = _heads(rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")), rows_per_bucket, most_buckets)
+    if heavy is not None:
+        same = rows.doc_id.eqNullSafe(heavy.doc_id) & (rows.text_key == heavy.text_key)
+        many = rows.join(heavy, same, "left_semi").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+        many = many.withColumn("copies", F.explode(F.array(F.col("n") - 1, F.lit(1).cast("long"))))
+        rows = rows.join(heavy, same, "left_anti").unionByName(many.select("doc_id", "text", "text_key", "copies"))
+    if not heads:
+        return rows.withColumn("bucket", F.lit(0)).withColumn("guest", F.lit(False))
+    rows = rows.withColumn("at", _place()).withColumn("own", _bucket(heads))
+    array = F.from_json(F.lit(json.dumps(heads)), "array<struct<nil:int,low:long,key:long>>")
+    to = lambda bucket, guest: F.struct(bucket.cast("int").alias("bucket"), F.lit(guest).alias("guest"))
+    own, before = to(F.col("own"), False), to(F.pmod(F.col("own") - 1, F.lit(len(heads))), True)
+    sent = F.when(F.get(array, F.col("own")) == F.col("at"), F.array(own, before)).otherwise(F.array(own))
+    return rows.withColumn("to", F.explode(sent)).select("doc_id", "text", "text_key", "copies", "to.bucket", "to.guest")
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and how alike they are; see ``query``."""
-    w = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text_key")
+    w = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text_key", F.col("copies").desc())
     rows = in_order(docs).withColumn("next_text", F.lead("text").over(w))
     n = F.length("text")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("__half", F.floor(n / 2).cast("int"))
@@ -146,7 +147,9 @@ def compare(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__next_set", F.lead("__set").over(w)).where(~F.col("guest"))
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - F.col("__half")).cast("int")), F.substr(F.coalesce("next_text", F.lit("")), F.lit(1), F.col("__half"))))
     rows = select(rows, "edited", "__esel").withColumn("__eset", hashes("__esel"))
-    return rows.select("doc_id", "n_chars", "text", "edited", F.col("__sel").alias("selected"), F.col("__esel").alias("edited_selected"), likeness("__set", "__eset").alias("near_edited"), likeness("__set", "__next_set").alias("near_next"))
+    rows = rows.withColumn("__near_edited", likeness("__set", "__eset")).withColumn("__near_next", likeness("__set", "__next_set"))
+    rows = rows.withColumn("__copy", F.explode(F.when(F.col("copies") == 1, F.array(F.lit(1).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), "copies"))))
+    return rows.select("doc_id", "n_chars", "text", "edited", F.col("__sel").alias("selected"), F.col("__esel").alias("edited_selected"), F.col("__near_edited").alias("near_edited"), F.col("__near_next").alias("near_next"))
 
 
 def digest(selected: str) -> Column:

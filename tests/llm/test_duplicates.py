@@ -249,7 +249,7 @@ def test_edited_texts_and_successors(spark, sf_dir, docs):
 
 
 def successors(df, **how):
-    w = winnowing.Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text_key")
+    w = winnowing.Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text_key", F.col("copies").desc())
     rows = winnowing.in_order(df, **how).withColumn("n", F.lead(F.struct("doc_id", "text")).over(w)).where("not guest").collect()
     return sorted((str(r["doc_id"]), r["text"], str(r["n"]["doc_id"]), r["n"]["text"]) for r in rows)
 
@@ -258,7 +258,7 @@ def test_buckets_do_not_change_successors(spark, docs):
     df = spark.createDataFrame(docs[["doc_id", "text"]])
     a, b = (winnowing.in_order(df, rows_per_bucket=n) for n in (7, 10_000))
     assert a.where("guest").count() > 20 and b.where("guest").count() == 1
-    assert successors(df, rows_per_bucket=7) == successors(df, rows_per_bucket=10_000) == successors(df, rows_per_bucket=7, most_ranges=3)
+    assert successors(df, rows_per_bucket=7) == successors(df, rows_per_bucket=10_000) == successors(df, rows_per_bucket=7, most_buckets=3)
 
 
 def test_hot_and_null_ids_are_divided(spark):
@@ -269,11 +269,28 @@ def test_hot_and_null_ids_are_divided(spark):
     x = sorted(((d, f"text {k}") for k, d in enumerate(ids)), key=lambda r: (r[0] is None, -(r[0] or 0), key[r[1]]))
     want = sorted((str(d), t, str(e), u) for (d, t), (e, u) in zip(x, [*x[1:], x[0]]))
     for ranges in (1, 2, 5, 40, 4096):
-        assert successors(df, rows_per_bucket=20, most_ranges=ranges) == want
-    sizes = winnowing.in_order(df, rows_per_bucket=20, most_ranges=40).where("not guest").groupBy("bucket").count()
+        assert successors(df, rows_per_bucket=20, most_buckets=ranges) == want
+    sizes = winnowing.in_order(df, rows_per_bucket=20, most_buckets=40).where("not guest").groupBy("bucket").count()
     assert sizes.agg(F.max("count")).first()[0] < 60
 
 
+def test_buckets_follow_ranks(spark):
+    """Clustered ids and one far off, and a third of all rows equal: no bucket holds twice its share, and every row has its successor."""
+    rows = [(d, f"text {d}") for d in range(1000)] + [(10**15, "far off")] + [(500, "the same row")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = [r["count"] for r in winnowing.in_order(df, rows_per_bucket=10).where("not guest").groupBy("bucket").count().collect()]
+    assert sum(sizes) == 1001 + 2 and len(sizes) == 101 and max(sizes) <= 20
+    got = winnowing.compare(df).select("doc_id", "text", "edited", "near_next").toPandas()
+    few = winnowing.compare(df.repartition(2)).count()
+    same = got[got.text == "the same row"]
+    assert len(got) == few == 1501 and (same.near_next == 1.0).sum() == 499 and (same.edited == "the same row").sum() <= 499
+    from unittest import mock
+
+    want = sorted(map(tuple, got.values))
+    with mock.patch.object(winnowing, "in_order", lambda docs, f=winnowing.in_order: f(docs, rows_per_bucket=10)):
+        assert sorted(map(tuple, winnowing.compare(df).select("doc_id", "text", "edited", "near_next").toPandas().values)) == want
+
+
 def alike_groups(sets):
     """Each set's group, named by its smallest index: of a plain comparison of all pairs at a similarity of 0.8."""
     holders, label = {}, list(range(len(sets)))
