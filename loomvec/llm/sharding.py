@@ -1,17 +1,18 @@
 """Uniform shuffle into shards of exact size, by a hypergeometric communication matrix.
 
-Rows are dealt to source parts by a hash of the row. The part sizes and the wanted shard sizes
+Rows are dealt to source parts by a hash of the row and of its number among equal rows. The part sizes and the wanted shard sizes
 fix the margins of a matrix of how many rows go from each part to each shard; under a uniform shuffle
 that matrix is multivariate hypergeometric, and it is drawn so, on the driver, from counts alone. Each part is
 permuted locally and cut by its row of the matrix, rows are exchanged, and each shard is permuted again. The law
 is ``rows``: shard sizes differ by at most one, and where a row goes depends on nothing in it.
 
 Everything on the executors is DataFrame operations. Permutations are orders by seeded hashes, so a lost
-task is redone identically. Neither ranking puts a shard into one task: there is a part for every ``part_rows`` rows, up to ``most_parts``, and the final
+task is redone identically. There are at least as many parts as shards on any table, and one for every ``part_rows`` rows, up to ``most_parts``, beyond which parts grow and are sorted on disk. Equal
+rows are counted before they are dealt and numbered, so they go to all parts alike, however many there are. The final
 order of a shard is counted within slices of its hash range, as many as the rows ask for.
 
 Defined results: null texts count as empty; repeated rows are separate rows (hash ties are only between
-equal rows, which are interchangeable); an empty table gives no rows; a text's length plays no part but in ``size``. Extra columns are kept by ``shard``.
+equal rows, which are interchangeable); rows with columns of types that can't be grouped by aren't numbered, so equal ones share a part; an empty table gives no rows; a text's length plays no part but in ``size``. Extra columns are kept by ``shard``.
 """
 
 from __future__ import annotations
@@ -80,12 +81,24 @@ def literal_table(df: DataFrame, rows: list, schema: str) -> DataFrame:
     return one.select("r.*")
 
 
+def numbered(df: DataFrame, together: int = 1000) -> DataFrame:
+    """``df`` with ``__number``: equal rows are counted, on the map side first, and made again with numbers from 1, many of them by several tasks."""
+    if any(kind.startswith(("map", "variant")) or "map<" in kind for _, kind in df.dtypes):
+        return df.withColumn("__number", F.lit(1).cast("long"))
+    counted = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count("*").alias("__n"))
+    one = F.lit(1).cast("long")
+    few = counted.where(F.col("__n") <= together).withColumn("__number", F.explode(F.sequence(one, F.col("__n"))))
+    many = counted.where(F.col("__n") > together).withColumn("__from", F.explode(F.sequence(one, F.col("__n"), F.lit(together).cast("long"))))
+    many = many.repartition("__from").withColumn("__number", F.explode(F.sequence(F.col("__from"), F.least(F.col("__n"), F.col("__from") + together - 1)))).drop("__from")
+    return few.unionByName(many).drop("__n")
+
+
 def shard(df: DataFrame, identity: list[Column], shards: int = 24, seed: int = 17, part_rows: int = 20_000, most_parts: int = 16_384, slice_rows: int = 200_000) -> DataFrame:
     """``df`` with ``shard`` and ``slot`` (gapless from 0 in each shard); ``identity`` tells rows apart as far as they differ."""
-    key = df.withColumn("__h", F.xxhash64(F.lit(seed), *identity))
-    n = key.count()
+    n = df.count()
     slices = 16 + n // (shards * slice_rows)
-    n_parts = max(1, min(most_parts, -(-n // part_rows)))  # so the matrix is bounded; larger parts are sorted on disk
+    n_parts = max(shards, min(most_parts, -(-n // part_rows)))
+    key = numbered(df).withColumn("__h", F.xxhash64(F.lit(seed), *identity, "__number"))
     part = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__h")), F.lit(n_parts)).cast("int")
     key = key.withColumn("__part", part)
     sizes = {r["__part"]: r["n"] for r in key.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # at most most_parts rows

@@ -23,6 +23,60 @@ def test_shards_are_exact_and_slots_gapless(spark, sf_dir, docs):
     assert all(zlib.crc32(texts[d].encode()) == c and len(texts[d].encode()) + 8 == s for d, c, s in zip(got.doc_id, got.text_crc32, got["size"]))
 
 
+def plain_shards(rows, n_parts, shards=24, seed=17):
+    """(shard, slot) of rows (doc_id, text_crc32, size), in one process: the same draws, done plainly."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def h(*values):
+        out = 42
+        for v in values:
+            out = xxhash.xxh64_intdigest(int(v[0]).to_bytes(4, "little", signed=True) if isinstance(v, tuple) else int(v).to_bytes(8, "little", signed=True), out)
+        return signed(out)
+
+    number, keyed = Counter(), []
+    for row in sorted(rows):
+        number[row] += 1
+        own = h((seed,), *row, number[row])
+        keyed.append((h((seed + 1,), own) % n_parts, h((seed + 2,), own), own, row))
+    sizes = Counter(k[0] for k in keyed)
+    matrix = dict(zip(sorted(sizes), sharding.communication_matrix([sizes[p] for p in sorted(sizes)], sharding.even_sizes(len(rows), shards), seed), strict=True))
+    sent = []
+    for p in matrix:
+        queue = [k for k, n in enumerate(matrix[p]) for _ in range(n)]
+        for rank, (_, _, own, row) in enumerate(sorted(k for k in keyed if k[0] == p), 1):
+            sent.append((queue[rank - 1], h((seed + 3,), own, (p,), (rank,)), row))
+    out, slots = [], Counter()
+    for s, _, row in sorted(sent):
+        out.append((*row, s, slots[s]))
+        slots[s] += 1
+    return sorted(out), matrix
+
+
+@pytest.mark.parametrize("part_rows", [20_000, 5])
+def test_shards_equal_a_plain_shuffle(spark, sf_dir, docs, part_rows):
+    rows = [(d, zlib.crc32(t.encode()), len(t.encode()) + 8) for d, t in zip(docs.doc_id.tolist(), docs.text)]
+    rows += [rows[0]] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text_crc32 long, size long").repartition(3)
+    got = sharding.shard(df, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], part_rows=part_rows).select("doc_id", "text_crc32", "size", "shard", "slot").collect()
+    want, matrix = plain_shards(rows, max(24, -(-len(rows) // part_rows)))
+    assert sorted(map(tuple, got)) == want and len(matrix) > 20
+    assert sum(0 < k < sum(row) for row in matrix.values() for k in row) > 50  # cells that were drawn
+
+
+def test_equal_rows_go_to_all_parts(spark):
+    """Half of all rows are equal: parts are even all the same, and the equal rows' shards too."""
+    df = spark.range(5000).selectExpr("CASE WHEN id < 2500 THEN -1 ELSE id END AS doc_id")
+    key = sharding.numbered(df, together=300)
+    assert key.where("doc_id = -1").select("__number").distinct().count() == 2500 and key.count() == 5000
+    parts = [r["count"] for r in key.groupBy(F.pmod(F.xxhash64("doc_id", "__number"), F.lit(24))).count().collect()]
+    assert len(parts) == 24 and max(parts) < 1.4 * np.median(parts)
+    got = sharding.shard(df, [F.col("doc_id")])
+    held = [r["count"] for r in got.where("doc_id = -1").groupBy("shard").count().collect()]
+    assert len(held) == 24 and sum(held) == 2500 and max(held) < 2 * min(held)
+
+
 def test_shuffle_is_uniform(spark):
     """Over seeds, every row visits every shard equally often, and so do pairs of rows of one part."""
     df = spark.range(12)
@@ -132,6 +186,7 @@ def test_token_counts_equal_brute_force(spark, sf_dir, docs):
     for limit, r in got.iterrows():
         assert (r.n_docs, r.docs_over, r.tokens_over, r.truncated_total, r.total_tokens) == ((n == limit).sum(), (n > limit).sum(), n[n > limit].sum(), np.minimum(n, limit).sum(), n.sum())
         assert abs(r.share_within - (n <= limit).mean()) < 1e-12
+    assert set(token_counts.ASKED) <= set(got.index) and got.n_docs.sum() == len(n)
     hist = token_counts.histogram(token_counts.lengths(spark.createDataFrame(docs[["doc_id", "text"]])))
     for r in token_counts.answers(hist, [0, 1, 77, 500, 10**6]).collect():
         k = r["context_limit"]
