@@ -34,8 +34,10 @@ WINDOW, WIDEST = 256, 4
 STARTS = WINDOW - WIDEST + 1
 #: Training steps at least, and windows of a step.
 STEPS, BATCH = 800, 64
-#: Languages that are learned at most: the most frequent ones.
-LANGUAGES = 4096
+#: Characters of a text that is learned from: of a longer one, as many in pieces of a window's length spread evenly over it.
+LEARNED_CHARS = 16_384
+#: Texts that each language has to learn from at least, on average, if it has them.
+LEAST_TEXTS = 8
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -155,16 +157,19 @@ def predict(model: ByteConvNet | None, tables: dict, texts: list[str | None]) ->
 def fit(docs: DataFrame, sample: int = 4000) -> ByteConvNet | None:
     """Learn from about ``sample`` labelled texts outside the held-out fold (crc32 of the id modulo 4 is 2), as even between languages as there are texts.
 
-    Each language's share is drawn by a hash of the text, so copies of one text are one example. Of more than LANGUAGES
-    languages the most frequent ones are learned.
+    Each language's share is drawn by a hash of the text, so copies of one text are one example. Every language is learned: the rows are bounded by
+    ``sample`` or LEAST_TEXTS for each language, whichever is more, and each text by LEARNED_CHARS.
     """
     usable = docs.where((crc_remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    found = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
-    if not found:
+    found = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    n = found.count()
+    if not n:
         return None
-    each = sample / len(found)
-    threshold = F.element_at(F.map_from_arrays(F.array(*[F.lit(r["lang"]) for r in found]), F.array(*[F.lit(int(min(1.0, each / max(r["n"], 1)) * (1 << 30))) for r in found])), F.col("lang"))
-    rows = usable.where(F.pmod(F.xxhash64(F.lit("language"), "text"), F.lit(1 << 30)) < threshold).distinct()
+    each = F.least(F.lit(1.0), F.lit(max(sample / n, LEAST_TEXTS)) / F.greatest("n", F.lit(1)))
+    drawn = usable.join(found.select("lang", (each * (1 << 30)).cast("long").alias("share")), "lang").where(F.pmod(F.xxhash64(F.lit("language"), "text"), F.lit(1 << 30)) < F.col("share"))
+    pieces = LEARNED_CHARS // WINDOW
+    spread_out = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring("text", (i * (F.length("text") - WINDOW) / (pieces - 1)).cast("int") + 1, F.lit(WINDOW))))
+    rows = drawn.select(F.when(F.length("text") <= LEARNED_CHARS, F.col("text")).otherwise(spread_out).alias("text"), "lang").distinct()
 
     def learn(table: pa.Table) -> bytes:
         return pickle.dumps(vars(train(table.column("text").to_pylist(), table.column("lang").to_pylist())))
