@@ -56,15 +56,19 @@ def limits_table(hist: DataFrame) -> DataFrame:
         F.coalesce(F.sum(tokens).over(down), F.lit(0)).alias("tokens_over"),
         (F.sum(tokens).over(up) + F.col("n_tokens") * F.coalesce(F.sum("n_docs").over(down), F.lit(0))).alias("truncated_total"),
         F.sum(tokens).over(whole).alias("total_tokens"),
-        (F.sum("n_docs").over(up) / F.sum("n_docs").over(whole)).alias("share_within"),
+        F.try_divide(F.sum("n_docs").over(up), F.sum("n_docs").over(whole)).alias("share_within"),
     )
 
 
+def with_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
+    """``hist`` with a row for each of ``limits``, of no documents where none has that length."""
+    asked = hist.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*(F.lit(n).cast("long") for n in sorted(set(limits))))).alias("n_tokens"), F.lit(0).cast("long").alias("n_docs"))
+    return hist.unionByName(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+
+
 def answers(hist: DataFrame, limits: list[int]) -> DataFrame:
     """``limits_table`` for any limits, whether a document has that length or not."""
-    asked = hist.sparkSession.createDataFrame([(n,) for n in sorted(set(limits))], "n_tokens long").withColumn("n_docs", F.lit(0).cast("long"))
-    both = hist.unionByName(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
-    return limits_table(both).where(F.col("context_limit").isin(sorted(set(limits))))
+    return limits_table(with_limits(hist, limits)).where(F.col("context_limit").isin(sorted(set(limits))))
 
 
 def quantile(hist: DataFrame, q: float) -> int | None:
@@ -73,7 +77,11 @@ def quantile(hist: DataFrame, q: float) -> int | None:
     return row[0]
 
 
+#: Context limits that the query answers besides all lengths that occur: the powers of two up to 2^20.
+ASKED = [1 << k for k in range(21)]
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    """Every document's encoded length with what the histogram answers for a context limit of that length."""
-    counted = lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return limits_table(histogram(counted))
+    """What the histogram answers for a context limit of every length that occurs, and for those ASKED whether they occur or not; no documents, no rows."""
+    hist = histogram(lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return limits_table(with_limits(hist, ASKED)).where("share_within is not null")
