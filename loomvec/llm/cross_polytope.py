@@ -129,9 +129,13 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, d)
 
 
+#: Stands for a null id inside: after all others. A row that has it as its id is taken for one without.
+NO_ID = (1 << 63) - 1
+
+
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
     """(uid, id, vec as bytes of doubles, norm) of the rows that take part, and the dimension."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null and size(v) > 0")
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
     common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -345,7 +349,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 8, recall: f
 
     others = F.slice(F.filter("best", lambda b: b["uid"] != F.col("uid")), 1, k)
     lists = asking.select("uid", "id", "vec").join(found.select("vec", "best"), "vec").select("id", others.alias("best"))
-    return lists.select(F.col("id").alias("query_id"), F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    return lists.select(F.col("id").alias("query_id"), F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), F.when(F.col("b.id") != NO_ID, F.col("b.id")).alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
