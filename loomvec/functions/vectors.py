@@ -98,7 +98,15 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, exclude_same_id: bool =
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     b = base.withColumn("probe", F.lit(0)).withColumn("block", of(blocks)).withColumn("chunk", every(chunks))
     q = queries.withColumn("probe", F.lit(1)).withColumn("block", every(blocks)).withColumn("chunk", of(chunks))
-    rows = b.unionByName(q).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "probe")
+    return meet(b, q, k, exclude_same_id)
+
+
+def meet(base: DataFrame, queries: DataFrame, k: int, exclude_same_id: bool) -> DataFrame:
+    """The best ``k`` over all meetings of base vectors and queries (both: probe, 0 or 1, block, chunk, id, vector) of one block and chunk.
+
+    A task holds the base vectors of one block at a time, and any number of queries pass by.
+    """
+    rows = base.unionByName(queries).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "probe")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vecs = None, np.zeros(0, np.int64), None

@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--to", dest="to_model", required=True)
     m.add_argument("--sink", required=True)
     m.add_argument("--strategy", default="dual-write", choices=STRATEGIES)
+    m.add_argument("--adapter-dir", help="folder to keep an adapter in")
     m.add_argument("--shadow-mode", action="store_true")
     return top
 
@@ -65,7 +66,7 @@ def main(args: list[str] | None = None) -> int:
             rows = status(recent_runs(runs, a.sink, a.limit) if a.sink else runs, a.limit).withColumn("line", F.concat_ws("  ", "run_id", "at", "model", "n_rows", "cost_usd")).collect()
             print("\n".join(r["line"] for r in rows) or "No runs found")
         else:
-            run = migrate(a.from_model, a.to_model, a.sink, strategy=a.strategy, shadow_mode=a.shadow_mode, ledger=ledger)
+            run = migrate(a.from_model, a.to_model, a.sink, strategy=a.strategy, shadow_mode=a.shadow_mode, ledger=ledger, adapter_dir=a.adapter_dir)
             print(f"run {run.run_id}\n{run.n_source} points, {run.n_migrated} migrated, {run.n_skipped} without text" + (f", recall {run.arr:.4f}" if run.arr is not None else ""))
             print(f"next: read from {run.sink_v2}, then retire {run.sink}" if run.sink_v2 else f"next: apply {run.adapter_path} to new queries" if run.adapter_path else "next: choose a strategy")
     except (ValueError, RuntimeError, NotImplementedError) as e:

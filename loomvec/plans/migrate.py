@@ -16,7 +16,7 @@ from loomvec.functions.text import parse_model, parse_sink, v2_uri
 from loomvec.functions.vectors import nearest
 from loomvec.operators.adapter import fit, predict, sample_pairs
 from loomvec.operators.dedup import addressed, one_per_text
-from loomvec.operators.evaluate import check, overlap
+from loomvec.operators.evaluate import check, overlap, split_traffic
 from loomvec.plans.embed import embed
 from loomvec.plans.ledger import Ledger
 from loomvec.plans.providers import provider
@@ -40,6 +40,9 @@ class MigrateRun:
     n_migrated: int = 0
     n_skipped: int = 0
     arr: float | None = None
+    delta: float | None = None
+    delta_low: float | None = None
+    delta_high: float | None = None
     gate_informative: bool = True
     adapter_path: str = ""
     duration_s: float = 0.0
@@ -57,14 +60,18 @@ def split(rows: DataFrame, key: str, share: float = 0.9) -> DataFrame:
     return rows.withColumn("fold", F.when(at <= F.floor(n * share), "fit").otherwise("validate"))
 
 
-def migrate(from_model: str, to_model: str, sink: str, *, strategy: str = "dual-write", shadow_mode: bool = False, ledger: Ledger | None = None, sample: int = 5000, k: int = 10, threshold: float | None = 0.97, adapter_dir: str | Path = ".", vectors: Callable[[DataFrame, str], DataFrame] | None = None, options: dict[str, dict] | None = None) -> MigrateRun:
+def migrate(from_model: str, to_model: str, sink: str, *, strategy: str = "dual-write", shadow_mode: bool = False, ledger: Ledger | None = None, sample: int = 5000, k: int = 10, threshold: float | None = 0.97, adapter_dir: str | Path | None = None, share: float = 0.5, vectors: Callable[[DataFrame, str], DataFrame] | None = None, options: dict[str, dict] | None = None) -> MigrateRun:
     """Migrate ``sink`` from one model to another; nothing is switched over.
 
+    ``shadow-eval`` measures how many of the old model's neighbours the new one finds (``arr``), and, with each query sent to one of the two as its hash says (a
+    ``share`` of them to the new one), by how much their recall differs, with an interval for that.
     ``vectors`` (rows, model name) replaces the providers when fitting or measuring; ``options`` has provider options by model.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
     parse_model(from_model), parse_model(to_model), parse_sink(sink)
+    if strategy == "adapter" and adapter_dir is None:
+        raise ValueError("the adapter strategy needs adapter_dir, a folder to keep the adapter in")
     target, spark = open_sink(sink), get_spark()
     run, began, options = MigrateRun(from_model, to_model, sink, strategy), time.monotonic(), options or {}
 
@@ -100,7 +107,11 @@ def migrate(from_model: str, to_model: str, sink: str, *, strategy: str = "dual-
             run.adapter_path = str(Path(adapter_dir) / f"adapter_{run.run_id[:8]}.npy")
             adapter.save(run.adapter_path)
         else:
-            run.arr = float(overlap(nearest(old, old, k), nearest(new, new, k), k).agg(F.avg("recall").alias("r")).first()["r"])
+            truth = materialised(nearest(old, old, k))
+            run.arr = float(overlap(truth, nearest(new, new, k), k).agg(F.avg("recall").alias("r")).first()["r"])
+            asked = held.select("id", F.col("old").alias("vector_old"), F.col("new").alias("vector_new"))
+            found = split_traffic(asked, truth, old, new, k, share=share).first()
+            run.delta, run.delta_low, run.delta_high = found["delta"], found["delta_low"], found["delta_high"]
     run.duration_s = time.monotonic() - began
     if ledger:
         ledger.write_migrate_run(**{c: getattr(run, c) for c in ("run_id", "timestamp", "from_model", "to_model", "sink", "sink_v2", "strategy", "n_source", "n_migrated", "n_skipped", "arr", "duration_s")})

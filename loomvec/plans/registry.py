@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 
 from loomvec.functions import text as names
 from loomvec.functions import vectors as v
-from loomvec.operators import adapter, chain, dedup, evaluate
+from loomvec.operators import adapter, chain, dedup, evaluate, residual
+from loomvec.operators.index import VectorIndex
 from loomvec.plans import fixtures as fx
 from loomvec.plans import ledger, migrate, providers
 from loomvec.plans.embed import batch_metrics, embed
@@ -547,6 +550,48 @@ def migrate_dual_write(spark, d):
     return made.where(F.size("vector") == 64).select("point_id", "source_hash")
 
 
+_MIGRATED = "(SELECT count(DISTINCT text) FROM documents WHERE text <> '')"
+
+
+def _second_model(rows: DataFrame, model: str) -> DataFrame:
+    """Vectors of 16 by text; the second model's are the first's, turned by one position."""
+    made = providers.shadow(rows, names.parse_model(model), 128, dim=16)
+    return made if model == MODEL else made.withColumn("vector", F.concat(F.slice("vector", 2, 15), F.slice("vector", 1, 1)))
+
+
+def _migrated(spark, d, strategy: str, **more) -> tuple[migrate.MigrateRun, str]:
+    place = _place(spark)
+    embed(fx.documents(spark, d), "text", MODEL, f"{place}/points", shadow_mode=True, provider_options={"dim": 4})
+    return migrate.migrate(MODEL, fx.OTHER_MODEL, f"{place}/points", strategy=strategy, vectors=_second_model, **more), place
+
+
+@query(f"SELECT {_MIGRATED} AS n_source, i, j, CASE WHEN i = (j + 1) % 16 THEN 1.0 ELSE 0.0 END::DOUBLE AS r FROM (SELECT unnest(range(16)) AS i), (SELECT unnest(range(16)) AS j)")
+def migrate_by_adapter(spark, d):
+    """The matrix that ``migrate`` has kept after its gate."""
+    folder = tempfile.mkdtemp(prefix="loomvec-adapter-")  # the driver's own: ``migrate`` saves a file
+    run, _ = _migrated(spark, d, "adapter", adapter_dir=folder)
+    assert run.arr is not None and run.arr >= 0.97 and run.gate_informative
+    r = adapter.Adapter.load(run.adapter_path).r
+    return spark.createDataFrame([(run.n_source, i, j, round(float(r[i, j]), 3) + 0.0) for i in range(16) for j in range(16)], "n_source long, i long, j long, r double")
+
+
+@query(f"SELECT {_MIGRATED} AS n_source, 1.0::DOUBLE AS arr, 0.0::DOUBLE AS delta, 0.0::DOUBLE AS delta_low, 0.0::DOUBLE AS delta_high")
+def migrate_shadow_eval(spark, d):
+    """What ``migrate`` measures of two models with the same inner products: the same neighbours, and no difference in either arm."""
+    run, _ = _migrated(spark, d, "shadow-eval")
+    return spark.createDataFrame([(run.n_source, *(round(x, 6) + 0.0 for x in (run.arr, run.delta, run.delta_low, run.delta_high)))], "n_source long, arr double, delta double, delta_low double, delta_high double")
+
+
+@query(f"WITH {fx.VECTORS} SELECT count(*) AS n_pairs, 1 AS better FROM e")
+def adapter_residual(spark, d):
+    """Whether a network learns what bends a planted map, by the distance to the old vectors that it leaves beside an affine map."""
+    e = fx.vectors(spark, d)
+    x = lambda k: F.element_at("vector", k % 64 + 1)
+    pairs = e.select("id", F.array(*(x(k) + 0.5 * F.tanh(8 * x(k + 1)) * F.tanh(8 * x(k)) for k in range(8))).alias("old"), F.slice("vector", 1, 9).alias("new"))
+    net = residual.fit_residual(pairs, rounds=5, steps=40)
+    return e.agg(F.count("*").alias("n_pairs")).select("n_pairs", F.lit(int(net.losses[-1] < 0.8 * net.affine.error**2)).alias("better"))
+
+
 @query(f"WITH {fx.VECTORS} SELECT count(*) AS n_pairs, 64 AS rank, 1.0::DOUBLE AS arr FROM e")
 def migrate_adapter(spark, d):
     e, new, fitted = _fitted(spark, d)
@@ -570,6 +615,43 @@ def search_v2(spark, d):
     return v.nearest(new.where("id % 100 = 0"), new, 3, exclude_same_id=False).select("query_id", "rank", "id")
 
 
+def _share(key: str, salt: str) -> str:
+    return f"(CAST('0x' || substr(md5({salt} || ':' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+_POISSON = " + ".join(f"(u >= {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r})::INT" for k in range(12))
+
+
+@query(f"""WITH {_ARR},
+hits AS (SELECT o.query_id, count(n.id) / 10.0 AS r FROM o LEFT JOIN n ON n.query_id = o.query_id AND n.id = o.id GROUP BY 1),
+scores AS (SELECT query_id, CASE WHEN {_share('query_id', "'arm'")} < 0.3 THEN 'new' ELSE 'old' END AS arm, r FROM hits),
+drawn AS (SELECT query_id, arm, CASE WHEN arm = 'new' THEN r ELSE 1.0 END AS r, round, {_share('query_id', 'CAST(round AS VARCHAR)')} AS u FROM scores, (SELECT unnest(range(101)) AS round)),
+weighed AS (SELECT *, CASE WHEN round = 0 THEN 1 ELSE {_POISSON} END AS w FROM drawn),
+rounds AS (SELECT round, sum(r * w) FILTER (WHERE arm = 'new') / sum(w) FILTER (WHERE arm = 'new') AS x, sum(r * w) FILTER (WHERE arm = 'old') / sum(w) FILTER (WHERE arm = 'old') AS y, count(*) FILTER (WHERE arm = 'old') AS n_old, count(*) FILTER (WHERE arm = 'new') AS n_new FROM weighed GROUP BY 1)
+SELECT max(n_old) AS n_old, max(n_new) AS n_new, round(max(y) FILTER (WHERE round = 0), 6) AS recall_old, round(max(x) FILTER (WHERE round = 0), 6) AS recall_new, round(max(x - y) FILTER (WHERE round = 0), 6) AS delta,
+  round(quantile_cont(x - y, 0.025) FILTER (WHERE round > 0), 6) AS delta_low, round(quantile_cont(x - y, 0.975) FILTER (WHERE round > 0), 6) AS delta_high FROM rounds""")
+def shadow_eval_split(spark, d):
+    """Three in ten queries go to the second collection, which is searched without an adapter, the rest to the first: the difference of recall with its interval."""
+    e = fx.vectors(spark, d)
+    asked = e.select("id", F.col("vector").alias("vector_old")).join(fx.turned(e).select("id", F.col("vector").alias("vector_new")), "id")
+    out = evaluate.split_traffic(asked, materialised(v.nearest(e, e, 10)), e, e, share=0.3, rounds=100)
+    return out.select("n_old", "n_new", *(F.round(c, 6).alias(c) for c in ("recall_old", "recall_new", "delta", "delta_low", "delta_high")))
+
+
+@query(f"WITH {fx.VECTORS}, left_ AS (SELECT * FROM e WHERE id % 7 <> 3), q AS (SELECT * FROM e WHERE id % 10 = 0) SELECT query_id, CAST(rank AS INTEGER) AS rank, id FROM (SELECT q.id AS query_id, l.id, row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.v, l.v) DESC, l.id) AS rank FROM q, left_ l) WHERE rank <= 3")
+def index_exact(spark, d):
+    """A standing index in its exact mode, after points were added and deleted since it was built."""
+    place, e = _place(spark), fx.vectors(spark, d).select("id", F.col("vector").cast("array<float>").alias("vector"))
+    t = KeyedTable(spark, f"{place}/points", e.schema, ["id"])
+    index = VectorIndex(spark, t, f"{place}/index", cells=16)
+    t.upsert(e.where("id % 5 <> 4"))
+    index.refresh()
+    t.upsert(e.where("id % 5 = 4"))
+    t.delete(e.where("id % 7 = 3").select("id"))
+    index.refresh()
+    return index.search(e.where("id % 10 = 0"), 3, probes=None).select("query_id", "rank", "id")
+
+
 @query(f"WITH {_ARR}, r AS (SELECT round(count(n.id) / (10.0 * (SELECT count(*) FROM e)), 6) AS x FROM o LEFT JOIN n ON n.query_id = o.query_id AND n.id = o.id) SELECT 1.0::DOUBLE AS recall_old, x AS recall_new, round(x - 1.0, 6) AS delta FROM r")
 def shadow_eval_delta(spark, d):
     """Recall of two collections for the same queries against the old model's truth; the second is searched without an adapter."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomvec.operators import adapter
+from loomvec.operators import adapter, evaluate, residual
 from loomvec.operators.chain import AdapterBook
 
 
@@ -87,3 +87,80 @@ def test_chains_take_the_cheapest_path_and_bound_its_error(spark, tmp_path):
         book.chained("a", "nowhere")
     with pytest.raises(ValueError, match="can't be followed"):
         steps[0].after(adapter.Affine(np.eye(3), np.zeros(3), 3, 0.0))
+
+
+@pytest.fixture(scope="module")
+def bent(spark):
+    """Old vectors that bend with the new ones: unit vectors on both sides."""
+    rng = np.random.default_rng(9)
+    new = rng.normal(size=(400, 6))
+    old = np.c_[new, np.abs(new[:, :3]) * 2]
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    return unit(old), unit(new)
+
+
+def test_a_network_finds_neighbours_that_no_linear_map_does(spark, bent):
+    old, new = bent
+    rows = pairs(spark, old, new)
+    net = residual.fit_residual(rows, rounds=6, steps=60, tasks=3)
+    again = residual.fit_residual(rows.repartition(5), rounds=6, steps=60, tasks=3, affine=net.affine)
+    assert all((a == b).all() for a, b in zip(net.weights, again.weights)) and net.losses == again.losses  # to the last bit
+    assert np.isclose(net.losses[0], net.affine.error**2) and net.losses[-1] < 0.5 * net.losses[0]
+    from loomvec.operators.evaluate import adapted_recall
+
+    recall = lambda df: adapted_recall(vectors(spark, old), df.select("id", F.col("adapted").alias("vector")), 5).first()["arr"]
+    bare = recall(adapter.predict(vectors(spark, new), net.affine.a, offset=net.affine.b))
+    assert recall(residual.predict_residual(vectors(spark, new), net)) > bare + 0.1
+
+
+def test_a_lost_task_begins_the_stage_again(spark, bent, tmp_path, monkeypatch):
+    old, new = bent
+    mark, step = str(tmp_path / "failed"), residual._gradient
+
+    def once(*of):
+        import os
+
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise OSError("a task is lost")
+        return step(*of)
+
+    affine = adapter.fit_affine(pairs(spark, old, new))
+    want = residual.fit_residual(pairs(spark, old, new), rounds=1, steps=3, tasks=2, affine=affine)
+    monkeypatch.setattr(residual, "_gradient", once)
+    import pyspark.cloudpickle as inner
+
+    inner.register_pickle_by_value(residual)
+    try:
+        got = residual.fit_residual(pairs(spark, old, new), rounds=1, steps=3, tasks=2, affine=affine)
+    finally:
+        inner.unregister_pickle_by_value(residual)
+    assert (tmp_path / "failed").exists() and all((a == b).all() for a, b in zip(got.weights, want.weights))
+
+
+# Split traffic
+
+
+def test_arms_are_sticky_and_grow(spark):
+    ids = spark.range(5000)
+    arms = {share: {r["id"] for r in evaluate.assigned(ids, share).where("arm = 'new'").collect()} for share in (0.0, 0.2, 0.5, 1.0)}
+    assert arms[0.0] == set() and arms[0.2] < arms[0.5] < arms[1.0] == set(range(5000)) and abs(len(arms[0.2]) - 1000) < 120
+
+
+def test_the_interval_holds_the_difference(spark):
+    """Bernoulli hits of 0.8 and 0.6: the interval is about as wide as theory says, and its middle is the sample's difference."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "old" if i % 3 else "new", float(rng.random() < (0.8 if i % 3 else 0.6))) for i in range(900)]
+    got = evaluate.split_delta(spark.createDataFrame(rows, "query_id long, arm string, recall double")).first()
+    old, new = ([r for _, a, r in rows if a == arm] for arm in ("old", "new"))
+    assert (got["n_old"], got["n_new"]) == (600, 300) and np.isclose(got["delta"], np.mean(new) - np.mean(old))
+    width = 2 * 1.96 * np.sqrt(np.var(old) / 600 + np.var(new) / 300)
+    assert got["delta_low"] < got["delta"] < got["delta_high"] and 0.75 * width < got["delta_high"] - got["delta_low"] < 1.25 * width
+    alone = evaluate.split_delta(spark.createDataFrame(rows[1:3], "query_id long, arm string, recall double")).first()
+    assert (alone["n_old"], alone["n_new"], alone["delta"]) == (2, 0, None)
+
+
+def test_poisson_counts(spark):
+    u = [0.0, 0.36, 0.37, 0.7357, 0.736, 0.9196, 0.9197, 0.99999, 1 - 1e-12]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in u], "u double").select(evaluate.poisson(F.col("u"))).collect()]
+    assert got[:7] == [0, 0, 1, 1, 2, 2, 3] and got[7] >= 6 and got[8] >= 12
