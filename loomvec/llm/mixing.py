@@ -1,8 +1,9 @@
 """Mixing sources to target weights with soft domain membership.
 
 A classifier fitted on the labelled table predicts for every document the probabilities of its domains; document rates
-(expected copies, at least zero) are then fitted by projected-gradient least squares so that the expected tokens of
-each domain, the sum of rate x tokens x probability, match the targets.
+(expected copies, at least zero) are then fitted by projected least squares so that the expected tokens of
+each domain, the sum of rate x tokens x probability, match the targets. A gradient step for each document would need its rate to be kept; the steps here
+are taken on one multiplier for each domain, and scaled by second moments, which makes them Newton's.
 
 A document's rate is one copy, moved against the sum of all gradient steps so far and projected to at least zero:
 max(0, 1 - p . move). So all that a step needs is one aggregate over documents, the domains' expected tokens and
@@ -16,7 +17,7 @@ DataFrame functions, and nothing that grows with the documents is shuffled: weig
 Defined results: null and empty texts have no tokens, the domains' prior probabilities and a rate like any other; with no
 labelled documents the probabilities are equal; an empty table gives no rows. A domain with a target but no probability
 anywhere stays unmatched; ``residual`` has the distance left between wanted and expected shares. Very long texts count with all
-their words. Repeated rows count once each, and equal rows get equal copies; of labelled rows that share an id the
+their words. Ties can't matter: nothing is chosen by order but the text of a repeated labelled id. Repeated rows count once each, and equal rows get equal copies; of labelled rows that share an id the
 largest labels hold, and of documents that share one the first text in order is learned from. Extra columns are kept by ``mix``.
 """
 

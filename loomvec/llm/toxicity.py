@@ -13,7 +13,7 @@ Scoring runs on the executors over whole texts. Labels, language, source and id
 
 Defined results: null and empty texts get the score of the bias alone; with no labelled text, or only one
 class, every score is 0; an empty table gives no rows. Very long texts count with all their words. Repeated rows, null ids and extra
-columns pass through untouched, and equal texts get equal scores. A label that
+columns pass through untouched, and equal texts get equal scores; a score of exactly 0.5 is predicted 1. A label that
 occurs more than once for a document counts as its largest value, and of documents that share an id the first text in order is learned.
 """
 
