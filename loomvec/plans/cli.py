@@ -63,7 +63,7 @@ def main(args: list[str] | None = None) -> int:
             print(f"run {run.run_id}\nversions {run.since_version} to {run.to_version}: {run.n_inserted} inserted, {run.n_updated} updated, {run.n_deleted} deleted, {run.duration_s:.1f} s")
         elif a.command == "status":
             runs = ledger.runs.read()
-            rows = status(recent_runs(runs, a.sink, a.limit) if a.sink else runs, a.limit).withColumn("line", F.concat_ws("  ", "run_id", "at", "model", "n_rows", "cost_usd")).collect()
+            rows = status(recent_runs(runs, a.sink, a.limit) if a.sink else runs, a.limit).withColumn("line", F.concat_ws("  ", "run_id", "at", "model", "n_rows", "n_deduped", "cost_usd", "duration_s")).collect()
             print("\n".join(r["line"] for r in rows) or "No runs found")
         else:
             run = migrate(a.from_model, a.to_model, a.sink, strategy=a.strategy, shadow_mode=a.shadow_mode, ledger=ledger, adapter_dir=a.adapter_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+import warnings
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -61,7 +62,7 @@ def renew(new: DataFrame, gone: DataFrame | None, run: EmbedRun, target: Sink, s
     """
     parsed = parse_model(run.model)
     made = scratch.keep(provider(parsed, shadow_mode)(new, parsed, batch_size, **(provider_options or {})))
-    run.cost_usd = int(made.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0) * prices.get(parsed.name, DEFAULT_PRICE)
+    run.cost_usd += int(made.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0) * prices.get(parsed.name, DEFAULT_PRICE)
     if gone is None:
         target.upsert(points(made, run.run_id, run.timestamp))
     else:
@@ -70,10 +71,12 @@ def renew(new: DataFrame, gone: DataFrame | None, run: EmbedRun, target: Sink, s
         ledger.trace(made, made.select("point_id").limit(0) if gone is None else gone, run.run_id, run.timestamp, run.model, run.sink)
 
 
-def embed(df: DataFrame | None, text_col: str, model: str, sink: str, *, source_table: str | None = None, dedup: bool = True, batch_size: int = 128, shadow_mode: bool = False, ledger: Ledger | None = None, prices: dict[str, float] = PRICES, provider_options: dict | None = None) -> EmbedRun:
+def embed(df: DataFrame | None, text_col: str, model: str, sink: str, *, source_table: str | None = None, dedup: bool = True, batch_size: int = 128, shadow_mode: bool = False, ledger: Ledger | None = None, prices: dict[str, float] = PRICES, provider_options: dict | None = None, slice_rows: int = 100_000) -> EmbedRun:
     """Embed ``text_col`` of ``df`` (or of ``source_table``) into ``sink``; see EmbedRun for what is reported.
 
-    Everything that can be refused is refused before anything is spent. The provider runs once, over distinct new texts.
+    Everything that can be refused is refused before anything is spent. The provider runs once, over distinct new texts. More than ``slice_rows`` of them are
+    written down first and embedded slice by slice, each of which is in the sink and the ledger before the next begins: if the provider fails, the slices before aren't paid for
+    again by the next run with that ledger.
     """
     parsed, target = parse_model(model), open_sink(sink)
     provider(parsed, shadow_mode)
@@ -82,6 +85,8 @@ def embed(df: DataFrame | None, text_col: str, model: str, sink: str, *, source_
         if source_table is None:
             raise ValueError("either a DataFrame or a source table is needed")
         df = get_spark().table(source_table)
+    if dedup and ledger is None:
+        warnings.warn("without a ledger texts are known only within this batch: those of earlier runs are embedded, and paid for, again", stacklevel=2)
     source = df.select(text_col)
     known = ledger.known_hashes(model, sink) if dedup and ledger else None
     m = batch_metrics(source, text_col, known).first()
@@ -90,8 +95,17 @@ def embed(df: DataFrame | None, text_col: str, model: str, sink: str, *, source_
         new = one_per_text(addressed(source, text_col))
         if known is not None:
             new = unseen(new, known)
+        how = {"batch_size": batch_size, "shadow_mode": shadow_mode, "ledger": ledger, "prices": prices, "provider_options": provider_options}
+        slices = -(-(run.n_rows_processed - run.n_rows_deduped - run.n_in_batch_dupes) // slice_rows)
         with Scratch(df.sparkSession) as scratch:
-            renew(new, None, run, target, scratch, batch_size=batch_size, shadow_mode=shadow_mode, ledger=ledger, prices=prices, provider_options=provider_options)
+            if slices > 1:
+                new = scratch.keep(new)
+                for k in range(slices):
+                    renew(new.where(F.pmod(F.xxhash64("source_hash"), F.lit(slices)) == k), None, run, target, scratch, **how)
+                    run.duration_s = time.monotonic() - began
+                    record(ledger, run)
+            else:
+                renew(new, None, run, target, scratch, **how)
     run.duration_s = time.monotonic() - began
     record(ledger, run)
     return run

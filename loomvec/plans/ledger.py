@@ -42,8 +42,9 @@ def last_versions(watch_runs: DataFrame) -> DataFrame:
 def status(runs: DataFrame, limit: int = 5) -> DataFrame:
     """The latest runs, formatted for a terminal."""
     return runs.orderBy(F.desc("timestamp"), "run_id").limit(limit).select(
-        "run_id", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), "model", "n_rows", F.format_string("%.4f", F.col("cost_usd").cast("double")).alias("cost_usd")
-    )
+        "run_id", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), "model", "n_rows", "n_deduped", F.format_string("%.4f", F.col("cost_usd").cast("double")).alias("cost_usd"),
+        F.format_string("%.1f", F.col("duration_s").cast("double")).alias("duration_s"),
+    )
 
 
 class Counted(NamedTuple):

@@ -194,9 +194,9 @@ def ledger_prov_ignore(spark, d):
     return t.read()
 
 
-@query(f"WITH {fx.RUNS} SELECT run_id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS at, model, n_rows, printf('%.4f', cost_usd) AS cost_usd FROM runs ORDER BY timestamp DESC, run_id LIMIT 5")
+@query(f"WITH {fx.RUNS} SELECT run_id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS at, model, n_rows, CAST(0 AS BIGINT) AS n_deduped, printf('%.4f', cost_usd) AS cost_usd, printf('%.1f', cost_usd / 8) AS duration_s FROM runs ORDER BY timestamp DESC, run_id LIMIT 5")
 def status_report(spark, d):
-    return ledger.status(fx.runs(spark, d))
+    return ledger.status(fx.runs(spark, d).withColumn("duration_s", F.col("cost_usd") / 8))
 
 
 @query(f"WITH {fx.RUNS}, {fx.WATCH_RUNS} SELECT source_table, sink, arg_max(to_version, timestamp) AS to_version FROM watch_runs GROUP BY 1, 2")
@@ -336,6 +336,16 @@ def embed_twice(spark, d):
     return open_sink(sink).table(spark).read().select("source_hash", "point_id", F.when(F.col("embed_run_id") == first, 1).otherwise(2).alias("run"))
 
 
+@query(f"SELECT DISTINCT md5(text) AS source_hash, {fx.pid('md5(text)')} AS point_id FROM documents")
+def embed_catalog(spark, d):
+    """The points of a table that the catalog names."""
+    place, name = _place(spark), f"documents_{uuid.uuid4().hex}"
+    fx.documents(spark, d).createOrReplaceTempView(name)
+    embed(None, "text", MODEL, f"{place}/points", source_table=name, shadow_mode=True, provider_options={"dim": 4})
+    spark.catalog.dropTempView(name)
+    return open_sink(f"{place}/points").table(spark).read().select("source_hash", "point_id")
+
+
 @query(f"WITH {fx.KNOWN}, t AS (SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1), k AS (SELECT t.*, h IN (SELECT source_hash FROM known) AS seen FROM t), old AS (SELECT count(*) AS n, count(DISTINCT md5(text)) AS u FROM documents WHERE doc_id % 3 = 0) SELECT 1 AS run, old.n AS n_rows, CAST(0 AS BIGINT) AS n_deduped, old.u AS n_provenance FROM old UNION ALL SELECT 2, CAST(sum(n) AS BIGINT), CAST(sum(n) FILTER (WHERE seen) AS BIGINT), count(*) FILTER (WHERE NOT seen) FROM k")
 def ledger_of_runs(spark, d):
     """What the ledger says of those two runs: rows, known rows, and embeddings that it traces to each."""

@@ -64,6 +64,45 @@ def test_known_texts_are_known_by_model_and_sink(spark, place, tmp_path):
     assert [go(sink), go(other), go(sink), go(other)] == [0, 0, 1, 1]
 
 
+def test_a_failed_provider_is_paid_for_one_slice_again(spark, place, tmp_path, monkeypatch):
+    """Of four slices one fails: the next run asks only for that one and those after it."""
+    sink, path = place
+    ledger, bills, mended = loomvec.Ledger(spark, path), tmp_path / "bills", tmp_path / "mended"
+    bills.mkdir()
+    at, gate = str(bills), str(mended)
+
+    def paid(rows, model, batch_size):
+        def run(batches):
+            import os
+
+            import pyarrow as pa
+
+            for b in batches:
+                for h, t in zip(b.column("source_hash").to_pylist(), b.column("source_text").to_pylist()):
+                    if t == "poison" and not os.path.exists(gate):
+                        raise OSError("the provider is down")
+                    with open(f"{at}/{h}", "a") as f:
+                        f.write("x")
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[1.0, 0.0]] * b.num_rows, pa.list_(pa.float32())), pa.array([3] * b.num_rows, pa.int64())], names=[*b.schema.names, "vector", "n_tokens"])
+
+        return rows.mapInArrow(run, rows.select("*", F.array(F.lit(0.0).cast("float")).alias("vector"), F.lit(0).cast("long").alias("n_tokens")).schema)
+
+    monkeypatch.setitem(providers.PROVIDERS, "paid", paid)
+    df = spark.createDataFrame([("poison",), *((f"text {k}",) for k in range(39))], "body string").repartition(1)
+    go = lambda: loomvec.embed(df, "body", "paid/text-embedding-3-small", sink, ledger=ledger, slice_rows=10)
+    with pytest.raises(Exception, match="provider is down"):
+        go()
+    before = len(texts_in(spark, sink))
+    mended.touch()
+    run = go()
+    slices = {r["source_text"]: r["s"] for r in open_sink(sink).texts(spark).select("source_text", F.pmod(F.xxhash64(names.text_hash("source_text")), F.lit(4)).alias("s")).collect()}
+    bad = slices["poison"]
+    assert len(slices) == 40 and before == run.n_rows_deduped == sum(s < bad for s in slices.values())
+    billed = {t: len((bills / hashlib.md5(t.encode()).hexdigest()).read_text()) for t in slices}
+    assert all(n == 1 for t, n in billed.items() if slices[t] != bad) and max(billed.values()) <= 2
+    assert abs(run.cost_usd - (40 - before) * 3 * 0.02e-6) < 1e-12
+
+
 def test_embed_empty_and_refusals_come_first(spark, place):
     sink, _ = place
     empty = spark.createDataFrame([], "body string")
@@ -346,6 +385,47 @@ def test_qdrant_behind_a_client(spark, tmp_path, monkeypatch):
     assert (moved.n_source, moved.n_migrated) == (39, 39) and len(texts_in(spark, moved.sink_v2)) == 39
 
 
+FAKE_POSTGRES = """
+import json, os, uuid
+
+class Cursor:
+    def __enter__(self):
+        return self
+    def __exit__(self, *_):
+        pass
+    def cursor(self):
+        return self
+    def execute(self, sql, args=None):
+        json.dump([sql, args], open(f"{ROOT}/{uuid.uuid4().hex}", "w"))
+    def executemany(self, sql, rows):
+        json.dump([sql, [[str(x) for x in r] for r in rows]], open(f"{ROOT}/{uuid.uuid4().hex}", "w"))
+
+def connect(uri):
+    assert uri == "postgresql://me:secret@store:5432/db", uri
+    return Cursor()
+"""
+
+
+def test_postgres_behind_a_cursor(spark, tmp_path, monkeypatch):
+    """The statements of an embedding and of a refresh that deletes, with their rows."""
+    import json
+
+    for d in ("fake", "said"):
+        (tmp_path / d).mkdir()
+    (tmp_path / "fake" / "psycopg2.py").write_text(f"ROOT = {str(tmp_path / 'said')!r}\n{FAKE_POSTGRES}")
+    monkeypatch.syspath_prepend(str(tmp_path / "fake"))
+    spark.sparkContext.addPyFile(str(tmp_path / "fake" / "psycopg2.py"))
+    sink = "pg://me:secret@store:5432/db?table=points"
+    said = lambda what: [s for f in (tmp_path / "said").iterdir() for s in [json.loads(f.read_text())] if s[0].startswith(what)]
+    loomvec.embed(spark.createDataFrame([("a",), ("b",), ("a",)], "body string"), "body", MODEL, sink, shadow_mode=True, provider_options=OPTIONS)
+    assert len(said("CREATE")) == 1 and "vector(16)" in said("CREATE")[0][0]
+    rows = [r for _, some in said("INSERT") for r in some]
+    assert sorted((r[0], r[2]) for r in rows) == sorted((pid(t), t) for t in "ab") and all(r[1].count(",") == 15 for r in rows) and "ON CONFLICT" in said("INSERT")[0][0]
+    feed = spark.createDataFrame([(1, "a", "insert", 0), (2, "b", "insert", 0), (1, "a", "delete", 1)], FEED)
+    loomvec.watch("t", "body", sink, model=MODEL, shadow_mode=True, key_col="id", feed=feed, provider_options=OPTIONS)
+    assert [i for _, (ids,) in said("DELETE") for i in ids] == [pid("a")]
+
+
 def test_postgres_url_keeps_the_password_out():
     url, options = PostgresSink("pg://me:p%40ss@h:5433/db?table=t1&ssl=1").jdbc()
     assert url == "jdbc:postgresql://h:5433/db?ssl=1" and options == {"user": "me", "password": "p@ss"}
