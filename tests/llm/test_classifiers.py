@@ -179,3 +179,19 @@ def test_scores_equal_plain_sums(spark, sf_dir, docs):
     for d, t in zip(docs.doc_id, docs.text):
         z = model.bias + sum(float(model.weights[f]) for w in toxicity.words_of(t) for f in toxicity.features(w))
         assert abs(got[d] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+
+
+def test_every_language_is_learned_from_bounded_texts(spark, monkeypatch):
+    """More languages than the sample has texts, and very long ones: all are learned, from pieces of the whole text."""
+    rows = [(k * 10 + j, (f"lang{k} " * 9000 if k < 3 else f"words of {k} {j}"), f"l{k:02d}") for k in range(40) for j in range(6)]
+    seen = {}
+
+    def caught(sample, order, train):
+        seen["rows"] = sample.toPandas()
+        return b""
+
+    monkeypatch.setattr(language_id, "in_one_task", caught)
+    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=5)
+    got = seen["rows"]
+    assert set(got.lang) == {f"l{k:02d}" for k in range(40)} and got.text.str.len().max() == language_id.LEARNED_CHARS
+    assert got[got.lang == "l01"].text.iloc[0].count("lang1") > 2000

@@ -329,3 +329,10 @@ def test_rows_that_repeat_an_id_all_take_part(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (1, [0.0, 1.0])]
     got = cross_polytope.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 20 == 0, k=3).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, 1, 1, 2.0), (0, 1, 1, 3.0), (0, 2, 0, 0.0), (0, 2, 1, 3.0), (0, 3, 0, 0.0), (0, 3, 1, 0.0)]  # ties to the smaller id
+
+
+def test_vectors_without_an_id_are_candidates(spark):
+    """They come after all others on ties, and none is a query."""
+    rows = [(0, [1.0, 0.0]), (None, [0.9, 0.1]), (1, [0.5, 0.5]), (None, [0.9, 0.1]), (2, [0.9, 0.1]), (3, None), (None, None)]
+    got = cross_polytope.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda c: c % 20 == 0).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 2), (0, 2, None), (0, 3, None), (0, 4, 1)]
