@@ -15,6 +15,7 @@ null ids and extra columns pass through untouched, and equal texts get equal res
 
 from __future__ import annotations
 
+import json
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -161,12 +162,13 @@ def fit(docs: DataFrame, sample: int = 4000) -> ByteConvNet | None:
     ``sample`` or LEAST_TEXTS for each language, whichever is more, and each text by LEARNED_CHARS.
     """
     usable = docs.where((crc_remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    found = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64("text")).alias("n"))
-    n = found.count()
-    if not n:
+    # a row for each language, of which the network has an output
+    found = usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()
+    if not found:
         return None
-    each = F.least(F.lit(1.0), F.lit(max(sample / n, LEAST_TEXTS)) / F.greatest("n", F.lit(1)))
-    drawn = usable.join(found.select("lang", (each * (1 << 30)).cast("long").alias("share")), "lang").where(F.pmod(F.xxhash64(F.lit("language"), "text"), F.lit(1 << 30)) < F.col("share"))
+    each = max(sample / len(found), LEAST_TEXTS)
+    shares = json.dumps({r["lang"]: int(min(1.0, each / max(r["n"], 1)) * (1 << 30)) for r in found})
+    drawn = usable.where(F.pmod(F.xxhash64(F.lit("language"), "text"), F.lit(1 << 30)) < F.element_at(F.from_json(F.lit(shares), "map<string,bigint>"), F.col("lang")))
     pieces = LEARNED_CHARS // WINDOW
     spread_out = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring("text", (i * (F.length("text") - WINDOW) / (pieces - 1)).cast("int") + 1, F.lit(WINDOW))))
     rows = drawn.select(F.when(F.length("text") <= LEARNED_CHARS, F.col("text")).otherwise(spread_out).alias("text"), "lang").distinct()
