@@ -210,7 +210,7 @@ def live_after(*versions):
     return [(t,) for t in held.values() if t]
 
 
-@pytest.mark.parametrize("modes", ["LLL", "LCC", "CLC", "CCL", "LLC", "CLL", "CCC", "WCC", "LWC", "CWC"])
+@pytest.mark.parametrize("modes", ["LCC", "CLC", "CCL", "LLC", "WCC", "LWC"])
 def test_any_order_of_modes_keeps_what_rows_have(spark, place, modes):
     """Windows that know what rows have by a live table (L), the ledger's counts (C) or all changes (W)."""
     sink, path = place
