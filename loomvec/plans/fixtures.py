@@ -25,6 +25,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
 
 
+def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as a stream, whether the table is one file or a folder of files: a stream takes a single file only by a pattern."""
+    rows = spark.readStream.schema(table(spark, sf_dir, "documents").schema)
+    return rows.parquet(f"{sf_dir}/documents.parque[t]").select("doc_id", "text", "source")
+
+
 def known_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where("doc_id % 3 = 0").select(text_hash("text").alias("source_hash")).distinct()
 
