@@ -13,11 +13,12 @@ any coordinate can't be close (triangle inequality) and is discarded; only survi
 A cell hands on a spanning forest of its links, never all pairs.
 
 ``deduplicate`` joins texts whose sets of five-word shingles have a Jaccard similarity of LEAST, 0.8, or more. Fingerprints alone can't
-tell that: at 0.8 two fingerprints of 256 bits differ in about 39 bits, give or take 6, and at so wide a distance neither bit segments
-nor pivots discard anything. So texts meet in cells of equal minima (of every band, the smallest hashes of the set under ROWS random
+tell that: at 0.8 two fingerprints of 256 bits differ in about 39 bits, give or take 6, and at so wide a distance no bit segments are left that must
+agree. So texts meet in cells of equal minima (of every band, the smallest hashes of the set under ROWS random
 orders; of texts at exactly 0.8 one pair in 30 million shares none of the BANDS cells, of texts more alike fewer). In a
-cell a pair goes on unless the sizes of the sets or their 256-bit fingerprints rule it out: BIT_LIMIT is more than five standard deviations above what 0.8
-gives. A cell hands on only which texts have to be looked at together; each such block then compares the whole sets of shingle
+cell a pair goes on unless the sizes of the sets or their 256-bit SimHash fingerprints rule it out: BIT_LIMIT is more than five standard deviations above what 0.8
+gives. Here too a pivot table decides which pairs are looked at: at so wide a limit fixed pivots are all equally far and tell nothing apart, so a cell's pivots are
+fingerprints of its own, far from each other; a pair whose rows of the table differ by more than BIT_LIMIT is discarded unseen, which loses no link. A cell hands on only which texts have to be looked at together; each such block then compares the whole sets of shingle
 hashes (64 bits), every pair that its own, exact shingle counts don't rule out and that isn't joined already, and
 hands on the pairs that hold. Blocks and cells too large for a task are dealt out as tiles.
 
@@ -57,6 +58,8 @@ LEAST = (4, 5)
 BANDS, ROWS = 24, 3
 #: Bits in which the 256-bit fingerprints of texts alike enough may differ.
 LANES, BIT_LIMIT = 4, 84
+#: Pivots that a cell of texts chooses from its own fingerprints.
+CELL_PIVOTS = 8
 #: One of so many cells is counted to find crowded ones.
 CELL_SAMPLE = 64
 #: Shingle hashes of a block above which it is dealt out as tiles, and those that are compared at once.
@@ -361,6 +364,25 @@ def cross(side: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
     return (side[i] != side[j]) | (side[i] == 0)
 
 
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits the rows' fingerprints, (n, lanes), differ."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32)
+
+
+def own_pivots(first: np.ndarray, of: np.ndarray, lanes: np.ndarray, n_pivots: int = CELL_PIVOTS) -> np.ndarray:
+    """(n, n_pivots): distances of every row to the pivots of its cell, which are rows of it: the first one, then each time the one farthest from those before.
+
+    ``first``: where each cell begins; ``of``: the cell of each row.
+    """
+    total = len(lanes)
+    table, at, back = np.empty((total, n_pivots), np.int16), first, np.arange(total)[::-1]
+    for k in range(n_pivots):
+        table[:, k] = bits_apart(lanes, lanes[at][of])
+        far = table[:, : k + 1].min(axis=1).astype(np.int64)
+        at = total - 1 - np.maximum.reduceat(far * total + back, first) % total  # of rows equally far the first
+    return table
+
+
 def candidate_forest(cell: np.ndarray, n: np.ndarray, lanes: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) that join the rows of a cell just as those do that the sizes ``n`` (rising in a cell) and the fingerprints allow."""
     total = len(cell)
@@ -368,6 +390,7 @@ def candidate_forest(cell: np.ndarray, n: np.ndarray, lanes: np.ndarray, side: n
     first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     of = np.repeat(np.arange(len(first)), np.diff(np.append(first, total)))
     active, k, a, b = np.arange(total), 0, LEAST[0], LEAST[1]
+    table = own_pivots(first, of, lanes)
     while True:
         k += 1
         active = active[active + k < last[active]]
@@ -380,7 +403,11 @@ def candidate_forest(cell: np.ndarray, n: np.ndarray, lanes: np.ndarray, side: n
         i, j = active, active + k
         ok = (label[i] != label[j]) & cross(side, i, j)
         i, j = i[ok], j[ok]
-        ok = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1, dtype=np.int32) <= BIT_LIMIT
+        ok = (np.abs(table[i] - table[j]) <= BIT_LIMIT).all(axis=1)
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        ok = bits_apart(lanes[i], lanes[j]) <= BIT_LIMIT
         if ok.any():
             settle(label, i[ok], j[ok])
     moved = np.flatnonzero(label != np.arange(total))

@@ -117,6 +117,40 @@ def test_large_groups_of_near_copies_take_few_looks():
     assert len(i) == 3999 and set(j.tolist()) == {0}
 
 
+def clustered(rng, sizes):
+    """256-bit fingerprints of clusters: some 10 bits about a centre; the centres have nothing to do with each other."""
+    bits = np.concatenate([rng.integers(0, 2, (1, 256)) ^ (rng.random((n, 256)) < 0.04) for n in sizes]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def test_pivots_decide_which_texts_of_a_cell_are_looked_at(monkeypatch):
+    """Of texts in two clusters that share a cell no pair across is compared, and each cluster is joined as by all pairs."""
+    rng, looked = np.random.default_rng(5), []
+    lanes = clustered(rng, [200, 200])[rng.permutation(400)]
+    table = simhash.own_pivots(np.array([0]), np.zeros(400, np.int64), lanes)
+    real = simhash.bits_apart
+    monkeypatch.setattr(simhash, "own_pivots", lambda *_: table)
+    monkeypatch.setattr(simhash, "bits_apart", lambda a, b: looked.append(real(a, b)) or looked[-1])
+    i, j = simhash.candidate_forest(np.zeros(400, np.int64), np.full(400, 300), lanes, np.zeros(400, np.int8))
+    assert (np.concatenate(looked) <= simhash.BIT_LIMIT).all() and len(i) == 398 and len(set(j.tolist())) == 2
+
+
+def test_pivots_of_a_cell_lose_no_link():
+    """Cells of clusters at all distances about the limit, against all pairs."""
+    rng = np.random.default_rng(6)
+    for noise in (0.02, 0.1, 0.17, 0.2, 0.3):
+        centre = rng.integers(0, 2, (40, 256))
+        bits = (centre[rng.integers(0, 4, 150)] ^ (rng.random((150, 256)) < noise)).astype(np.uint8)
+        lanes, cell = np.packbits(bits, axis=1, bitorder="little").view(np.uint64), np.sort(rng.integers(0, 5, 150))
+        i, j = simhash.candidate_forest(cell, np.full(150, 300), lanes, np.zeros(150, np.int8))
+        got, want = np.arange(150), np.arange(150)
+        simhash.settle(got, i, j)
+        a, b = np.triu_indices(150, 1)
+        near = (cell[a] == cell[b]) & (np.bitwise_count(lanes[a] ^ lanes[b]).sum(axis=1) <= simhash.BIT_LIMIT)
+        simhash.settle(want, a[near], b[near])
+        assert (got == want).all()
+
+
 def five_word_shingles(text):
     words = (text or "").encode().lower().split()
     return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
