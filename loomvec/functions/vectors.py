@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomvec.plans.session import materialised
+
 #: Base vectors of a block, and queries of a chunk, that meet in one task.
 BASE_BLOCK, QUERY_CHUNK = 16_384, 4_096
+#: Vectors packed into one row, and components at most (4 MB of doubles).
+PACK, PACK_COMPONENTS = 4_096, 1 << 19
 #: A base of at most so many vector components (8 MB of doubles) goes to every task whole, and nothing is shuffled.
 SMALL_BASE = 1 << 20
 SHADOW_DIM = 1536
@@ -84,21 +88,83 @@ def _nearest_of_few(queries: DataFrame, base: DataFrame, k: int, exclude_same_id
 def nearest(queries: DataFrame, base: DataFrame, k: int, exclude_same_id: bool = True) -> DataFrame:
     """(query_id, rank, id, score): the exact ``k`` nearest of ``base`` (id, vector) by inner product for each of ``queries`` (id, vector).
 
-    Blocks of base vectors meet chunks of queries by matrix product; only a query's best ``k`` of a block leave its task,
-    so nothing grows with the number of pairs but arithmetic. A small base isn't shuffled but goes to every task.
+    Queries are dealt once, some QUERY_CHUNK to a task; the base is packed into matrices and written once, and every task reads through it, block by block, holding
+    only its queries' best ``k`` so far. So nothing grows with the number of pairs but arithmetic and reading: shuffled and written are each vector once, and ``k`` rows for a
+    query (for few queries a small number of times that, as the base is then divided between tasks). A small base isn't written but goes to every task.
     Ties go to the smaller id.
     """
     base, queries = (x.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")) for x in (base, queries))
     held = base.agg(F.count("*").alias("rows"), F.sum(F.size("vector")).alias("components")).first()
     if 0 < held["rows"] and held["components"] <= SMALL_BASE:
         return _nearest_of_few(queries, base, k, exclude_same_id)
-    n_base, n_queries = held["rows"], queries.count()
-    blocks, chunks = max(1, -(-n_base // BASE_BLOCK)), max(1, -(-n_queries // QUERY_CHUNK))
-    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    b = base.withColumn("probe", F.lit(0)).withColumn("block", of(blocks)).withColumn("chunk", every(chunks))
-    q = queries.withColumn("probe", F.lit(1)).withColumn("block", every(blocks)).withColumn("chunk", of(chunks))
-    return meet(b, q, k, exclude_same_id)
+    size = max(1, min(PACK, PACK_COMPONENTS * held["rows"] // max(1, held["components"] or 0)))
+    chunks, cores = max(1, -(-queries.count() // QUERY_CHUNK)), base.sparkSession.sparkContext.defaultParallelism
+    blocks = materialised(_packed(base.coalesce(max(cores, -(-held["rows"] // PACK))), size).toDF("ids", "vectors"))
+    asked = _packed(queries.repartition(chunks, "id"), size).toDF("query_ids", "queries").withColumn("chunk", F.monotonically_increasing_id())
+    # the left side passes by in pieces, the right one's part, a few packed rows, is held; with few chunks the base is divided, so that all cores have work
+    pairs = blocks.coalesce(-(-2 * cores // chunks)).hint("shuffle_replicate_nl").crossJoin(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by chunk: its queries' ids, and scores and ids of what is nearest so far
+        for b in batches:
+            for at in range(b.num_rows):
+                ids, vecs, qids, asks, chunk = (b.column(c)[at] for c in ("ids", "vectors", "query_ids", "queries", "chunk"))
+                ids, qids = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(qids.as_buffer(), np.int64)
+                vecs, asks = np.frombuffer(vecs.as_buffer()).reshape(len(ids), -1), np.frombuffer(asks.as_buffer()).reshape(len(qids), -1)
+                if chunk.as_py() not in best:
+                    best[chunk.as_py()] = (qids.copy(), np.full((len(qids), k), -np.inf), np.zeros((len(qids), k), np.int64))
+                _improve(*best[chunk.as_py()], asks, ids, vecs, exclude_same_id)
+        for qids, scores, found in best.values():
+            there = scores > -np.inf
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(qids, there.sum(axis=1))), "id": pa.array(found[there]), "score": pa.array(scores[there])})
+
+    return _ranked(pairs.mapInArrow(run, "query_id long, id long, score double"), k)
+
+
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """Up to ``size`` of ``rows`` (id, vector) in one: their ids and their vectors as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vecs, n = [], [], 0
+        for whole in batches:
+            at = 0
+            while at < whole.num_rows:
+                b = whole.slice(at, size - n)
+                at, n = at + b.num_rows, n + b.num_rows
+                ids.append(b.column("id").to_numpy().tobytes())
+                vecs.append(_matrix(b.column("vector")).tobytes())
+                if n == size:
+                    yield pa.RecordBatch.from_pydict({"ids": pa.array([b"".join(ids)], pa.binary()), "vectors": pa.array([b"".join(vecs)], pa.binary())})
+                    ids, vecs, n = [], [], 0
+        if n:
+            yield pa.RecordBatch.from_pydict({"ids": pa.array([b"".join(ids)], pa.binary()), "vectors": pa.array([b"".join(vecs)], pa.binary())})
+
+    return rows.mapInArrow(run, "ids binary, vectors binary")
+
+
+def _improve(qids: np.ndarray, scores: np.ndarray, found: np.ndarray, queries: np.ndarray, ids: np.ndarray, vecs: np.ndarray, exclude_same_id: bool) -> None:
+    """Put what is nearer of ``vecs`` into ``scores`` and ``found`` (a row for each query, best first, -inf where there is nothing yet)."""
+    k = scores.shape[1]
+    odd = not (np.isfinite(vecs).all() and np.isfinite(queries).all())
+    for at in range(0, len(qids), 256):
+        part = slice(at, at + 256)
+        sims = queries[part] @ vecs.T
+        if exclude_same_id:
+            sims[qids[part, None] == ids[None, :]] = -np.inf
+        if odd:
+            sims[np.isnan(sims)] = -np.inf
+        edge = scores[part, -1]
+        if (edge == -np.inf).any() and len(ids) > k:
+            edge = np.maximum(edge, np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k])
+        row, col = np.divmod(np.flatnonzero((sims >= edge[:, None]).reshape(-1)), len(ids))  # with all ties of the last
+        if not len(row):
+            continue
+        of = np.concatenate([np.repeat(np.arange(len(sims)), k), row])
+        score, which = np.concatenate([scores[part].reshape(-1), sims[row, col]]), np.concatenate([found[part].reshape(-1), ids[col]])
+        order = np.lexsort((which, -score, of))
+        of = of[order]
+        order = order[np.arange(len(of)) - np.searchsorted(of, of) < k]
+        scores[part], found[part] = score[order].reshape(-1, k), which[order].reshape(-1, k)
 
 
 def meet(base: DataFrame, queries: DataFrame, k: int, exclude_same_id: bool) -> DataFrame:
@@ -129,6 +195,10 @@ def meet(base: DataFrame, queries: DataFrame, k: int, exclude_same_id: bool) ->
                 for at in range(0, part.num_rows, 256):
                     yield pa.RecordBatch.from_pydict(_best(part.slice(at, 256), ids, vecs, k, exclude_same_id))
 
-    found = rows.mapInArrow(run, "query_id long, rank int, id long, score double")
+    return _ranked(rows.mapInArrow(run, "query_id long, rank int, id long, score double"), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of each query's finds, with their ranks."""
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))

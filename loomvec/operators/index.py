@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvec.functions.vectors import BASE_BLOCK, QUERY_CHUNK, _matrix, meet
+from loomvec.functions.vectors import BASE_BLOCK, QUERY_CHUNK, _matrix, meet, nearest
 from loomvec.plans.session import materialised
 from loomvec.sources.keyed import KeyedTable
 
@@ -152,8 +152,12 @@ class VectorIndex:
         centres = self._centres(state)
         n = len(centres.value)
         asked = queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-        asked = _cells(asked, centres, "vector", n if probes is None else min(probes, n)).select("id", "vector", F.explode("cells").alias("cell"))
-        cells = None if probes is None else [r["cell"] for r in asked.select("cell").distinct().collect()]  # at most MOST_CELLS
+        if probes is None:
+            held = self.candidates()
+            found = nearest(asked, held.select(F.col("row").alias("id"), "vector"), k, exclude_same_id=False)
+            return found.withColumnRenamed("id", "row").join(held.select("row", self.key), "row").select("query_id", "rank", self.key, "score")
+        asked = _cells(asked, centres, "vector", min(probes, n)).select("id", "vector", F.explode("cells").alias("cell"))
+        cells = [r["cell"] for r in asked.select("cell").distinct().collect()]  # at most MOST_CELLS
         held = self.candidates(cells)
         # a cell with very many vectors is sliced, and its queries meet every slice
         slices = F.coalesce(F.element_at(F.from_json(F.lit(json.dumps(state["slices"])), "map<string,int>"), F.col("cell").cast("string")), F.lit(1))
