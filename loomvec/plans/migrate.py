@@ -87,7 +87,7 @@ def migrate(from_model: str, to_model: str, sink: str, *, strategy: str = "dual-
     if strategy == "dual-write":
         run.sink_v2 = v2_uri(sink)
         if n["text"]:
-            done = embed(with_text(collection), "source_text", to_model, run.sink_v2, dedup=False, shadow_mode=shadow_mode, ledger=ledger, provider_options=options.get(to_model))
+            done = embed(with_text(collection), "source_text", to_model, run.sink_v2, dedup=False, stable=True, shadow_mode=shadow_mode, ledger=ledger, provider_options=options.get(to_model))
             run.n_migrated = done.n_rows_processed - done.n_in_batch_dupes
     else:
         pairs = materialised(sample_pairs(one_per_text(addressed(with_text(collection).select("source_text"), "source_text")), sample, "source_hash"))

@@ -27,10 +27,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """``df`` written down; ``by`` a column, so that a read of some of its values reads only their files."""
         self.n += 1
         at = f"{self.path}/{self.n}"
-        df.write.parquet(at)
+        (df.write.partitionBy(by) if by else df.write).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def __enter__(self) -> "Scratch":

@@ -76,14 +76,14 @@ class KeyedTable:
     def _bytes(self, folders: list[str]) -> int:
         return sum(self._fs.getContentSummary(self._p(f"{self.path}/{n}")).getLength() for n in folders)
 
-    def _commit(self, rows: DataFrame, gone: bool | None = False) -> None:
-        """``gone``: whether the rows are tombstones; None if they say so themselves, as ``__gone``."""
+    def _commit(self, rows: DataFrame, gone: bool | None = False, merge: bool = True) -> None:
+        """``gone``: whether the rows are tombstones; None if they say so themselves, as ``__gone``. Without ``merge`` no changes are merged, however many."""
         numbers = self._numbers()
         number, names = (numbers[-1] + 1, self._list(numbers[-1])) if numbers else (0, [])
         said = F.col("__gone") if gone is None else F.lit(gone)
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema], F.lit(number).cast("long").alias("__seq"), said.alias("__gone"))
         folder, after = f"d-{uuid.uuid4().hex}", []
-        if names and len(names) <= COMPACT_AFTER:
+        if names and (not merge or len(names) <= COMPACT_AFTER):
             after = names
         elif names and self._bytes(names[1:]) < WHOLE_SHARE * self._bytes(names[:1]):
             after, rows = names[:1], newest(self._log(names[1:]).unionByName(rows), self.keys, "__seq")
@@ -110,9 +110,12 @@ class KeyedTable:
         for number in before[:-1]:
             self._fs.delete(self._p(f"{self.path}/c-{number}"), False)
 
-    def upsert(self, rows: DataFrame, last_by: str | None = None, unique: bool = False) -> None:
-        """Rows take the place of any with their key; of several with one key, the last by ``last_by``. ``unique`` says that there are none."""
-        self._commit(rows if unique else newest(rows, self.keys, last_by) if last_by else rows.dropDuplicates(self.keys))
+    def upsert(self, rows: DataFrame, last_by: str | None = None, unique: bool = False, merge: bool = True) -> None:
+        """Rows take the place of any with their key; of several with one key, the last by ``last_by``. ``unique`` says that there are none.
+
+        A run that makes many commits leaves merging to the next one (``merge``), else the table would be rewritten again and again as it grows.
+        """
+        self._commit(rows if unique else newest(rows, self.keys, last_by) if last_by else rows.dropDuplicates(self.keys), merge=merge)
 
     def apply(self, rows: DataFrame) -> None:
         """Upserts and deletes in one commit: rows, one for each key, with ``__gone``."""

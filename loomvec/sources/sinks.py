@@ -46,6 +46,10 @@ class FileSink:
         """Of several points with one id the one made last stays."""
         self.table(points.sparkSession).upsert(points, last_by="created_at")
 
+    def put(self, points: DataFrame, merge: bool = True) -> None:
+        """Points of which no two have one id: none has to be looked for, so nothing is shuffled."""
+        self.table(points.sparkSession).upsert(points, unique=True, merge=merge)
+
     def refresh(self, points: DataFrame, gone: DataFrame) -> None:
         """Both at once: a reader sees all of it or nothing."""
         gone = gone.select("point_id", *(F.lit(None).cast(f.dataType).alias(f.name) for f in POINTS if f.name != "point_id"), F.lit(True).alias("__gone"))
@@ -178,6 +182,14 @@ class PostgresSink:
 SINKS: dict[str, Callable[[str], Sink]] = {"file": FileSink, "qdrant": QdrantSink, "pg": PostgresSink, "postgresql": PostgresSink}
 
 
+def put(sink: Sink, points: DataFrame, merge: bool = True) -> None:
+    """New points, one for each id; ``merge``: whether a table of many commits may merge them now."""
+    if hasattr(sink, "put"):
+        sink.put(points, merge)
+    else:
+        sink.upsert(points)
+
+
 def refresh(sink: Sink, points: DataFrame, gone: DataFrame) -> None:
     """New points, one for each id, and the ids of others that go."""
     if hasattr(sink, "refresh"):
