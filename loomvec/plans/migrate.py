@@ -90,7 +90,10 @@ def migrate(from_model: str, to_model: str, sink: str, *, strategy: str = "dual-
             done = embed(with_text(collection), "source_text", to_model, run.sink_v2, dedup=False, stable=True, shadow_mode=shadow_mode, ledger=ledger, provider_options=options.get(to_model))
             run.n_migrated = done.n_rows_processed - done.n_in_batch_dupes
     else:
-        pairs = materialised(sample_pairs(one_per_text(addressed(with_text(collection).select("source_text"), "source_text")), sample, "source_hash"))
+        texts = addressed(with_text(collection).select("source_text"), "source_text")
+        chosen = sample_pairs(texts.select("source_hash").distinct(), sample, "source_hash")
+        # as many hashes as the sample has; of the texts only the sample's are shuffled
+        pairs = materialised(one_per_text(texts.join(F.broadcast(chosen), "source_hash", "left_semi")))
         size = pairs.count()
         if size < LEAST_PAIRS:
             raise ValueError(f"{size} texts are too few to compare two models: at least {LEAST_PAIRS} are needed")
